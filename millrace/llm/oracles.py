@@ -2,4 +2,27 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+_P2_LINES = """
+WITH records AS (SELECT record_id, source_id, page_content FROM web_records WHERE source_id IS NOT NULL AND page_content IS NOT NULL),
+pieces AS (SELECT record_id, source_id, string_split(page_content, chr(10)) AS ls FROM records),
+lines AS (SELECT record_id, source_id, i - 1 AS line_no, ls[i] AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM pieces)),
+keyed AS (SELECT record_id, source_id, line_no, regexp_replace(lower(line), '[^\\p{L}]+', '', 'g') AS k FROM lines),
+sizes AS (SELECT source_id, count(*) AS n FROM records GROUP BY source_id),
+over_ AS (
+  SELECT source_id, k FROM (SELECT source_id, k, count(DISTINCT record_id) AS c FROM keyed WHERE k <> '' GROUP BY source_id, k)
+  JOIN sizes USING (source_id) WHERE c >= 5 AND c >= 0.05 * n)
+"""
+
+SQL: dict[str, str] = {
+    "p2_found": _P2_LINES + "SELECT record_id, CAST(line_no AS INTEGER) AS line_no FROM keyed JOIN over_ USING (source_id, k)",
+    "p2_clean": _P2_LINES
+    + """
+, dropped AS (SELECT record_id, line_no FROM keyed JOIN over_ USING (source_id, k)),
+kept AS (
+  SELECT l.record_id, string_agg(l.line, chr(10) ORDER BY l.line_no) AS t
+  FROM lines l LEFT JOIN dropped d ON l.record_id = d.record_id AND l.line_no = d.line_no
+  WHERE d.record_id IS NULL GROUP BY l.record_id)
+SELECT w.record_id, CASE WHEN w.page_content IS NULL OR w.source_id IS NULL THEN w.page_content ELSE coalesce(k.t, '') END AS page_content
+FROM web_records w LEFT JOIN kept k ON w.record_id = k.record_id
+""",
+}

@@ -2,4 +2,27 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from millrace.llm import repeated_lines
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each occurrence of a line that is excessive within its source."""
+    return repeated_lines.occurrences(_table(spark, sf_dir, "web_records"))
+
+
+def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every article without the lines that are excessive within its source."""
+    records = _table(spark, sf_dir, "web_records").select("record_id", "source_id", "page_content")
+    return repeated_lines.without_repeated_lines(records).select("record_id", "page_content")
+
+
+QUERIES: dict = {
+    "p2_found": p2_found,
+    "p2_clean": p2_clean,
+}
