@@ -24,5 +24,11 @@ kept AS (
   WHERE d.record_id IS NULL GROUP BY l.record_id)
 SELECT w.record_id, CASE WHEN w.page_content IS NULL OR w.source_id IS NULL THEN w.page_content ELSE coalesce(k.t, '') END AS page_content
 FROM web_records w LEFT JOIN kept k ON w.record_id = k.record_id
+""",
+    "p4_found": """
+SELECT p.record_id FROM page_records p
+LEFT JOIN chunk_limits c ON lower(trim(p.content_type)) = lower(trim(c.content_type))
+CROSS JOIN (SELECT max_chars AS d FROM chunk_limits WHERE content_type = 'default') f
+WHERE length(p.page_content) > coalesce(c.max_chars, f.d)
 """,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import repeated_lines
+from millrace.llm import repeated_lines, splitting
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +22,19 @@ def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.without_repeated_lines(records).select("record_id", "page_content")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that the splitter had to cut."""
+    return splitting.oversized(_table(spark, sf_dir, "page_records"), _table(spark, sf_dir, "chunk_limits"))
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of all pages."""
+    return splitting.split_oversized(_table(spark, sf_dir, "page_records"), _table(spark, sf_dir, "chunk_limits"))
+
+
 QUERIES: dict = {
     "p2_found": p2_found,
     "p2_clean": p2_clean,
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
 }
