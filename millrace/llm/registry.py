@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import repeated_lines, splitting
+from millrace.llm import incremental_dedup, repeated_lines, splitting
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rejected record with the accepted one it repeats."""
+    return incremental_dedup.duplicates(_table(spark, sf_dir, "web_records"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each occurrence of a line that is excessive within its source."""
     return repeated_lines.occurrences(_table(spark, sf_dir, "web_records"))
@@ -33,6 +38,7 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_clean": p2_clean,
     "p4_found": p4_found,
