@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import incremental_dedup, repeated_lines, splitting
+from millrace.llm import incremental_dedup, quality, repeated_lines, splitting
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +37,22 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(_table(spark, sf_dir, "page_records"), _table(spark, sf_dir, "chunk_limits"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are for the most part no prose."""
+    return quality.no_prose(_table(spark, sf_dir, "documents"))
+
+
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality statistics and label shares of every document."""
+    return quality.statistics(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_clean": p2_clean,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p8_found": p8_found,
+    "p8_statistics": p8_statistics,
 }
