@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import incremental_dedup, quality, repeated_lines, splitting
+from millrace.llm import incremental_dedup, leakage, quality, repeated_lines, splitting
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(_table(spark, sf_dir, "page_records"), _table(spark, sf_dir, "chunk_limits"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an evaluation item's passage, whole or in part."""
+    return leakage.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "golden_questions")).select("doc_id", "item_id")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are for the most part no prose."""
     return quality.no_prose(_table(spark, sf_dir, "documents"))
@@ -53,6 +58,7 @@ QUERIES: dict = {
     "p2_clean": p2_clean,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p6_found": p6_found,
     "p8_found": p8_found,
     "p8_statistics": p8_statistics,
 }
