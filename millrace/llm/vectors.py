@@ -107,7 +107,6 @@ def drop_furniture(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         excl_of, excl = _flat(batch.column(5))
         row = np.repeat(np.arange(len(batch)), np.diff(of))
         keep = np.ones(len(keys), dtype=bool)
-        bounds: dict[bytes, np.ndarray] = {}
         for i in range(len(batch)):
             gone = excl[excl_of[i] : excl_of[i + 1]]
             if len(gone):
@@ -155,6 +154,27 @@ def axes(lens_column: pa.ListArray, words_column: pa.ListArray) -> tuple[np.ndar
     return rows, total.view(np.int64), weight
 
 
+def summed_axes(lens_column: pa.ListArray, words_column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, axis, weight) with each axis of a row once, sorted by both."""
+    row, axis, weight = axes(lens_column, words_column)
+    if not len(row):
+        return row, axis, weight
+    by = np.lexsort((axis, row))
+    row, axis, weight = row[by], axis[by], weight[by]
+    heads = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (axis[1:] != axis[:-1]))))
+    return row[heads], axis[heads], np.add.reduceat(weight, heads)
+
+
+def axis_overlap(a: tuple[pa.ListArray, pa.ListArray], b: tuple[pa.ListArray, pa.ListArray]) -> np.ndarray:
+    """For each row the weight on the axes that both sides share."""
+    (ra, xa, wa), (rb, xb, wb) = summed_axes(*a), summed_axes(*b)
+    row, axis, weight = np.concatenate((ra, rb)), np.concatenate((xa, xb)), np.concatenate((wa, wb))
+    by = np.lexsort((axis, row))
+    row, axis, weight = row[by], axis[by], weight[by]
+    same = np.flatnonzero((row[1:] == row[:-1]) & (axis[1:] == axis[:-1]))
+    return np.bincount(row[same], weights=np.minimum(weight[same], weight[same + 1]), minlength=len(a[0]))
+
+
 def similarity(a_lens, a_words, b_lens, b_words, least: float, same_sentence: float = 0.6) -> float:
     """Share of the longer text's words that stand in the other one in the same sentences; 0 as soon as it can't reach ``least``.
 
