@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import incremental_dedup, leakage, quality, repeated_lines, splitting
+from millrace.llm import incremental_dedup, leakage, mixing, quality, repeated_lines, splitting
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "golden_questions")).select("doc_id", "item_id")
 
 
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of every mix with their repeats."""
+    return mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that every mix reaches."""
+    return mixing.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are for the most part no prose."""
     return quality.no_prose(_table(spark, sf_dir, "documents"))
@@ -59,6 +69,8 @@ QUERIES: dict = {
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p6_found": p6_found,
+    "p7_mix": p7_mix,
+    "p7_report": p7_report,
     "p8_found": p8_found,
     "p8_statistics": p8_statistics,
 }
