@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import incremental_dedup, leakage, mixing, quality, repeated_lines, splitting
+from millrace.llm import incremental_dedup, leakage, main_content, mixing, quality, repeated_lines, splitting
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,16 @@ def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.without_repeated_lines(records).select("record_id", "page_content")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that show text outside the main body of their page."""
+    return main_content.furniture(_table(spark, sf_dir, "page_captures"))
+
+
+def p3_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main body of every page."""
+    return main_content.extract(_table(spark, sf_dir, "page_captures"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that the splitter had to cut."""
     return splitting.oversized(_table(spark, sf_dir, "page_records"), _table(spark, sf_dir, "chunk_limits"))
@@ -66,6 +76,8 @@ QUERIES: dict = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_clean": p2_clean,
+    "p3_found": p3_found,
+    "p3_main": p3_main,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p6_found": p6_found,
