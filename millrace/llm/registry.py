@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import incremental_dedup, leakage, main_content, mixing, quality, repeated_lines, splitting
+from millrace.llm import incremental_dedup, leakage, main_content, mixing, quality, repeated_lines, scan_repair, splitting
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,16 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(_table(spark, sf_dir, "page_records"), _table(spark, sf_dir, "chunk_limits"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of pages with broken or misread words, running headers and page numbers."""
+    return scan_repair.defects(_table(spark, sf_dir, "page_records"))
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's text as continuous paragraphs."""
+    return scan_repair.repaired(_table(spark, sf_dir, "page_records"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold an evaluation item's passage, whole or in part."""
     return leakage.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "golden_questions")).select("doc_id", "item_id")
@@ -80,6 +90,8 @@ QUERIES: dict = {
     "p3_main": p3_main,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_repaired": p5_repaired,
     "p6_found": p6_found,
     "p7_mix": p7_mix,
     "p7_report": p7_report,
