@@ -30,11 +30,12 @@ _FILTER_BITS = 20
 @dataclass(frozen=True)
 class ScanConfig:
     """``edge``: lines at either end of a page that may be furniture.
-    ``neighbours``: share of the next two pages on either side that must have a running line too. ``fit_words``, ``fit_pairs``: sample sizes of the
+    ``neighbours``: share of the next two pages on either side that must have a running line too; ``far``: edits beyond which two lines are no pair. ``fit_words``, ``fit_pairs``: sample sizes of the
     learners. ``lexicon_count``: least count of a correction. ``min_ratio``: how much more frequent it must be."""
 
     edge: int = 3
     neighbours: float = 0.4
+    far: int = 10
     fit_words: int = 4000
     fit_pairs: int = 4000
     lexicon_count: int = 2
@@ -60,7 +61,7 @@ def _pages(records: DataFrame, cfg: ScanConfig) -> DataFrame:
 
 # furniture ------------------------------------------------------------------------------------------------------------
 
-EDGE = "rid long, file long, page int, total int, side int, slot int, line_no int, text string, number int, style string, of int"
+EDGE = "rid long, file long, page int, total int, side int, slot int, line_no int, text string, number int, style string, of int, skel string"
 
 
 def edges(pages: DataFrame, cfg: ScanConfig) -> DataFrame:
@@ -77,9 +78,9 @@ def edges(pages: DataFrame, cfg: ScanConfig) -> DataFrame:
                     for slot, (no, line) in enumerate(part):
                         if len(line) <= 160:
                             number, style, of = ow.page_number(line) or (None, None, None)
-                            out.append((rid, file, page, total, side, slot, no, line, number, style, of))
+                            out.append((rid, file, page, total, side, slot, no, line, number, style, of, ow.skeleton(line) if number is None else None))
             cols = list(zip(*out)) if out else [[]] * len(names)
-            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.string(), pa.int32(), pa.string(), pa.int32()]
+            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     return pages.select("rid", "file", "page", "total", "text").mapInArrow(cut, EDGE)
@@ -133,10 +134,10 @@ def furniture(pages: DataFrame, cfg: ScanConfig) -> DataFrame:
     found = materialise(edges(pages, cfg), "edges")
     sample = found.where("slot = 0 and number is null").select("file", "slot", "text").distinct().orderBy(F.xxhash64("file", "text"), "file", "text").limit(cfg.fit_pairs)
     weights = fit_pairs([(r.file, r.slot, r.text) for r in sample.collect()], cfg)
-    a = found.select("file", "side", "page", *(F.col(c).alias(f"a_{c}") for c in ("rid", "line_no", "slot", "text", "number", "style")), F.explode(F.array(F.lit(1), F.lit(2))).alias("step"))
-    b = found.select("file", "side", "page", *(F.col(c).alias(f"b_{c}") for c in ("rid", "line_no", "slot", "text", "number", "style")))
+    a = found.select("file", "side", "page", *(F.col(c).alias(f"a_{c}") for c in ("rid", "line_no", "slot", "text", "number", "style", "skel")), F.explode(F.array(F.lit(1), F.lit(2))).alias("step"))
+    b = found.select("file", "side", "page", *(F.col(c).alias(f"b_{c}") for c in ("rid", "line_no", "slot", "text", "number", "style", "skel")))
     # a page delivered several times stands for itself once, so that copies pair in proportion to their number
-    first = b.groupBy("file", "side", "page", "b_slot", "b_text").agg(F.first("b_number").alias("b_number"), F.first("b_style").alias("b_style"))
+    first = b.groupBy("file", "side", "page", "b_slot", "b_text").agg(F.first("b_number").alias("b_number"), F.first("b_style").alias("b_style"), F.first("b_skel").alias("b_skel"))
     pairs = a.withColumn("page", F.col("page") + F.col("step")).join(first, ["file", "side", "page"])
     back = a.withColumn("page", F.col("page") - F.col("step")).withColumn("step", -F.col("step")).join(first, ["file", "side", "page"])
     both = pairs.unionByName(back)
@@ -152,7 +153,9 @@ def furniture(pages: DataFrame, cfg: ScanConfig) -> DataFrame:
             steps = np.array([r[4] for r in rows], dtype=np.int32)[hit]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit)), batch.column(1).take(pa.array(hit)), pa.array(steps)], ["rid", "line_no", "step"])
 
-    words = both.where("a_number is null and b_number is null").select("a_rid", "a_line_no", "a_text", "b_text", "a_slot", "b_slot", "step")
+    # lines further apart than the classifier ever accepts never reach Python
+    close = (F.length("a_skel") > 2) & (F.abs(F.length("a_skel") - F.length("b_skel")) <= cfg.far) & (F.levenshtein("a_skel", "b_skel", cfg.far) >= 0)
+    words = both.where(close).select("a_rid", "a_line_no", "a_text", "b_text", "a_slot", "b_slot", "step")
     # of the neighbouring pages there are, enough must have the line too
     around = both.groupBy(F.col("a_rid").alias("rid")).agg(F.countDistinct("step").alias("pages"))
     met = words.mapInArrow(judge, "rid long, line_no int, step int").groupBy("rid", "line_no").agg(F.countDistinct("step").alias("met"))
