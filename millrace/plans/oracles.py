@@ -78,7 +78,7 @@ SELECT s AS window_start, count(*) AS events, CAST(sum(event_id) AS BIGINT) AS i
 SELECT 'web_records' AS kind, source_id, count(*) AS n, CAST(0 AS BIGINT) AS pages FROM web_records GROUP BY source_id
 UNION ALL SELECT 'page_captures', source_id, count(*), 0 FROM page_captures GROUP BY source_id
 UNION ALL SELECT 'page_records', source_id, count(*), count(page) FROM page_records GROUP BY source_id""",
-    "t3_date_year": "SELECT record_id, CASE WHEN length(date) >= 4 THEN try_cast(substr(date, 1, 4) AS INTEGER) END AS y FROM web_records",
+    "t3_date_year": "SELECT record_id, CASE WHEN length(date) >= 4 THEN CAST(try_cast(substr(date, 1, 4) AS INTEGER) AS VARCHAR) END AS y FROM web_records",
     "t5_year_in_url": r"SELECT record_id, CASE WHEN regexp_extract(url, '(20\d{2})', 1) <> '' THEN regexp_extract(url, '(20\d{2})', 1) || '-01-01' WHEN url IS NOT NULL THEN '' END AS since FROM web_records",
     "t6_hosts": f"SELECT record_id, {_NETLOC.format('url')} AS authority, {_HOST.format('url')} AS host FROM web_records",
     "t7_slugs": r"""
@@ -114,7 +114,7 @@ SELECT coalesce(source, 'unknown') AS source, count(*) FILTER (NOT k) AS new_chu
   (SELECT source, content_hash IN (SELECT content_hash FROM h WHERE batch_no = 0) AS k FROM h WHERE batch_no > 0) GROUP BY 1""",
     "j6_dense_topk": "WITH " + _DENSE.format(name="de", queries="SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 50 = 0") + " SELECT qid, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM de",
     "j7_sparse_topk": "WITH " + _SPARSE + " SELECT qid, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM sp",
-    "j3_fused_topk": _FUSED + " SELECT qid, id, CAST(rank AS INTEGER) AS rank, CAST(dense_rank AS INTEGER) AS dense_rank, CAST(sparse_rank AS INTEGER) AS sparse_rank, round(score, 9) AS score FROM fu",
+    "j3_fused_topk": _FUSED + " SELECT qid, id, CAST(rank AS INTEGER) AS rank, CAST(coalesce(dense_rank, 0) AS INTEGER) AS dense_rank, CAST(coalesce(sparse_rank, 0) AS INTEGER) AS sparse_rank, round(score, 9) AS score FROM fu",
     "j4_hybrid_search": _HYDRATED + " SELECT qid, CAST(rank AS INTEGER) AS rank, id, source, title, round(score, 9) AS score FROM hy",
     "w5_reranked": _HYDRATED
     + """
@@ -151,4 +151,26 @@ SELECT any_value(turns) AS turns, string_agg(CAST(record_id AS VARCHAR), ',' ORD
     "r4_event_windows": """
 WITH w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2)
 SELECT * FROM w WHERE window_start + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)""",
+    "s6_robots_gate": "SELECT record_id, NOT coalesce(starts_with(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#\\s]*([^?#]*)', 1), '/blog/') AND "
+    + _NETLOC.format("url")
+    + " IN (SELECT "
+    + _NETLOC.format("url")
+    + " FROM source_manifest), false) AS allowed FROM web_records",
+    "k4_keyword_index": "WITH " + _SPARSE + " SELECT qid, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM sp",
+    "k5_page_blocks": """
+WITH p AS (SELECT url, page, arg_min(page_content, record_id) AS t FROM page_records WHERE page_content IS NOT NULL AND page IS NOT NULL GROUP BY url, page)
+SELECT url, string_agg('--- Page ' || page || ' ---' || chr(10) || t, chr(10) ORDER BY page) AS text FROM p GROUP BY url""",
+    "j5_manifest_metadata": """
+SELECT d.doc_id, d.source, m.author, m.language FROM documents d
+LEFT JOIN (SELECT * FROM source_manifest QUALIFY row_number() OVER (PARTITION BY source ORDER BY source_id DESC) = 1) m ON d.source = m.source""",
+    "j8_latest_known": """
+WITH n AS (SELECT CAST(year(published_at) AS INTEGER) AS year, count(*) AS n FROM documents WHERE published_at IS NOT NULL GROUP BY 1)
+SELECT w.record_id, coalesce(n.n, (SELECT arg_max(n, year) FROM n)) AS n FROM web_records w LEFT JOIN n ON n.year = w.year""",
+    "j11_most_trusted": """
+SELECT source, doc_id, content_type, CAST(coalesce(list_position(['legal_text', 'pdf_gov', 'pdf_local'], content_type), 4) AS INTEGER) AS trust
+FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY coalesce(list_position(['legal_text', 'pdf_gov', 'pdf_local'], content_type), 4), doc_id) = 1""",
+    "t21_keyword_routes": r"""
+SELECT item_id, coalesce(regexp_matches(question, '(?i)(^|[^\p{L}\p{N}_])(konto|rachunek|account)($|[^\p{L}\p{N}_])'), false) AS asks_account,
+  coalesce(regexp_matches(question, '(?i)(^|[^\p{L}\p{N}_])(pozycji|about)($|[^\p{L}\p{N}_])'), false) AS asks_item,
+  coalesce(regexp_matches(question, '(?i)(^|[^\p{L}\p{N}_])(stawka|próg|rate)($|[^\p{L}\p{N}_])'), false) AS asks_rate FROM golden_questions""",
 }

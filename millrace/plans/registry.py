@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import html as hx
 from millrace.functions import text as tx
-from millrace.operators import chunking, evaluation, history, inventory, search
+from millrace.functions import udtf
+from millrace.operators import chunking, evaluation, history, index, inventory, lookup, search
 from millrace.sources import records as src
 from millrace.sources import storage
 from millrace.streaming import jobs
@@ -89,7 +90,7 @@ def t1_article_text(spark, d):
 
 def t3_date_year(spark, d):
     """Year of each record's date."""
-    return table(spark, d, "web_records").select("record_id", tx.year_of(F.col("date")).alias("y"))
+    return table(spark, d, "web_records").select("record_id", tx.year_of(F.col("date")).cast("string").alias("y"))
 
 
 def t5_year_in_url(spark, d):
@@ -224,7 +225,7 @@ def _fused(spark, d) -> DataFrame:
 
 def j3_fused_topk(spark, d):
     """Keyword and vector lists fused by weighted reciprocal ranks."""
-    return _fused(spark, d).select("qid", "id", "rank", "dense_rank", "sparse_rank", F.round("score", 9).alias("score"))
+    return _fused(spark, d).select("qid", "id", "rank", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("dense_rank", "sparse_rank")), F.round("score", 9).alias("score"))
 
 
 def _hydrated(spark, d) -> DataFrame:
@@ -306,6 +307,56 @@ def w11_latest_values(spark, d):
     return inventory.latest(e, "user_id", "at", "value").select("user_id", "value", F.col("at.event_id").alias("event_id"))
 
 
+def s6_robots_gate(spark, d):
+    """Which records a crawler may fetch, by robots texts that close each host's blog folder."""
+    hosts = table(spark, d, "source_manifest").select(tx.netloc(F.col("url")).alias("authority"), F.lit("User-agent: *\nDisallow:\nDisallow: /blog/\n").alias("robots"))
+    return lookup.crawlable(table(spark, d, "web_records").select("record_id", "url"), hosts).select("record_id", "allowed")
+
+
+def k4_keyword_index(spark, d):
+    """Search in a stored keyword index that was built from one part of the documents and extended by the rest."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    built = index.KeywordIndex(spark, storage.new_path(spark, "keywords")).rebuild(docs.where("doc_id % 2 = 0"), "doc_id", "text").append(docs, "doc_id", "text")
+    return built.search(table(spark, d, "golden_questions"), "item_id", "question", CFG.sparse).select("qid", "id", "rank", F.round("score", 6).alias("score"))
+
+
+def k5_page_blocks(spark, d):
+    """Each file's pages as one editable text with page markers."""
+    p = table(spark, d, "page_records").where("page_content is not null and page is not null").groupBy("url", "page").agg(F.min_by("page_content", "record_id").alias("t"))
+    block = F.concat(F.lit("--- Page "), F.col("page").cast("string"), F.lit(" ---\n"), F.col("t"))
+    return p.groupBy("url").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", block.alias("b")))), lambda x: x["b"]), "\n").alias("text"))
+
+
+def j5_manifest_metadata(spark, d):
+    """Documents with their source's author and language."""
+    m = table(spark, d, "source_manifest").select("source", "source_id", "author", "language")
+    return lookup.with_metadata(table(spark, d, "documents").select("doc_id", "source"), m, "source", "source_id")
+
+
+def j8_latest_known(spark, d):
+    """For each record the number of documents of its year, of the latest known year where there are none."""
+    dim = table(spark, d, "documents").where("published_at is not null").groupBy(F.year("published_at").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+    return lookup.latest_known(table(spark, d, "web_records").select("record_id", "year"), dim, "year", "n").select("record_id", "n")
+
+
+def j11_most_trusted(spark, d):
+    """The most trusted document of each source: statutes before official files before the rest."""
+    return lookup.most_trusted(table(spark, d, "documents").select("source", "doc_id", "content_type"), "source", "content_type", ["legal_text", "pdf_gov", "pdf_local"], "doc_id")
+
+
+def t21_keyword_routes(spark, d):
+    """Topics that each question names."""
+    words = {"asks_account": ["konto", "rachunek", "account"], "asks_item": ["pozycji", "about"], "asks_rate": ["stawka", "próg", "rate"]}
+    return table(spark, d, "golden_questions").select("item_id", *lookup.routes(F.col("question"), words))
+
+
+def t8_chunks_in_sql(spark, d):
+    """Chunks by the table function, from SQL."""
+    udtf.register(spark)
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return spark.sql("SELECT d.doc_id, c.chunk_index, c.chunk_total, length(c.chunk) AS chars FROM {docs} d, LATERAL chunk_text(d.text, 512, 64) c", docs=docs)
+
+
 # streams
 
 
