@@ -103,3 +103,30 @@ def without_fence(text: Column) -> Column:
 def contains_any(text: Column, patterns: Column) -> Column:
     """Whether the text holds any of the literal patterns, ignoring case; false for no patterns."""
     return F.exists(patterns, lambda p: F.contains(F.lower(text), F.lower(p)))
+
+
+def same_authority(url: Column, other: Column) -> Column:
+    """Whether two URLs have the same authority, ports included; false where either has none."""
+    return F.coalesce(netloc(url) == netloc(other), F.lit(False))
+
+
+def first_sufficient(levels: dict[str, Column], least: int = 50) -> Column:
+    """The first extraction level (arrays of page texts) with a page of at least ``least`` characters, else the last one.
+
+    Gives a struct of ``method`` and ``pages``; nulls where the last level is null too.
+    """
+    *tried, last = levels.items()
+    enough = lambda pages: F.coalesce(F.exists(pages, lambda p: F.coalesce(F.length(strip(p)) >= least, F.lit(False))), F.lit(False))
+    row = lambda name, pages: F.struct(F.lit(name).alias("method"), pages.alias("pages"))
+    out = F.when(last[1].isNotNull(), row(*last))
+    for name, pages in reversed(tried):
+        out = F.when(enough(pages), row(name, pages)).otherwise(out)
+    return out
+
+
+def replace_terms(text: Column, terms: dict[str, str]) -> Column:
+    """Text with whole words of a glossary replaced, longer terms first."""
+    for term in sorted(terms, key=lambda t: (-len(t), t)):
+        quoted = "".join(f"\\{c}" if not c.isalnum() and not c.isspace() else c for c in term)
+        text = F.regexp_replace(text, rf"(?iu)(?<![\p{{L}}\p{{N}}_]){quoted}(?![\p{{L}}\p{{N}}_])", terms[term].replace("\\", "\\\\").replace("$", "\\$"))
+    return text

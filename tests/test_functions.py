@@ -55,3 +55,12 @@ def test_article_udf_and_dates(spark):
     assert [r[0] for r in df.select(hx.article("v")["text"]).collect()] == ["x", None, ""]
     for raw, want in (("2024-05-06T10:00:00Z", "2024-05-06"), ("06.05.2024", "2024-05-06"), ("soon", ""), ("", "")):
         assert _one(spark, raw, hx.iso_date(F.col("v")))[0] == want
+
+
+def test_levels_glossary_and_authorities(spark):
+    df = spark.createDataFrame([(["x"], ["y" * 60, None], ["z"]), (None, [" " * 80], ["z"]), (None, None, None)], "a array<string>, b array<string>, c array<string>")
+    got = [r[0] for r in df.select(tx.first_sufficient({"text": F.col("a"), "layout": F.col("b"), "ocr": F.col("c")})).collect()]
+    assert [g and g.method for g in got] == ["layout", "ocr", None]
+    assert _one(spark, "Ike i IKE+, ike2", tx.replace_terms(F.col("v"), {"IKE": "konto $1", "ike+": "x"}))[0] == "konto $1 i x, ike2"
+    rows = spark.createDataFrame([("https://a.example/1", "https://a.example/2"), ("https://a.example:8/1", "https://a.example/2"), (None, "x")], "a string, b string")
+    assert [r[0] for r in rows.select(tx.same_authority(F.col("a"), F.col("b"))).collect()] == [True, False, False]
