@@ -142,7 +142,7 @@ def page_number(line: str) -> tuple[int, str, int | None] | None:
     if not m:
         return None
     word, number, total = m.groups()
-    if any(c.isdigit() for c in number):
+    if any(c.isdigit() for c in number) or word and number.translate(_DIGITS).isdigit():
         n = int(number.translate(_DIGITS))
         kind = "arabic"
     elif number.islower() or number.isupper():

@@ -30,16 +30,22 @@ _FILTER_BITS = 20
 @dataclass(frozen=True)
 class ScanConfig:
     """``edge``: lines at either end of a page that may be furniture.
-    ``neighbours``: share of the next two pages on either side that must have a running line too; ``far``: edits beyond which two lines are no pair. ``fit_words``, ``fit_pairs``: sample sizes of the
-    learners. ``lexicon_count``: least count of a correction. ``min_ratio``: how much more frequent it must be."""
+    ``neighbours``: share of the next two pages on either side that must have a running line too; ``far``: edits beyond which two lines are no pair;
+    ``least_pages``, ``file_share``: or how many pages of the file, and what share of them. ``fit_words``, ``fit_pairs``: sample sizes of the
+    learners. ``lexicon_count``: least count of a correction. ``min_ratio``: how much more frequent it must be
+    than a form met at most ``few`` times, ``often_ratio``: than one met more often."""
 
     edge: int = 3
     neighbours: float = 0.4
     far: int = 10
+    least_pages: int = 3
+    file_share: float = 0.2
     fit_words: int = 4000
     fit_pairs: int = 4000
     lexicon_count: int = 2
     min_ratio: float = 3.0
+    few: int = 2
+    often_ratio: float = 15.0
     seed: int = 5
     id_col: str = "record_id"
     file_col: str = "url"
@@ -86,11 +92,15 @@ def edges(pages: DataFrame, cfg: ScanConfig) -> DataFrame:
     return pages.select("rid", "file", "page", "total", "text").mapInArrow(cut, EDGE)
 
 
+_ALONE = re.compile(r"(?<![^\W\d_@!])\d{1,9}(?![^\W\d_@!])")
+_LOW_START = r"^[^\p{L}]*\p{Ll}"
+
+
 def pair_features(a: str, b: str, same_slot: bool, step: int) -> list[float]:
     """Features of two edge lines, ``step`` pages apart, being the same furniture."""
     x, y = ow.skeleton(a), ow.skeleton(b)
     ga, gb = {x[i : i + 4] for i in range(max(1, len(x) - 3))}, {y[i : i + 4] for i in range(max(1, len(y) - 3))}
-    old, new = ([int(n) for n in re.findall(r"\d{1,9}", t)] for t in (a, b))
+    old, new = ([int(n) for n in _ALONE.findall(t)] for t in (a, b))
     steps = float(any(n - m == step for m in old for n in new))
     moved = [(m, n) for m, n in zip(old, new) if m != n]
     if moved and not re.match(rf"\W*{moved[0][1]}\b", b) and not re.search(rf"\b{moved[0][1]}\W*$", b):
@@ -159,7 +169,15 @@ def furniture(pages: DataFrame, cfg: ScanConfig) -> DataFrame:
     # of the neighbouring pages there are, enough must have the line too
     around = both.groupBy(F.col("a_rid").alias("rid")).agg(F.countDistinct("step").alias("pages"))
     met = words.mapInArrow(judge, "rid long, line_no int, step int").groupBy("rid", "line_no").agg(F.countDistinct("step").alias("met"))
-    heads = met.join(around, "rid").where(F.col("met") >= F.col("pages") * cfg.neighbours).select("rid", "line_no", F.lit("running_header").alias("defect"))
+    near = met.join(around, "rid").where(F.col("met") >= F.col("pages") * cfg.neighbours).select("rid", "line_no")
+    # or, where headers alternate or change with the chapter, enough pages of the whole file
+    of = found.groupBy("file").agg(F.countDistinct("page").alias("of"))
+    often = found.where(F.length("skel") > 3).groupBy("file", "side", "skel").agg(F.countDistinct("page").alias("n")).where(F.col("n") >= cfg.least_pages)
+    often = often.join(of, "file").where(F.col("n") >= F.col("of") * cfg.file_share).select("file", "side", "skel")
+    wide = found.join(often, ["file", "side", "skel"], "left_semi").select("rid", "line_no")
+    # a line that begins in the midst of a sentence is body text, however often it recurs
+    starts = found.where(~F.col("text").rlike(_LOW_START)).select("rid", "line_no").distinct()
+    heads = near.unionByName(wide).distinct().join(starts, ["rid", "line_no"], "left_semi").withColumn("defect", F.lit("running_header"))
     stepping = both.where(steps).select(F.col("a_rid").alias("rid"), F.col("a_line_no").alias("line_no"))
     plain = found.where("number is not null and number = page and (total = 0 or number <= total) and not style like '%.'").select("rid", "line_no")
     counted = found.where("number is not null and of is not null and of = total").select("rid", "line_no")
@@ -347,7 +365,7 @@ def corrections(counts: DataFrame, model: Boosted | None, cfg: ScanConfig) -> Da
     known = lexicon.select(F.col("word").alias("printed"), F.col("n").alias("of")).mapInArrow(split(ow.near_grams), schema).select(F.col("word").alias("printed"), F.col("n").alias("of"), "gram")
     alike = (
         reads.join(known, "gram")
-        .where((F.col("of") >= F.col("n") * cfg.min_ratio) & (F.abs(F.length("word") - F.length("printed")) <= 2) & (F.col("word") != F.col("printed")))
+        .where((F.col("of") >= F.col("n") * cfg.min_ratio) & ((F.col("n") <= cfg.few) | (F.col("of") >= F.col("n") * cfg.often_ratio)) & (F.abs(F.length("word") - F.length("printed")) <= 2) & (F.col("word") != F.col("printed")))
         .groupBy("word", "n", "printed", "of")
         .agg(F.countDistinct("gram").alias("shared"), F.max("grams").alias("grams"))
         .where(F.col("shared") * 3 >= F.col("grams"))
