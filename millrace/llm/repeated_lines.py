@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 CONTAINER_BITS = 15
 #: An array of 16-bit offsets is as large as the bit field at this many entries.
@@ -93,10 +94,10 @@ def excessive(records: DataFrame, cfg: RepeatedLines = RepeatedLines()) -> DataF
         .agg(F.count(F.lit(1)).alias("of"))
     )
     maps = united(line_bitmaps(lines(records, cfg)))
-    # a line's containers are gathered with their cardinalities only; the bitmaps themselves stay where they are
-    counts = maps.groupBy("src", "k1", "k2").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= cfg.min_records)
-    over = counts.join(per_source, "src").where(F.col("docs") >= F.lit(cfg.min_share) * F.col("of")).select("src", "k1", "k2")
-    return maps.join(over, ["src", "k1", "k2"], "left_semi").select("src", "k1", "k2", "container", "few", "bits")
+    # the cardinalities of a line's containers are summed beside its bitmaps, which are computed once and stay apart
+    counted = maps.withColumn("all", F.sum("docs").over(Window.partitionBy("src", "k1", "k2"))).where(F.col("all") >= cfg.min_records)
+    over = counted.join(per_source, "src").where(F.col("all") >= F.lit(cfg.min_share) * F.col("of"))
+    return over.select("src", "k1", "k2", "container", "few", "bits")
 
 
 def _holds(low: Column) -> Column:
