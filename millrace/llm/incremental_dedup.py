@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import vectors as vec
-from millrace.llm.storage import materialise, new_table
+from millrace.llm.storage import materialise, new_table, spread
 
 POSTING = "axis long, record_id long, size int, weight int"
 
@@ -56,7 +56,7 @@ def vectorise(records: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame
     rows = records.where("page_content is not null and record_id is not null").select(
         "record_id", "batch_no", F.when(F.col("source_id").isNotNull(), F.xxhash64("source_id")).alias("src"), "page_content"
     )
-    raw = materialise(rows.mapInArrow(vec.vectorise, vec.RAW_SCHEMA), "sentences")
+    raw = materialise(spread(rows).mapInArrow(vec.vectorise, vec.RAW_SCHEMA), "sentences")
     per_source = raw.where("src is not null").groupBy("src").agg(F.count(F.lit(1)).alias("of"))
     lines = raw.where("src is not null").select("src", F.explode(F.array_distinct("lines")).alias("line"))
     often = lines.groupBy("src", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= cfg.min_records)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.storage import new_table
+from millrace.llm.storage import new_table, spread
 
 #: Of every so many consecutive positions one is probed. 12 words then hold two probed ones at least, and so do the words
 #: left of 30 or more when one in eight is replaced.
@@ -131,7 +131,7 @@ def build_index(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     rows = documents.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     path = new_table(documents.sparkSession, "postings")
-    rows.mapInArrow(blocks, INDEX_SCHEMA).write.option("compression", "zstd").parquet(path)
+    spread(rows).mapInArrow(blocks, INDEX_SCHEMA).write.option("compression", "zstd").parquet(path)
     return documents.sparkSession.read.schema(INDEX_SCHEMA).parquet(path)
 
 

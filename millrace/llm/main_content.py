@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.storage import spread
+
 BITS = 15
 # fixed values: names by which markup says what a block is
 BODY_TAGS = {"article", "main"}
@@ -339,7 +341,7 @@ def train(pages: DataFrame, cfg: ContentConfig = ContentConfig()) -> Weights:
                     bags += bag
             yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(views, pa.int32()), pa.array(labels, pa.bool_()), pa.array(bags, pa.list_(pa.int32()))], ["h", "view", "label", "bag"])
 
-    chosen = rows.mapInArrow(sample, "h long, title string, text string").orderBy("h", "text").limit(cfg.fit_pages)
+    chosen = spread(rows).mapInArrow(sample, "h long, title string, text string").orderBy("h", "text").limit(cfg.fit_pages)
     got = chosen.mapInArrow(tokens, "h long, view int, label boolean, bag array<int>").toArrow()
     h, view = got.column("h").to_numpy(), got.column("view").to_numpy()
     # full pages and dumps of the same page are pages of their own; the order within a page is kept
@@ -377,7 +379,7 @@ def classified(pages: DataFrame, cfg: ContentConfig = ContentConfig(), weights:
             yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(no, pa.int32()), pa.array(text, pa.string()), pa.array(main, pa.bool_())], ["record_id", "line_no", "text", "main"])
 
     rows = pages.where(F.col(cfg.text_col).isNotNull()).select(F.col(cfg.id_col).cast("long").alias("record_id"), F.col(cfg.title_col).alias("title"), F.col(cfg.text_col).alias("text"))
-    return rows.mapInArrow(split, "record_id long, line_no int, text string, main boolean")
+    return spread(rows).mapInArrow(split, "record_id long, line_no int, text string, main boolean")
 
 
 def furniture(pages: DataFrame, cfg: ContentConfig = ContentConfig()) -> DataFrame:
@@ -396,4 +398,4 @@ def extract(pages: DataFrame, cfg: ContentConfig = ContentConfig(), weights: Wei
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["record_id", "main_content"])
 
     rows = pages.select(F.col(cfg.id_col).cast("long").alias("record_id"), F.col(cfg.title_col).alias("title"), F.col(cfg.text_col).alias("text"))
-    return rows.mapInArrow(cut, "record_id long, main_content string")
+    return spread(rows).mapInArrow(cut, "record_id long, main_content string")

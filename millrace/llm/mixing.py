@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.storage import materialise
+from millrace.llm.storage import materialise, spread
 
 #: how the byte-level vocabulary splits a text, a published fixed value
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -61,7 +61,7 @@ def sized(documents: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32())], ["doc_id", "src", "n_tokens"])
 
     rows = documents.where(F.col(cfg.text_col).isNotNull()).select(F.col(cfg.id_col).cast("long").alias("doc_id"), source_key(F.col(cfg.source_col)).alias("src"), F.col(cfg.text_col).alias("text"))
-    return rows.mapInArrow(count, "doc_id long, src string, n_tokens int")
+    return spread(rows).mapInArrow(count, "doc_id long, src string, n_tokens int")
 
 
 def fit_lengths(lengths: np.ndarray, counts: np.ndarray, wanted: int, max_repeats: int, reserve: int) -> tuple[int, np.ndarray]:

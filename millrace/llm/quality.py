@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.storage import spread
+
 STATES = ("prose", "list", "table", "junk")
 PROSE, LIST, TABLE, JUNK = range(4)
 PIECE = 200
@@ -344,7 +346,7 @@ def statistics(documents: DataFrame, cfg: QualityConfig = QualityConfig(), model
             yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in STATS_SCHEMA.split(", ")])
 
     rows = documents.select(F.col(cfg.id_col).cast("long").alias("doc_id"), F.col(cfg.text_col).alias("text"))
-    return rows.mapInArrow(describe, STATS_SCHEMA)
+    return spread(rows).mapInArrow(describe, STATS_SCHEMA)
 
 
 def no_prose(documents: DataFrame, cfg: QualityConfig = QualityConfig(), most: float = 0.5) -> DataFrame:

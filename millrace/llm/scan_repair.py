@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import ocr_words as ow
 from millrace.llm.boosting import Boosted, fit_logistic, logistic
-from millrace.llm.storage import materialise
+from millrace.llm.storage import materialise, spread
 
 _FILTER_BITS = 20
 
@@ -56,13 +56,14 @@ class ScanConfig:
 
 def _pages(records: DataFrame, cfg: ScanConfig) -> DataFrame:
     own = F.concat(F.lit("record:"), F.col(cfg.id_col).cast("string"))
-    return records.where(F.col(cfg.text_col).isNotNull() & F.col(cfg.id_col).isNotNull()).select(
+    rows = records.where(F.col(cfg.text_col).isNotNull() & F.col(cfg.id_col).isNotNull()).select(
         F.col(cfg.id_col).cast("long").alias("rid"),
         F.xxhash64(F.coalesce(F.col(cfg.file_col), own)).alias("file"),
         F.coalesce(F.col(cfg.page_col), F.lit(0)).cast("int").alias("page"),
         F.coalesce(F.col(cfg.total_col), F.lit(0)).cast("int").alias("total"),
         F.col(cfg.text_col).alias("text"),
     )
+    return spread(rows)
 
 
 # furniture ------------------------------------------------------------------------------------------------------------

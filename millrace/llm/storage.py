@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from millrace.sources.storage import materialise, new_path as new_table, shared_dir
 
+__all__ = ["materialise", "new_table", "shared_dir", "spread"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where it is unset (tests, one machine) a new local one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table with fewer files than there are cores, dealt out to all of them; other tables as they are.
 
-def new_table(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: cuts the lineage and survives a lost executor."""
-    spark = df.sparkSession
-    path = new_table(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    Python stages over one small file would otherwise run in one task. Large tables have many splits and are not shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
