@@ -37,6 +37,6 @@ class KeywordIndex:
         tf = self.spark.read.parquet(f"{self.path}/postings").join(asked.select("token").distinct(), "token", "left_semi")
         total = self.spark.read.parquet(f"{self.path}/documents").agg(F.count(F.lit(1)).alias("total"))
         stats = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        weighted = stats.join(F.broadcast(total)).select("token", search.idf(F.col("df"), F.col("total")).alias("idf"))  # one row
+        weighted = search.with_total(stats, total).select("token", search.idf(F.col("df"), F.col("total")).alias("idf"))
         scores = tf.join(weighted.join(asked, "token"), "token").groupBy("qid", "id").agg(F.sum(F.col("idf") * F.col("tf")).alias("score"))
         return search.top(scores, k)

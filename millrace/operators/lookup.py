@@ -24,7 +24,7 @@ def latest_known(rows: DataFrame, dimension: DataFrame, key: str, value: str) ->
     """Rows with ``value`` of their key; an unknown or null key gets the value of the greatest known one."""
     dim = dimension.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(value).alias("__own"))
     newest = dim.agg(F.max_by("__own", key).alias("__latest")).withColumn("__one", F.lit(1))  # one row
-    return rows.join(dim, key, "left").withColumn("__one", F.lit(1)).join(newest, "__one", "left").withColumn(value, F.coalesce("__own", "__latest")).drop("__own", "__one", "__latest")
+    return rows.join(dim, key, "left").withColumn("__one", F.lit(1)).join(F.broadcast(newest), "__one", "left").withColumn(value, F.coalesce("__own", "__latest")).drop("__own", "__one", "__latest")
 
 
 def most_trusted(rows: DataFrame, group: str, kind: str, order: list[str], tie: str) -> DataFrame:

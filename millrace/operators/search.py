@@ -41,6 +41,11 @@ def idf(df: Column, total: Column) -> Column:
     return F.log((total - df + 0.5) / (df + 0.5) + 1)
 
 
+def with_total(rows: DataFrame, total: DataFrame) -> DataFrame:
+    """Rows with the columns of a table of one row: an equi-join on a constant whose right side is a single row."""
+    return rows.withColumn("__one", F.lit(1)).join(F.broadcast(total.withColumn("__one", F.lit(1))), "__one").drop("__one")
+
+
 def question_tokens(questions: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(qid, token): the distinct tokens of each question."""
     return questions.select(F.col(id_col).alias("qid"), F.explode(F.array_distinct(tx.tokens(F.col(text_col)))).alias("token")).distinct()
@@ -58,8 +63,7 @@ def sparse_scores(documents: DataFrame, questions: DataFrame, doc_id: str, doc_t
     tf = pieces.groupBy("token", "id").agg((F.count(F.lit(1)) / F.first("len")).alias("tf"))
     total = documents.where(F.col(doc_text).isNotNull()).agg(F.count(F.lit(1)).alias("total"))
     stats = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    # one row with the number of documents goes to the (few) question tokens
-    weighted = stats.join(F.broadcast(total)).select("token", idf(F.col("df"), F.col("total")).alias("idf"))
+    weighted = with_total(stats, total).select("token", idf(F.col("df"), F.col("total")).alias("idf"))
     return tf.join(weighted.join(asked, "token"), "token").groupBy("qid", "id").agg(F.sum(F.col("idf") * F.col("tf")).alias("score"))
 
 

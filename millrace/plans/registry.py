@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from millrace.functions import html as hx
 from millrace.functions import text as tx
@@ -29,7 +31,7 @@ def s1_tolerant_json(spark, d):
     e = table(spark, d, "events").select("event_id", "props")
     bad = F.when(F.col("event_id") % 7 == 0, F.substring("props", 1, 5)).when(F.col("event_id") % 11 == 0, F.lit("[1, 2]")).when(F.col("event_id") % 13 == 0, F.lit("  ")).otherwise(F.col("props"))
     lines = e.select(bad.alias("line"))
-    parsed = src.parse_json_lines(lines, "line", src.T.StructType.fromDDL("k int"))
+    parsed = src.parse_json_lines(lines, "line", T.StructType.fromDDL("k int"))
     return parsed.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -47,7 +49,7 @@ def s9_first_hit(spark, d):
 def s16_page_numbers(spark, d):
     """Pages with at least 50 characters, numbered within their file by record."""
     p = table(spark, d, "page_records").where(F.length(tx.strip(F.col("page_content"))) >= 50)
-    order = history.Window.partitionBy("url").orderBy("record_id")
+    order = Window.partitionBy("url").orderBy("record_id")
     return p.select("record_id", "url", F.row_number().over(order).alias("n"), tx.pdf_date(F.regexp_replace("date", "-", "")).alias("iso"))
 
 
@@ -399,4 +401,5 @@ def r4_event_windows(spark, d):
     return rows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "events", F.round("value", 4).alias("value"))
 
 
-QUERIES: dict = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith("_") and f.__name__ != "table"}
+_NO_QUERY = {"table"}
+QUERIES: dict = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith("_") and f.__name__ not in _NO_QUERY}
