@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm import incremental_dedup, leakage, main_content, mixing, quality, repeated_lines, scan_repair, splitting
 
@@ -16,6 +17,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental_dedup.duplicates(_table(spark, sf_dir, "web_records"))
 
 
+def p1_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every accepted record of every batch; records without text are accepted."""
+    records = _table(spark, sf_dir, "web_records")
+    gone = incremental_dedup.duplicates(records).select(F.col("record_id_b").alias("record_id"))
+    return records.select("record_id", "batch_no").join(gone, "record_id", "left_anti")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each occurrence of a line that is excessive within its source."""
     return repeated_lines.occurrences(_table(spark, sf_dir, "web_records"))
@@ -84,6 +92,7 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict = {
     "p1_found": p1_found,
+    "p1_accepted": p1_accepted,
     "p2_found": p2_found,
     "p2_clean": p2_clean,
     "p3_found": p3_found,

@@ -90,3 +90,13 @@ def test_copies_extra_rows_and_empty_tables(spark):
     assert dd.duplicates(df.limit(0)).count() == 0
     # all lines are furniture of the source: nothing is left to compare
     assert dd.duplicates(df).count() == 0
+
+
+def test_accepted_query_is_all_but_the_rejected(spark, tmp_path):
+    from millrace.llm import registry
+
+    rows = _corpus(3, 6)
+    spark.createDataFrame(rows, "record_id long, batch_no int, source_id string, page_content string").write.parquet(f"file://{tmp_path}/web_records.parquet")
+    rejected = {r.record_id_b for r in registry.p1_found(spark, f"file://{tmp_path}").collect()}
+    accepted = {r.record_id for r in registry.p1_accepted(spark, f"file://{tmp_path}").collect()}
+    assert rejected and accepted == {r[0] for r in rows} - rejected and 900 in accepted
