@@ -3,11 +3,10 @@
 Accepted records are kept as full sparse vectors (see ``vectors``) and in inverted-file cells. The cells' centroids are
 the unit vectors of the space's axes; dense centroids would not prune here, as unrelated texts are all nearly
 orthogonal and the triangle inequality then bounds nothing. A record is appended to the cells of its axes, rarest first,
-until the weight left on its other axes is below ``tail_share`` of its size. A new record probes its own cells in the
-same order up to the same bound: two records that share ``probe_share`` of the larger size share at least the difference
-of both bounds within the cells probed, so once less than that can be met no nearer match is possible and the probing
-ends. A second bound comes from the distance to the origin: sizes that differ by more than ``least`` allows are passed
-over. What remains is reranked exactly on the full vectors.
+until the weight left on its other axes is below ``tail_share`` of the whole. A new record probes its own cells in the
+same order up to the same bound: two records that share more than ``tail_share`` of the larger one's weight meet in a cell
+probed. A second bound comes from the distance to the origin: sizes that differ by more than ``least`` allows are passed
+over. Every pair met is reranked exactly on the full vectors.
 
 The order of the axes is frozen when the index is built: counts of the history's axes in a fixed number of buckets.
 """
@@ -21,25 +20,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.llm import vectors as vec
 from millrace.llm.storage import materialise, new_table, spread
 
-POSTING = "axis long, record_id long, size int, weight int"
+POSTING = "axis long, record_id long, size int"
 
 
 @dataclass(frozen=True)
 class DedupConfig:
     """``least``: similarity from which a record is a duplicate. Shares of words are bimodal: true copies with single
     words or digits changed keep over 0.65 of the strictly equal words, records that share half of their sentences up
-    to 0.5. ``probe_share``: least share of half sentences that a duplicate keeps; ``tail_share``: share of a record that
-    is left out of the cells. ``buckets``: size of the axis order.
+    to 0.5. ``tail_share``: share of a record that is left out of the cells. ``buckets``: size of the axis order.
     ``hot_cell``: cells of a new batch above this size are first thinned by their earliest record. ``min_records`` and
     ``min_share`` say which lines of a source don't count as article.
     """
 
     least: float = 0.6
-    probe_share: float = 0.35
     tail_share: float = 0.25
     buckets: int = 1 << 20
     hot_cell: int = 64
@@ -97,11 +95,10 @@ def postings(vectors: DataFrame, order: bytes, cfg: DedupConfig) -> DataFrame:
             row, axis, weight = row[by], axis[by], weight[by]
             before = np.cumsum(weight) - weight
             head = np.searchsorted(row, row)  # first entry of the same row
-            inside = size[row] - (before - before[head]) >= share * size[row]
-            row, axis, weight = row[inside], axis[inside], weight[inside]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(axis), pa.array(batch.column(0).to_numpy()[row]), pa.array(size[row]), pa.array(weight.astype(np.int32))], ["axis", "record_id", "size", "weight"]
-            )
+            whole = np.bincount(row, weights=weight, minlength=len(size))[row]
+            inside = whole - (before - before[head]) >= share * whole
+            row, axis = row[inside], axis[inside]
+            yield pa.RecordBatch.from_arrays([pa.array(axis), pa.array(batch.column(0).to_numpy()[row]), pa.array(size[row])], ["axis", "record_id", "size"])
 
     return vectors.select("record_id", "size", "lens", "words").where("size > 0").mapInArrow(place, POSTING)
 
@@ -111,29 +108,20 @@ def _near(cfg: DedupConfig) -> Column:
     return F.least("sa", "sb") >= F.lit(cfg.least) * F.greatest("sa", "sb")
 
 
-def _met(joined: DataFrame, cfg: DedupConfig) -> DataFrame:
-    """Distinct (a, b) that share enough within the cells probed (wa, wb: weights; sa, sb: sizes)."""
-    shared = joined.groupBy("a", "b").agg(F.sum(F.least("wa", "wb")).alias("shared"), F.max(F.greatest("sa", "sb")).alias("size"))
-    return shared.where(F.col("shared") >= F.lit(cfg.probe_share - cfg.tail_share) * F.col("size")).select("a", "b")
-
-
 def _side(cells: DataFrame, name: str, *more: str) -> DataFrame:
-    return cells.select("axis", F.col("record_id").alias(name), F.col("size").alias(f"s{name}"), F.col("weight").alias(f"w{name}"), *(F.col(c).alias(f"{c}_{name}") for c in more))
+    return cells.select("axis", F.col("record_id").alias(name), F.col("size").alias(f"s{name}"), *(F.col(c).alias(f"{c}_{name}") for c in more))
 
 
 def reranked(pairs: DataFrame, vectors: DataFrame, cfg: DedupConfig) -> DataFrame:
-    """(a, b, score) of the pairs that share ``cfg.probe_share`` of their axes and whose exact similarity reaches ``cfg.least``."""
-    least, share = cfg.least, cfg.probe_share
+    """(a, b, score) of the pairs whose exact similarity reaches ``cfg.least``."""
+    least = cfg.least
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offs, flat = zip(*(vec._flat(batch.column(i)) for i in range(2, 6)))
             flat = [f.astype(np.int32, copy=False) for f in flat]
             part = lambda k, i: flat[k][offs[k][i] : offs[k][i + 1]]
-            longer = np.maximum(np.diff(offs[1]), np.diff(offs[3]))
-            likely = np.flatnonzero(vec.axis_overlap((batch.column(2), batch.column(3)), (batch.column(4), batch.column(5))) >= share * longer)
-            got = np.zeros(len(batch))
-            got[likely] = [vec.similarity(part(0, i), part(1, i), part(2, i), part(3, i), least) for i in likely]
+            got = np.array([vec.similarity(part(0, i), part(1, i), part(2, i), part(3, i), least) for i in range(len(batch))], dtype=np.float64)
             hit = np.flatnonzero(got >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit)), batch.column(1).take(pa.array(hit)), pa.array(got[hit])], ["a", "b", "score"])
 
@@ -184,11 +172,16 @@ class DedupIndex:
         )
         reps = new.join(copies.where("record_id = rep").select("record_id"), "record_id", "left_semi")
         probes = materialise(postings(reps, self.order, cfg), "probes")
-        met = _met(_side(probes, "b").join(_side(self.cells(), "a"), "axis").where(_near(cfg)), cfg)
+        # most axes stand in one record only: all are shuffled once, and only cells that can give a pair are kept
+        every = self.cells().withColumn("new", F.lit(False)).unionByName(probes.withColumn("new", F.lit(True)))
+        cell = Window.partitionBy("axis")
+        several = every.withColumn("n", F.count(F.lit(1)).over(cell)).withColumn("some", F.max("new").over(cell)).where("n > 1 and some")
+        shared = materialise(several.select("axis", "record_id", "size", "new"), "shared")
+        met = _side(shared.where("new"), "b").join(_side(shared.where("not new"), "a"), "axis").where(_near(cfg)).select("a", "b").distinct()
         old = reranked(met, self.vectors().select("record_id", "lens", "words").unionByName(reps.select("record_id", "lens", "words")), cfg)
         known = materialise(old.groupBy("b").agg(F.max(F.struct("score", (-F.col("a")).alias("a"))).alias("best")).select(F.col("b"), (-F.col("best.a")).alias("a")), "known")
 
-        open_ = probes.join(known.select(F.col("b").alias("record_id")), "record_id", "left_anti")
+        open_ = shared.where("new").drop("new").join(known.select(F.col("b").alias("record_id")), "record_id", "left_anti")
         rank = copies.where("record_id = rep").select("record_id", F.struct("rep_batch", "record_id").alias("at"))
         inner = self._within(open_, reps, rank)
         pairs = known.select("a", "b").unionByName(inner)
@@ -211,15 +204,15 @@ class DedupIndex:
         cells = materialise(open_.join(rank, "record_id"), "open")
         store = vectors.select("record_id", "lens", "words")
         # hot cells: every member against the earliest one; a large group of near copies shrinks to a few open records
-        hot = cells.groupBy("axis").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("at", "size", "weight")).alias("lead")).where(F.col("n") > cfg.hot_cell)
-        leads = hot.select("axis", F.col("lead.at.record_id").alias("record_id"), F.col("lead.size").alias("size"), F.col("lead.weight").alias("weight"))
+        hot = cells.groupBy("axis").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("at", "size")).alias("lead")).where(F.col("n") > cfg.hot_cell)
+        leads = hot.select("axis", F.col("lead.at.record_id").alias("record_id"), F.col("lead.size").alias("size"))
         behind = _side(cells, "b").join(_side(leads, "a"), "axis").where(_near(cfg) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
         led = materialise(reranked(behind, store, cfg), "led").select("a", "b", "score")
         shut = led.select(F.col("b").alias("record_id")).distinct()
         while True:
             part = cells.join(shut, "record_id", "left_anti")
             both = _side(part, "a", "at").join(_side(part, "b", "at"), "axis").where((F.col("at_a") < F.col("at_b")) & _near(cfg))
-            edges = materialise(reranked(_met(both, cfg), store, cfg), "edges")
+            edges = materialise(reranked(both.select("a", "b").distinct(), store, cfg), "edges")
             taken = self._resolve(edges)
             # a record behind a leader is settled once one of its leaders is accepted; else it joins the open ones
             lost = taken.select(F.col("b").alias("a"))

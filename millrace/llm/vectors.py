@@ -1,8 +1,10 @@
 """Sparse sentence vectors of texts, for duplicate search (problem 1).
 
 A text becomes its sentences; a sentence becomes 16-bit codes of its folded words (case, diacritics, spacing,
-punctuation and entities vanish; any number is code 0). The axes of the vector space are half sentences: a changed word
-leaves the other half of its sentence in place. The weight on an axis is the number of words there.
+punctuation and entities vanish; any number is code 0). The words of a sentence are dealt by their codes to five parts; the axes of
+the vector space are the ten pairs of parts. A word added or removed, wherever it stands, leaves six axes of its sentence
+in place, a replaced word at least three; which words are in a part doesn't depend on their places. The weight on an axis
+is the number of words there.
 """
 
 from __future__ import annotations
@@ -128,30 +130,37 @@ def drop_furniture(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
+_PARTS = 5
+_PAIRS = [(i, j) for i in range(_PARTS) for j in range(i + 1, _PARTS)]
+
+
 def axes(lens_column: pa.ListArray, words_column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, axis as int64, weight) of every half sentence of a batch; sentences of up to three words are one axis."""
+    """(row, axis as int64, weight) of every pair of parts of every sentence that holds words."""
     of, lens = _flat(lens_column)
     _, words = _flat(words_column)
     row = np.repeat(np.arange(len(lens_column)), np.diff(of))
-    lens = lens.astype(np.int64)
-    first = np.where(lens > 3, lens // 2, lens)
-    both = np.stack([first, lens - first], axis=1).ravel()
-    rows = np.repeat(row, 2)[both > 0]
-    weight = both[both > 0]
-    if not len(weight):
-        return rows, np.zeros(0, dtype=np.int64), weight
-    start = np.concatenate(([0], np.cumsum(weight)[:-1]))
-    place = np.arange(int(weight.sum())) - np.repeat(start, weight)
+    sentence = np.repeat(np.arange(len(lens)), lens)
     with np.errstate(over="ignore"):
         mixed = (words.astype(np.uint64) + np.uint64(0x9E37)) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
-        mixed *= (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
         mixed ^= mixed >> np.uint64(32)
-        total = np.add.reduceat(mixed, start)
+        cell = sentence * _PARTS + ((mixed >> np.uint64(40)) % np.uint64(_PARTS)).astype(np.int64)
+        # a part is the sum of its words, in whatever order they stand
+        count = np.bincount(cell, minlength=len(lens) * _PARTS).reshape(-1, _PARTS)
+        part = np.zeros(count.size, dtype=np.uint64)
+        by = np.argsort(cell, kind="stable")
+        starts = np.concatenate(([0], np.cumsum(count.ravel())[:-1])).astype(np.int64)[count.ravel() > 0] if len(words) else np.zeros(0, dtype=np.int64)
+        if len(words):
+            part[count.ravel() > 0] = np.add.reduceat(mixed[by], starts)
+        part = part.reshape(-1, _PARTS)
+        total = np.stack([part[:, i] * np.uint64(2 * k + 3) + (part[:, j] ^ np.uint64(0xA5A5A5A5 + k)) * np.uint64(0xBF58476D1CE4E5B9) for k, (i, j) in enumerate(_PAIRS)], axis=1)
         total ^= total >> np.uint64(31)
         total *= np.uint64(0x94D049BB133111EB)
         total ^= total >> np.uint64(30)
-    return rows, total.view(np.int64), weight
+    weight = np.stack([count[:, i] + count[:, j] for i, j in _PAIRS], axis=1)
+    some = weight.ravel() > 0
+    return np.repeat(row, len(_PAIRS))[some], total.ravel()[some].view(np.int64), weight.ravel()[some]
 
 
 def summed_axes(lens_column: pa.ListArray, words_column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,16 +174,6 @@ def summed_axes(lens_column: pa.ListArray, words_column: pa.ListArray) -> tuple[
     return row[heads], axis[heads], np.add.reduceat(weight, heads)
 
 
-def axis_overlap(a: tuple[pa.ListArray, pa.ListArray], b: tuple[pa.ListArray, pa.ListArray]) -> np.ndarray:
-    """For each row the weight on the axes that both sides share."""
-    (ra, xa, wa), (rb, xb, wb) = summed_axes(*a), summed_axes(*b)
-    row, axis, weight = np.concatenate((ra, rb)), np.concatenate((xa, xb)), np.concatenate((wa, wb))
-    by = np.lexsort((axis, row))
-    row, axis, weight = row[by], axis[by], weight[by]
-    same = np.flatnonzero((row[1:] == row[:-1]) & (axis[1:] == axis[:-1]))
-    return np.bincount(row[same], weights=np.minimum(weight[same], weight[same + 1]), minlength=len(a[0]))
-
-
 def similarity(a_lens, a_words, b_lens, b_words, least: float, same_sentence: float = 0.6) -> float:
     """Share of the longer text's words that stand in the other one in the same sentences; 0 as soon as it can't reach ``least``.
 

@@ -100,3 +100,31 @@ def test_accepted_query_is_all_but_the_rejected(spark, tmp_path):
     rejected = {r.record_id_b for r in registry.p1_found(spark, f"file://{tmp_path}").collect()}
     accepted = {r.record_id for r in registry.p1_accepted(spark, f"file://{tmp_path}").collect()}
     assert rejected and accepted == {r[0] for r in rows} - rejected and 900 in accepted
+
+
+def _edited(rng, text, kind):
+    """A copy in which most sentences have a word replaced in each half, or have got or lost one."""
+    out = []
+    for line in text:
+        w = line[:-1].lower().split()
+        if kind == "replaced":
+            w[rng.randrange(len(w) // 2)] = rng.choice(WORDS)
+            w[rng.randrange(len(w) // 2, len(w))] = rng.choice(WORDS)
+        elif kind == "added":
+            w.insert(rng.randrange(len(w)), rng.choice(WORDS))
+        else:
+            w.pop(rng.randrange(len(w)))
+        out.append(" ".join(w) + ".")
+    return out
+
+
+def test_copies_with_every_sentence_edited(spark):
+    rng = random.Random(11)
+    base = [[" ".join(rng.choice(WORDS) for _ in range(12)) + "." for _ in range(12)] for _ in range(150)]
+    rows = [(i, 0, None, "\n".join(t)) for i, t in enumerate(base)]
+    rows += [(1000 + i, 1, None, "\n".join(_edited(rng, t, ("replaced", "added", "removed")[i % 3]))) for i, t in enumerate(base)]
+    cfg = dd.DedupConfig()
+    expected = _brute(rows, cfg)
+    assert len(expected) == 150
+    got = {r.record_id_b: r.record_id_a for r in dd.duplicates(spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA), cfg).collect()}
+    assert got == expected
