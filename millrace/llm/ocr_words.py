@@ -22,6 +22,7 @@ _EDGE = ".,;:?()[]{}„”“\"'»«•…|–—*"
 _CODE = re.compile(r"[A-Z]{2,}[-/]?\d[\d-]*|\d+(?:[.,:/-]\d+)*%?")
 _NUMBERLIKE = re.compile(r"(?=.*\d)(?=.*[OolI])[\dOolI.,]+%?")
 _SYMBOL = re.compile(r"[@!0-9]")
+_NUMBERED = re.compile(r"\d+[a-z]{1,2}|[a-z]{1,3}\d")
 
 
 def trimmed(token: str) -> str:
@@ -43,9 +44,14 @@ def word_type(token: str) -> str | None:
 
 
 def certain(word: str) -> bool:
-    """A word that no dictionary is needed for: signs or digits among small letters, or letters in a number."""
+    """A word that no dictionary is needed for: signs or digits among small letters, or letters in a number.
+
+    Numbering and units (5a, m2) are regular forms: they are misread only if a ranked candidate says so.
+    """
     if _NUMBERLIKE.fullmatch(word):
         return True
+    if _NUMBERED.fullmatch(word):
+        return False
     inner = word[:-1] if word.endswith("!") else word
     if len(word) > 30 or sum(c.isupper() for c in word[1:]) > 2 or len(_SYMBOL.findall(inner)) > 3:
         return False  # keys, hashes and the like

@@ -68,3 +68,12 @@ def test_page_numbers_and_confusions():
     assert ow.explain("ernisyjny", "emisyjny") and ow.explain("kredyt", "kredyt") == [] and ow.explain("rata", "kapitał") is None
     assert ow.certain("sp6łki") and ow.certain("3O") and not ow.certain("KVI0557") and not ow.certain("kredyt")
     assert ow.skeleton("Wydawnictw0 Verronk, nakład 8600 egz.") == ow.skeleton("Wydawnictwo Verronk, nakład 77 egz.")
+
+
+def test_numbering_and_units_are_no_misread_words(spark):
+    assert not any(map(ow.certain, ("m2", "5a", "2b", "12b", "cm3"))) and ow.certain("sp6łki") and ow.certain("kred1t")
+    rng = random.Random(4)
+    rows, _ = _file(rng, 6, "file:///u.pdf", 0, False)
+    rows = [(*r[:4], r[4].replace(" ", " art. 5a lokal 50 m2 ", 1)) for r in rows]
+    df = spark.createDataFrame(rows, "record_id long, url string, page int, page_total int, page_content string")
+    assert sr.defects(df).where("defect = 'misread'").count() == 0
