@@ -211,6 +211,12 @@ def _with_furniture(pages: DataFrame, gone: DataFrame) -> DataFrame:
     return pages.join(per_page, "rid", "left").select("rid", "file", "page", "text", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
 
 
+def _once(body: DataFrame) -> DataFrame:
+    """Each page of a file once, however often it is delivered."""
+    first = body.groupBy("file", "page", F.sha2("text", 256).alias("sig")).agg(F.min_by(F.struct("text", "gone"), "rid").alias("first"))
+    return first.select("first.text", "first.gone")
+
+
 def word_counts(body: DataFrame) -> DataFrame:
     """(word, n) over all body lines; the parts of broken words don't count."""
 
@@ -457,7 +463,7 @@ def analyse(records: DataFrame, cfg: ScanConfig = ScanConfig()) -> Findings:
     pages = _pages(records, cfg)
     gone = materialise(furniture(pages, cfg), "furniture")
     body = _with_furniture(pages, gone)
-    counts = materialise(word_counts(body), "words")
+    counts = materialise(word_counts(_once(body)), "words")
     # the learners see the most frequent words and compounds, at most cfg.fit_words of each
     top = counts.where(~F.col("word").contains("-")).orderBy(F.desc("n"), "word").limit(cfg.fit_words)
     hyphened = counts.where(F.col("word").contains("-")).orderBy(F.desc("n"), "word").limit(cfg.fit_words)

@@ -77,3 +77,22 @@ def test_numbering_and_units_are_no_misread_words(spark):
     rows = [(*r[:4], r[4].replace(" ", " art. 5a lokal 50 m2 ", 1)) for r in rows]
     df = spark.createDataFrame(rows, "record_id long, url string, page int, page_total int, page_content string")
     assert sr.defects(df).where("defect = 'misread'").count() == 0
+
+
+def test_words_found_do_not_depend_on_deliveries(spark):
+    rng = random.Random(8)
+    rows = [r for f in range(6) for r in _file(rng, 6, f"file:///{f}.pdf", 100 * f, False)[0]]
+    word = max(WORDS, key=lambda w: (sum(r[4].count(w) for r in rows[1:]), w))
+    rows[0] = (*rows[0][:4], rows[0][4] + "\n" + word.replace("o", "c", 1).replace("e", "c", 1) + " x")
+    schema = "record_id long, url string, page int, page_total int, page_content string"
+    copies = rows + [(1000 * k + r[0], *r[1:]) for k in range(1, 5) for r in rows[:6]]
+    count = lambda data: {r.word: r.n for r in sr.word_counts(sr._once(_body(spark.createDataFrame(data, schema)))).collect()}
+    assert count(rows) == count(copies)
+    one, many = ({tuple(x) for x in sr.defects(spark.createDataFrame(d, schema)).where("record_id < 1000 and defect = 'misread'").collect()} for d in (rows, copies))
+    assert one == many
+
+
+def _body(df):
+    cfg = sr.ScanConfig()
+    pages = sr._pages(df, cfg)
+    return sr._with_furniture(pages, sr.furniture(pages, cfg))
