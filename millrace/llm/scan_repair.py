@@ -29,7 +29,7 @@ _FILTER_BITS = 20
 
 @dataclass(frozen=True)
 class ScanConfig:
-    """``edge``: lines at either end of a page that may be furniture.
+    """``edge``: lines looked at together at either end of a page; more while all of them are furniture.
     ``neighbours``: share of the next two pages on either side that must have a running line too; ``far``: edits beyond which two lines are no pair;
     ``least_pages``, ``file_share``: or how many pages of the file, and what share of them. ``fit_words``, ``fit_pairs``: sample sizes of the
     learners. ``lexicon_count``: least count of a correction. ``min_ratio``: how much more frequent it must be
@@ -71,26 +71,27 @@ def _pages(records: DataFrame, cfg: ScanConfig) -> DataFrame:
 EDGE = "rid long, file long, page int, total int, side int, slot int, line_no int, text string, number int, style string, of int, skel string"
 
 
-def edges(pages: DataFrame, cfg: ScanConfig) -> DataFrame:
-    """The lines at the top (side 0) and bottom (side 1) of each page."""
+def edges(pages: DataFrame, cfg: ScanConfig, start: int = 0) -> DataFrame:
+    """The lines at the top (side 0) and bottom (side 1) of each page, from slot ``start`` inwards; ``sides`` says which sides."""
     most = cfg.edge
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in EDGE.split(", ")]
         for batch in batches:
             out = []
-            for rid, file, page, total, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for rid, file, page, total, text, sides in zip(*(c.to_pylist() for c in batch.columns)):
                 lines = [(i, t.strip()) for i, t in enumerate(text.split("\n")) if t.strip()]
-                for side, part in ((0, lines[:most]), (1, lines[: -most - 1 : -1])):
-                    for slot, (no, line) in enumerate(part):
-                        if len(line) <= 160:
-                            number, style, of = ow.page_number(line) or (None, None, None)
-                            out.append((rid, file, page, total, side, slot, no, line, number, style, of, ow.skeleton(line) if number is None else None))
+                for side, part in ((0, lines[start : start + most]), (1, lines[::-1][start : start + most])):
+                    if side not in sides:
+                        continue
+                    for slot, (no, line) in enumerate(part, start):
+                        number, style, of = ow.page_number(line) or (None, None, None)
+                        out.append((rid, file, page, total, side, slot, no, line, number, style, of, ow.skeleton(line) if number is None else None))
             cols = list(zip(*out)) if out else [[]] * len(names)
             kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-    return pages.select("rid", "file", "page", "total", "text").mapInArrow(cut, EDGE)
+    return pages.select("rid", "file", "page", "total", "text", "sides").mapInArrow(cut, EDGE)
 
 
 _ALONE = re.compile(r"(?<![^\W\d_@!])\d{1,9}(?![^\W\d_@!])")
@@ -141,16 +142,33 @@ def fit_pairs(sample: list[tuple[int, int, str]], cfg: ScanConfig) -> np.ndarray
 
 
 def furniture(pages: DataFrame, cfg: ScanConfig) -> DataFrame:
-    """(rid, line_no, defect): running headers and footers, and page numbers."""
-    found = materialise(edges(pages, cfg), "edges")
+    """(rid, line_no, defect): running headers and footers, and page numbers.
+
+    Where all lines looked at on a side are furniture, the next ones inwards are looked at too.
+    """
+    first = found = materialise(edges(pages.withColumn("sides", F.array(F.lit(0), F.lit(1))), cfg), "edges")
     sample = found.where("slot = 0 and number is null").select("file", "slot", "text").distinct().orderBy(F.xxhash64("file", "text"), "file", "text").limit(cfg.fit_pairs)
     weights = fit_pairs([(r.file, r.slot, r.text) for r in sample.collect()], cfg)
+    out, start = None, 0
+    while True:
+        now = materialise(_judged(found, first, weights, cfg), "edge-furniture")
+        out = now if out is None else out.unionByName(now)
+        start += cfg.edge
+        full = found.join(now, ["rid", "line_no"], "left_semi").groupBy("rid", "side").agg(F.countDistinct("slot").alias("n")).where(F.col("n") == cfg.edge)
+        inner = pages.join(full.groupBy("rid").agg(F.collect_set("side").alias("sides")), "rid")
+        found = materialise(edges(inner, cfg, start), "edges")
+        if found.isEmpty():
+            return out.groupBy("rid", "line_no").agg(F.min("defect").alias("defect"))
+
+
+def _judged(found: DataFrame, first: DataFrame, weights: np.ndarray, cfg: ScanConfig) -> DataFrame:
+    """The furniture among the lines ``found``; pages of a file are counted over ``first``, the outermost lines."""
     a = found.select("file", "side", "page", *(F.col(c).alias(f"a_{c}") for c in ("rid", "line_no", "slot", "text", "number", "style", "skel")), F.explode(F.array(F.lit(1), F.lit(2))).alias("step"))
     b = found.select("file", "side", "page", *(F.col(c).alias(f"b_{c}") for c in ("rid", "line_no", "slot", "text", "number", "style", "skel")))
     # a page delivered several times stands for itself once, so that copies pair in proportion to their number
-    first = b.groupBy("file", "side", "page", "b_slot", "b_text").agg(F.first("b_number").alias("b_number"), F.first("b_style").alias("b_style"), F.first("b_skel").alias("b_skel"))
-    pairs = a.withColumn("page", F.col("page") + F.col("step")).join(first, ["file", "side", "page"])
-    back = a.withColumn("page", F.col("page") - F.col("step")).withColumn("step", -F.col("step")).join(first, ["file", "side", "page"])
+    other = b.groupBy("file", "side", "page", "b_slot", "b_text").agg(F.first("b_number").alias("b_number"), F.first("b_style").alias("b_style"), F.first("b_skel").alias("b_skel"))
+    pairs = a.withColumn("page", F.col("page") + F.col("step")).join(other, ["file", "side", "page"])
+    back = a.withColumn("page", F.col("page") - F.col("step")).withColumn("step", -F.col("step")).join(other, ["file", "side", "page"])
     both = pairs.unionByName(back)
     steps = (F.col("a_number") + F.col("step") == F.col("b_number")) & (F.substring("a_style", 1, 5) == F.substring("b_style", 1, 5))
 
@@ -172,7 +190,7 @@ def furniture(pages: DataFrame, cfg: ScanConfig) -> DataFrame:
     met = words.mapInArrow(judge, "rid long, line_no int, step int").groupBy("rid", "line_no").agg(F.countDistinct("step").alias("met"))
     near = met.join(around, "rid").where(F.col("met") >= F.col("pages") * cfg.neighbours).select("rid", "line_no")
     # or, where headers alternate or change with the chapter, enough pages of the whole file
-    of = found.groupBy("file").agg(F.countDistinct("page").alias("of"))
+    of = first.groupBy("file").agg(F.countDistinct("page").alias("of"))
     often = found.where(F.length("skel") > 3).groupBy("file", "side", "skel").agg(F.countDistinct("page").alias("n")).where(F.col("n") >= cfg.least_pages)
     often = often.join(of, "file").where(F.col("n") >= F.col("of") * cfg.file_share).select("file", "side", "skel")
     wide = found.join(often, ["file", "side", "skel"], "left_semi").select("rid", "line_no")

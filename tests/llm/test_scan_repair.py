@@ -96,3 +96,14 @@ def _body(df):
     cfg = sr.ScanConfig()
     pages = sr._pages(df, cfg)
     return sr._with_furniture(pages, sr.furniture(pages, cfg))
+
+
+def test_blocks_of_many_header_lines_and_long_footers(spark):
+    rng = random.Random(6)
+    head = ["Kancelaria Verronk i wspólnicy", "Oddział w Krakowie, ulica Długa", "Biuletyn oszczędzania", "Rozdział o składkach", "Wydanie dla doradców"]
+    foot = " ".join(f"Zastrzeżenie {w}" for w in WORDS[:20])
+    assert len(foot) > 160
+    rows = [(p, "file:///h.pdf", p, 8, "\n".join([*head, *(" ".join(rng.choice(WORDS) for _ in range(9)) for _ in range(15)), foot])) for p in range(1, 9)]
+    df = spark.createDataFrame(rows, "record_id long, url string, page int, page_total int, page_content string")
+    got = {tuple(r) for r in sr.defects(df).where("defect = 'running_header'").collect()}
+    assert got == {(p, n, "running_header") for p in range(1, 9) for n in (0, 1, 2, 3, 4, 20)}
