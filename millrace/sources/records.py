@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.sources.storage import exists
+
 WEB_RECORD = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("url", "source_id", "source", "author", "title", "date")]
     + [T.StructField("year", T.IntegerType())]
@@ -15,15 +17,9 @@ WEB_RECORD = T.StructType(
 PAGE_RECORD = T.StructType([*WEB_RECORD.fields, T.StructField("page", T.IntegerType()), T.StructField("page_total", T.IntegerType()), T.StructField("extraction_method", T.StringType())])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jpath)
-    return found is not None and len(found) > 0
-
-
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType = WEB_RECORD) -> DataFrame:
     """Records of JSON-lines files; blank, truncated and non-object lines are dropped, no file gives no rows."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
@@ -37,7 +33,7 @@ def parse_json_lines(lines: DataFrame, line_col: str, schema: T.StructType) -> D
 
 def read_manifest(spark: SparkSession, path: str, schema: str = "url string, author string, topics array<string>, notes string") -> DataFrame:
     """Entries of a JSON array; a missing file is an empty manifest."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
 
@@ -51,7 +47,7 @@ def append_new(records: DataFrame, store: str, key: str = "content_hash") -> int
     """Append rows whose key isn't in a Parquet store; gives their number. Running it twice adds nothing."""
     spark = records.sparkSession
     fresh = records.dropDuplicates([key])
-    if _exists(spark, store):
+    if exists(spark, store):
         fresh = fresh.join(spark.read.parquet(store).select(key), key, "left_anti")
     fresh = fresh.persist()
     try:

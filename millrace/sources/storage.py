@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where it is unset (tests, one machine) a new local one is set."""
+    """The folder named in ``spark.checkpoint.dir``; where it is unset, the warehouse folder of a session on one machine.
+
+    A cluster must name a folder that all its machines share: tables in a machine's own folder couldn't be read by others.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir") + "/stages"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path, or any that matches it as a pattern, is there."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jpath)
+    return found is not None and len(found) > 0
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
     return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex[:12]}"
@@ -25,5 +37,5 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: cuts the lineage and survives a lost executor."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
