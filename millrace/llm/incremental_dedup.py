@@ -1,14 +1,16 @@
 """Deduplicating new batches against all history (problem 1).
 
-Accepted records are kept as full sparse vectors (see ``vectors``) and in inverted-file cells. The cells' centroids are
-the unit vectors of the space's axes; dense centroids would not prune here, as unrelated texts are all nearly
-orthogonal and the triangle inequality then bounds nothing. A record is appended to the cells of its axes, rarest first,
-until the weight left on its other axes is below ``tail_share`` of the whole. A new record probes its own cells in the
-same order up to the same bound: two records that share more than ``tail_share`` of the larger one's weight meet in a cell
-probed. A second bound comes from the distance to the origin: sizes that differ by more than ``least`` allows are passed
-over. Every pair met is reranked exactly on the full vectors.
-
-The order of the axes is frozen when the index is built: counts of the history's axes in a fixed number of buckets.
+An index keeps, in the shared folder, the full vectors of all accepted records and inverted-file cells. A cell is named by
+a few words of one sentence (see ``vectors``); a record stands in several cells for each of its sentences. A new
+record probes the cells of its sentences, those of the emptiest cells first, until the sentences left hold no more than
+``tail_share`` of its words: a record that is near enough shares more than that, so part of what it shares stands in
+cells that were probed. Which words name a cell is drawn, so a sentence with changed words keeps each of its cells with
+some probability only; recall is measured against brute force. Every pair met is then held against two exact bounds of
+its similarity (sizes, and words shared by the sketches), and those left are scored on the full vectors.
+
+Also kept: the words' weights (frozen when the index is built), how full the cells are, by hash bucket, and the counts of
+each source's lines, so that a later delivery reads no text of the history. A delivery counts once its ``rejected``
+table is there; what an interrupted run left behind is written anew.
 """
 
 from __future__ import annotations
@@ -20,225 +22,347 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.llm import vectors as vec
-from millrace.llm.storage import materialise, new_table, spread
+from millrace.llm.repeated_lines import line_key
+from millrace.llm.storage import exists, materialise, new_table, spread
 
-POSTING = "axis long, record_id long, size int"
+CELLS = "record_id long, batch_no int, size int, cells array<long>"
+_LAST = (1 << 31) - 1
+PROBES = "cell long, b long, batch_b int, size_b int"
 
 
 @dataclass(frozen=True)
 class DedupConfig:
-    """``least``: similarity from which a record is a duplicate. Shares of words are bimodal: true copies with single
-    words or digits changed keep over 0.65 of the strictly equal words, records that share half of their sentences up
-    to 0.5. ``tail_share``: share of a record that is left out of the cells. ``buckets``: size of the axis order.
-    ``hot_cell``: cells of a new batch above this size are first thinned by their earliest record. ``min_records`` and
-    ``min_share`` say which lines of a source don't count as article.
+    """``least``: similarity from which a record is a duplicate. ``tail_share``: share of a record's words whose cells, the
+    fullest ones, aren't probed. ``buckets``: hash buckets in which the cells are counted. ``hot_cell``: cells with more new
+    records are thinned by their earliest ones before pairs are made. ``min_records`` and ``min_share`` say which lines of a
+    source don't count as article. ``broadcast_lines``: number of such lines up to which tasks hold them all; more are joined.
     """
 
-    least: float = 0.6
-    tail_share: float = 0.25
+    least: float = 0.75
+    tail_share: float = 0.45
     buckets: int = 1 << 20
     hot_cell: int = 64
     min_records: int = 5
     min_share: float = 0.05
+    broadcast_lines: int = 500_000
 
 
-def vectorise(records: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
-    """Written vectors of (record_id, batch_no, source_id, page_content): ``vec.VECTOR_SCHEMA``.
+def _source() -> Column:
+    return F.xxhash64("source_id")
 
-    Rows with null text have none; a text without words, or of excessive lines only, has size 0 and duplicates nothing.
-    Lines that are excessive in their source are left out, counted over all given records.
-    """
-    rows = records.where("page_content is not null and record_id is not null").select(
-        "record_id", "batch_no", F.when(F.col("source_id").isNotNull(), F.xxhash64("source_id")).alias("src"), "page_content"
-    )
-    raw = materialise(spread(rows).mapInArrow(vec.vectorise, vec.RAW_SCHEMA), "sentences")
-    per_source = raw.where("src is not null").groupBy("src").agg(F.count(F.lit(1)).alias("of"))
-    lines = raw.where("src is not null").select("src", F.explode(F.array_distinct("lines")).alias("line"))
-    often = lines.groupBy("src", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= cfg.min_records)
-    furniture = often.join(per_source, "src").where(F.col("n") >= cfg.min_share * F.col("of")).groupBy("src").agg(F.collect_list("line").alias("excl"))
-    joined = raw.join(furniture, "src", "left").select("record_id", "batch_no", "lines", "lens", "words", F.coalesce("excl", F.array().cast("array<long>")).alias("excl"))
-    return materialise(joined.mapInArrow(vec.drop_furniture, vec.VECTOR_SCHEMA), "vectors")
-
-
-def axis_order(history: DataFrame, cfg: DedupConfig) -> bytes:
-    """Logarithmic counts of the history's axes by bucket: one byte each, ``cfg.buckets`` in all, whatever the history's size."""
-    buckets = cfg.buckets
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(buckets, dtype=np.int64)
-        for batch in batches:
-            total += np.bincount(vec.axes(batch.column(0), batch.column(1))[1] & (buckets - 1), minlength=buckets)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
 
-    found = history.select("lens", "words").mapInArrow(counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1")
-    order = np.zeros(buckets, dtype=np.uint8)
-    got = found.select("bucket", F.least(F.lit(255), F.floor(F.log2("n") * 8)).cast("int").alias("rank")).toArrow()
-    order[got.column("bucket").to_numpy()] = got.column("rank").to_numpy()
-    return order.tobytes()
+def _line_keys() -> Column:
+    return F.transform(F.split("page_content", "\n"), lambda line: F.xxhash64(line_key(line)))
 
 
-def postings(vectors: DataFrame, order: bytes, cfg: DedupConfig) -> DataFrame:
-    """The cells of each record, rarest axis first, up to the bound: ``POSTING``."""
-    shared = vectors.sparkSession.sparkContext.broadcast(order)  # cfg.buckets bytes
-    share, buckets = cfg.tail_share, cfg.buckets
+def line_counts(records: DataFrame) -> DataFrame:
+    """(src, line, n): in how many records of a source each line stands; ``line`` null: how many records it has."""
+    rows = records.where("page_content is not null and source_id is not null").select(_source().alias("src"), F.array_distinct(F.array_append(_line_keys(), F.lit(None).cast("long"))).alias("lines"))
+    return rows.select("src", F.explode("lines").alias("line")).groupBy("src", "line").agg(F.count(F.lit(1)).alias("n"))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.frombuffer(shared.value, dtype=np.uint8)
-        for batch in batches:
-            size = batch.column(1).to_numpy()
-            row, axis, weight = vec.summed_axes(batch.column(2), batch.column(3))
-            by = np.lexsort((axis, rank[axis & (buckets - 1)], row))
-            row, axis, weight = row[by], axis[by], weight[by]
-            before = np.cumsum(weight) - weight
-            head = np.searchsorted(row, row)  # first entry of the same row
-            whole = np.bincount(row, weights=weight, minlength=len(size))[row]
-            inside = whole - (before - before[head]) >= share * whole
-            row, axis = row[inside], axis[inside]
-            yield pa.RecordBatch.from_arrays([pa.array(axis), pa.array(batch.column(0).to_numpy()[row]), pa.array(size[row])], ["axis", "record_id", "size"])
 
-    return vectors.select("record_id", "size", "lens", "words").where("size > 0").mapInArrow(place, POSTING)
+def excessive_lines(counts: DataFrame, cfg: DedupConfig) -> DataFrame:
+    """(line): the lines that are excessive in any source. Elsewhere, in a copy, they are no article either."""
+    total = counts.groupBy("src", "line").agg(F.sum("n").alias("n"))
+    of = total.where("line is null").select("src", F.col("n").alias("of"))
+    often = total.where(F.col("line").isNotNull() & (F.col("n") >= cfg.min_records)).join(of, "src")
+    empty = F.xxhash64(F.lit(""))
+    return often.where((F.col("n") >= cfg.min_share * F.col("of")) & (F.col("line") != empty)).select("line").distinct()
 
 
-def _near(cfg: DedupConfig) -> Column:
-    """The sizes ``sa`` and ``sb`` allow a match."""
-    return F.least("sa", "sb") >= F.lit(cfg.least) * F.greatest("sa", "sb")
+def vectorise(records: DataFrame, excessive: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
+    """Vectors of (record_id, batch_no, page_content), not yet written: ``vec.VECTOR_SCHEMA``.
+
+    Rows with null text or id have none; a text without words, or of excessive lines only, has size 0 and
+    duplicates nothing. A null batch comes last.
+    """
+    known = materialise(excessive, "excessive")
+    rows = spread(records.where("page_content is not null and record_id is not null")).select("record_id", F.coalesce("batch_no", F.lit(_LAST)).cast("int").alias("batch_no"), "page_content", _line_keys().alias("keys"))
+    if known.count() <= cfg.broadcast_lines:
+        gone = records.sparkSession.sparkContext.broadcast(frozenset(known.toArrow().column("line").to_pylist()))
+        return rows.withColumn("own", F.lit(None).cast("array<long>")).mapInArrow(lambda batches: vec.vectorise(batches, gone.value), vec.VECTOR_SCHEMA)
+    hits = rows.select("record_id", F.explode(F.array_distinct("keys")).alias("line")).join(known, "line", "left_semi")
+    own = hits.groupBy("record_id").agg(F.collect_set("line").alias("own"))
+    return rows.join(own, "record_id", "left").select("record_id", "batch_no", "page_content", "keys", "own").mapInArrow(lambda batches: vec.vectorise(batches, frozenset()), vec.VECTOR_SCHEMA)
 
 
-def _side(cells: DataFrame, name: str, *more: str) -> DataFrame:
-    return cells.select("axis", F.col("record_id").alias(name), F.col("size").alias(f"s{name}"), *(F.col(c).alias(f"{c}_{name}") for c in more))
+def _summed(arrays: Iterator[np.ndarray], size: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(size, dtype=np.int64)
+    for one in arrays:
+        total += one
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names)
 
 
 def reranked(pairs: DataFrame, vectors: DataFrame, cfg: DedupConfig) -> DataFrame:
-    """(a, b, score) of the pairs whose exact similarity reaches ``cfg.least``."""
+    """(a, b, score) of the pairs (a, b) whose exact similarity reaches ``cfg.least``."""
     least = cfg.least
+    bound = least * (vec.ONE_IN - 1) / vec.ONE_IN  # words shared at least, as whole sentences count that differ in single words
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size_a, size_b = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+            sketch = [np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, vec.SKETCH) for i in (4, 5)]
+            hit = pa.array(np.flatnonzero(vec.most_shared(sketch[0], size_a, sketch[1], size_b) >= bound * np.maximum(size_a, size_b)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(hit), batch.column(1).take(hit)], ["a", "b"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offs, flat = zip(*(vec._flat(batch.column(i)) for i in range(2, 6)))
-            flat = [f.astype(np.int32, copy=False) for f in flat]
-            part = lambda k, i: flat[k][offs[k][i] : offs[k][i + 1]]
-            got = np.array([vec.similarity(part(0, i), part(1, i), part(2, i), part(3, i), least) for i in range(len(batch))], dtype=np.float64)
+            cols = [[np.frombuffer(x, dtype=np.uint16) for x in batch.column(i).to_pylist()] for i in range(2, 6)]
+            got = np.array([vec.similarity(la.tolist(), wa, lb.tolist(), wb, least) for la, wa, lb, wb in zip(*cols)], dtype=np.float64)
             hit = np.flatnonzero(got >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit)), batch.column(1).take(pa.array(hit)), pa.array(got[hit])], ["a", "b", "score"])
 
-    va = vectors.select(F.col("record_id").alias("a"), F.col("lens").alias("la"), F.col("words").alias("wa"))
-    vb = vectors.select(F.col("record_id").alias("b"), F.col("lens").alias("lb"), F.col("words").alias("wb"))
-    both = pairs.join(vb, "b").join(va, "a").select("a", "b", "la", "wa", "lb", "wb")
-    return both.mapInArrow(score, "a long, b long, score double")
+    def both(of: DataFrame, *cols: str) -> DataFrame:
+        for side in ("b", "a"):
+            of = of.join(vectors.select(F.col("record_id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in cols)), side)
+        return of.select("a", "b", *(f"{c}_{side}" for c in cols for side in ("a", "b")))
+
+    sketched = both(pairs.select("a", "b"), "size", "sketch").where(F.least("size_a", "size_b") >= F.lit(bound) * F.greatest("size_a", "size_b"))
+    left = materialise(sketched.mapInArrow(near, "a long, b long"), "near")
+    ordered = both(left, "lens", "words").select("a", "b", "lens_a", "words_a", "lens_b", "words_b")
+    return materialise(ordered.mapInArrow(score, "a long, b long, score double"), "scored")
+
+
+def _best(edges: DataFrame) -> DataFrame:
+    """(a, b): of each b the a most like it, of equally like ones the one with the least id."""
+    return edges.groupBy("b").agg(F.max(F.struct("score", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
 
 
 class DedupIndex:
-    """Accepted records: their vectors, their cells and the frozen order of the axes."""
+    """Accepted records in a folder; a second object on the same folder goes on where the first one ended."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, cfg: DedupConfig = DedupConfig()):
+        self.spark, self.path, self.cfg = spark, path or new_table(spark, "cells"), cfg
+        self.deliveries = 0
+        while exists(spark, self._at("rejected", self.deliveries)):
+            self.deliveries += 1
 
-    def __init__(self, spark: SparkSession, path: str, order: bytes, cfg: DedupConfig):
-        self.spark, self.path, self.order, self.cfg = spark, path, order, cfg
+    def _at(self, table: str, n: int) -> str:
+        return f"{self.path}/{table}/{n:06d}"
 
-    @classmethod
-    def build(cls, history: DataFrame, cfg: DedupConfig = DedupConfig(), path: str | None = None) -> DedupIndex:
-        """Index of records (``vec.VECTOR_SCHEMA``) known to hold no duplicates."""
-        spark = history.sparkSession
-        index = cls(spark, path or new_table(spark, "cells"), axis_order(history, cfg), cfg)
-        index._append(history.select("record_id", "size", "lens", "words"), postings(history, index.order, cfg))
-        return index
+    def _write(self, rows: DataFrame, table: str) -> DataFrame:
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(self._at(table, self.deliveries))
+        return self._read(table, rows.schema, self.deliveries, self.deliveries + 1)
 
-    def _append(self, accepted: DataFrame, cells: DataFrame) -> None:
-        cells.write.mode("append").parquet(f"{self.path}/cells")
-        accepted.write.mode("append").parquet(f"{self.path}/vectors")
+    def _read(self, table: str, schema, first: int, end: int) -> DataFrame:
+        paths = [self._at(table, n) for n in range(first, end) if exists(self.spark, self._at(table, n))]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def cells(self) -> DataFrame:
-        return self.spark.read.schema(POSTING).parquet(f"{self.path}/cells")
+    def rejected(self) -> DataFrame:
+        """(record_id_a, record_id_b) of all deliveries."""
+        return self._read("rejected", "record_id_a long, record_id_b long", 0, self.deliveries)
 
     def vectors(self) -> DataFrame:
-        return self.spark.read.schema("record_id long, size int, lens array<int>, words array<int>").parquet(f"{self.path}/vectors")
+        """The vectors of all accepted records."""
+        return self._read("vectors", vec.VECTOR_SCHEMA, 0, self.deliveries).join(self.rejected().select(F.col("record_id_b").alias("record_id")), "record_id", "left_anti")
+
+    def count_lines(self, records: DataFrame) -> DedupIndex:
+        """Add the lines of a delivery to the counts before it is added: then ``add`` and ``build`` don't count them again."""
+        self._write(line_counts(records), "lines")
+        return self
+
+    def _vectors_of(self, records: DataFrame) -> DataFrame:
+        if not exists(self.spark, self._at("lines", self.deliveries)):
+            self.count_lines(records)
+        counts = self._read("lines", "src long, line long, n long", 0, self.deliveries + 1)
+        return self._write(vectorise(records.dropDuplicates(["record_id"]), excessive_lines(counts, self.cfg), self.cfg), "vectors")
+
+    def _axes(self, fit: DataFrame | None = None) -> vec.Axes:
+        path = f"{self.path}/axes"
+        if fit is not None:
+            counted = fit.select("words").mapInArrow(lambda batches: _summed((vec.word_counts(b.column(0)) for b in batches), vec.CODES, ["code", "n"]), "code long, n long")
+            counted.groupBy("code").agg(F.sum("n").alias("n")).unionByName(fit.agg(F.lit(-1).cast("long").alias("code"), F.count(F.lit(1)).alias("n"))).write.mode("overwrite").parquet(path)
+        got = self.spark.read.schema("code long, n long").parquet(path).toArrow()
+        code, n = got.column("code").to_numpy(), got.column("n").to_numpy()
+        counts = np.zeros(vec.CODES, dtype=np.int64)
+        counts[code[code >= 0]] = n[code >= 0]
+        return vec.Axes(counts, int(n[code < 0].sum()))
+
+    def _place(self, vectors: DataFrame, axes: vec.Axes) -> DataFrame:
+        """Write the cells of records, and how full they are."""
+        shared = self.spark.sparkContext.broadcast(axes)  # vec.CODES numbers
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                row, _, at, cell = shared.value.cells(batch.column(3), batch.column(4))
+                mine = row[at]
+                by = np.lexsort((cell, mine))
+                mine, cell = mine[by], cell[by]
+                new = np.concatenate(([True], (mine[1:] != mine[:-1]) | (cell[1:] != cell[:-1]))) if len(mine) else np.zeros(0, dtype=bool)
+                mine, cell = mine[new], cell[new]
+                of = np.concatenate(([0], np.cumsum(np.bincount(mine, minlength=len(batch))))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.ListArray.from_arrays(pa.array(of), pa.array(cell))], ["record_id", "batch_no", "size", "cells"])
+
+        cells = self._write(vectors.where("size > 0").select("record_id", "batch_no", "size", "lens", "words").mapInArrow(place, CELLS), "cells")
+        buckets = self.cfg.buckets
+
+        def heat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts = (np.bincount(np.asarray(b.column(0).flatten()) & (buckets - 1), minlength=buckets) for b in batches)
+            yield from _summed(counts, buckets, ["bucket", "n"])
+
+        self._write(cells.select("cells").mapInArrow(heat, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1"), "heat")
+        return cells
+
+    def _probes(self, vectors: DataFrame, axes: vec.Axes) -> DataFrame:
+        """The cells that records probe, by how full the cells are now: ``PROBES``."""
+        got = self._read("heat", "bucket long, n long", 0, self.deliveries + 1).groupBy("bucket").agg(F.sum("n").alias("n"))
+        got = got.select("bucket", F.least(F.lit(255), F.floor(F.log2("n") * 8)).cast("int").alias("rank")).toArrow()
+        ranks = np.zeros(self.cfg.buckets, dtype=np.uint8)  # cfg.buckets bytes, whatever the history's size
+        ranks[got.column("bucket").to_numpy()] = got.column("rank").to_numpy()
+        shared = self.spark.sparkContext.broadcast((axes, ranks))
+        tail, buckets = self.cfg.tail_share, self.cfg.buckets
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            axes, ranks = shared.value
+            for batch in batches:
+                row, lens, at, cell = axes.cells(batch.column(3), batch.column(4))
+                full = np.zeros(len(row), dtype=np.uint8)
+                np.maximum.at(full, at, ranks[cell & (buckets - 1)])
+                by = np.lexsort((np.arange(len(row)), full, row))
+                r, n = row[by], lens[by]
+                before = np.cumsum(n) - n
+                before = before - before[np.searchsorted(r, r)]
+                whole = np.bincount(row, weights=lens, minlength=len(batch))[r]
+                probed = np.zeros(len(row), dtype=bool)
+                probed[by] = whole - before > tail * whole
+                on = probed[at]
+                pick, cell = pa.array(row[at[on]]), cell[on]
+                yield pa.RecordBatch.from_arrays([pa.array(cell), *(batch.column(i).take(pick) for i in range(3))], ["cell", "b", "batch_b", "size_b"])
+
+        return vectors.where("size > 0").select("record_id", "batch_no", "size", "lens", "words").mapInArrow(probe, PROBES)
+
+    def build(self, history: DataFrame) -> DedupIndex:
+        """Take records (record_id, batch_no, source_id, page_content) known to hold no duplicates as accepted."""
+        stored = self._vectors_of(history)
+        self._place(stored, self._axes(stored))
+        self._commit(self.spark.createDataFrame([], "record_id_a long, record_id_b long"))
+        return self
+
+    def _commit(self, rejected: DataFrame) -> DataFrame:
+        out = self._write(rejected, "rejected")
+        self.deliveries += 1
+        return out
 
     def add(self, new: DataFrame) -> DataFrame:
-        """Check new records, in the order (batch_no, record_id), append the accepted ones to the cells.
+        """Check new records (record_id, batch_no, source_id, page_content), in the order (batch_no, record_id), and keep the accepted ones.
 
-        Gives (record_id_a, record_id_b) for each rejected record b: the accepted record a most like it, of equally
-        like ones the first. Rows that repeat a record_id are taken as one record.
+        Gives (record_id_a, record_id_b) for each rejected record b: the accepted record a most like it, of equally like
+        ones the one with the least id. Rows that repeat a record_id are taken as one record.
         """
-        cfg = self.cfg
-        new = new.dropDuplicates(["record_id"])
+        stored = self._vectors_of(new)
         # equal vectors are one record: its first row stands for all copies, however many
-        same = F.sha2(F.to_json(F.struct("lens", "words")), 256)
-        ranked = new.where("size > 0").withColumn("sig", same)
-        first = ranked.groupBy("sig").agg(F.min(F.struct("batch_no", "record_id")).alias("first"))
-        copies = materialise(
-            ranked.select("sig", "record_id").join(first, "sig").select("record_id", F.col("first.record_id").alias("rep"), F.col("first.batch_no").alias("rep_batch")), "copies"
-        )
-        reps = new.join(copies.where("record_id = rep").select("record_id"), "record_id", "left_semi")
-        probes = materialise(postings(reps, self.order, cfg), "probes")
-        # most axes stand in one record only: all are shuffled once, and only cells that can give a pair are kept
-        every = self.cells().withColumn("new", F.lit(False)).unionByName(probes.withColumn("new", F.lit(True)))
-        cell = Window.partitionBy("axis")
-        several = every.withColumn("n", F.count(F.lit(1)).over(cell)).withColumn("some", F.max("new").over(cell)).where("n > 1 and some")
-        shared = materialise(several.select("axis", "record_id", "size", "new"), "shared")
-        met = _side(shared.where("new"), "b").join(_side(shared.where("not new"), "a"), "axis").where(_near(cfg)).select("a", "b").distinct()
-        old = reranked(met, self.vectors().select("record_id", "lens", "words").unionByName(reps.select("record_id", "lens", "words")), cfg)
-        known = materialise(old.groupBy("b").agg(F.max(F.struct("score", (-F.col("a")).alias("a"))).alias("best")).select(F.col("b"), (-F.col("best.a")).alias("a")), "known")
-
-        open_ = shared.where("new").drop("new").join(known.select(F.col("b").alias("record_id")), "record_id", "left_anti")
-        rank = copies.where("record_id = rep").select("record_id", F.struct("rep_batch", "record_id").alias("at"))
-        inner = self._within(open_, reps, rank)
-        pairs = known.select("a", "b").unionByName(inner)
-
+        sig = stored.where("size > 0").select("record_id", "batch_no", F.sha2(F.concat("lens", F.lit(b"|"), "words"), 256).alias("sig"))
+        first = sig.groupBy("sig").agg(F.min(F.struct("batch_no", "record_id")).alias("first"))
+        copies = materialise(sig.select("sig", "record_id").join(first, "sig").select("record_id", F.col("first.record_id").alias("rep")), "copies")
+        reps = stored.join(copies.where("record_id = rep").select("record_id"), "record_id", "left_semi").select(*stored.columns)
+        axes = self._axes(stored if not exists(self.spark, f"{self.path}/axes") else None)
+        cells = self._place(reps, axes)
+        probes = materialise(self._probes(reps, axes), "probes")
+        edges = self._edges(cells, probes)
+        taken = materialise(self._accepted_edges(edges, cells, probes), "taken")
         # a copy of a rejected record repeats the same accepted one, a copy of an accepted record repeats that
-        rejected = materialise(
-            copies.join(pairs.select(F.col("b").alias("rep"), "a"), "rep", "left")
+        rejected = (
+            copies.join(_best(taken).withColumnRenamed("b", "rep"), "rep", "left")
             .where("a is not null or record_id <> rep")
-            .select(F.coalesce("a", "rep").alias("record_id_a"), F.col("record_id").alias("record_id_b")),
-            "rejected",
+            .select(F.coalesce("a", "rep").alias("record_id_a"), F.col("record_id").alias("record_id_b"))
         )
-        accepted = new.join(rejected.select(F.col("record_id_b").alias("record_id")), "record_id", "left_anti").select("record_id", "size", "lens", "words")
-        gone = rejected.select(F.col("record_id_b").alias("record_id"))
-        self._append(accepted, probes.join(gone, "record_id", "left_anti"))
-        return rejected
-
-    def _within(self, open_: DataFrame, vectors: DataFrame, rank: DataFrame) -> DataFrame:
-        """(a, b) for each open record that duplicates an accepted record of the same delivery."""
-        cfg = self.cfg
-        cells = materialise(open_.join(rank, "record_id"), "open")
-        store = vectors.select("record_id", "lens", "words")
-        # hot cells: every member against the earliest one; a large group of near copies shrinks to a few open records
-        hot = cells.groupBy("axis").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("at", "size")).alias("lead")).where(F.col("n") > cfg.hot_cell)
-        leads = hot.select("axis", F.col("lead.at.record_id").alias("record_id"), F.col("lead.size").alias("size"))
-        behind = _side(cells, "b").join(_side(leads, "a"), "axis").where(_near(cfg) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
-        led = materialise(reranked(behind, store, cfg), "led").select("a", "b", "score")
-        shut = led.select(F.col("b").alias("record_id")).distinct()
+        return self._commit(rejected)
+
+    def _score(self, pairs: DataFrame) -> DataFrame:
+        bound = F.lit(self.cfg.least * (vec.ONE_IN - 1) / vec.ONE_IN)
+        sized = pairs.where(F.least("size_a", "size_b") >= bound * F.greatest("size_a", "size_b")).select("a", "b").distinct()
+        return reranked(sized, self._read("vectors", vec.VECTOR_SCHEMA, 0, self.deliveries + 1), self.cfg)
+
+    def _edges(self, cells: DataFrame, probes: DataFrame) -> DataFrame:
+        """(a, b, score, old) of the pairs met; ``old``: a is accepted history. Of hot cells only those with the history."""
+        gone = self.rejected().select(F.col("record_id_b").alias("record_id"))
+        history = self._read("cells", CELLS, 0, self.deliveries).join(gone, "record_id", "left_anti")
+        every = _members(history).withColumn("old", F.lit(True)).unionByName(_members(cells).join(self._hot_cells(probes), "cell", "left_anti").withColumn("old", F.lit(False)))
+        scored = self._score(every.join(probes, "cell").where(F.expr(f"old or {_EARLIER}")))
+        old = history.select(F.col("record_id").alias("a"), F.lit(True).alias("old"))
+        return materialise(scored.join(old, "a", "left").select("a", "b", "score", F.coalesce("old", F.lit(False)).alias("old")), "edges")
+
+    def _hot_cells(self, probes: DataFrame) -> DataFrame:
+        return probes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > self.cfg.hot_cell).select("cell")
+
+    def _accepted_edges(self, edges: DataFrame, cells: DataFrame, probes: DataFrame) -> DataFrame:
+        """The edges (a, b, score) whose a is accepted; every b in them is rejected.
+
+        Hot cells: the earliest record leads, the records like it are set aside, then the next earliest leads, as long
+        as cells stay hot and shrink. Pairs are made among the records left. A record set aside comes back if none of its
+        leaders is accepted; at last it is compared with all accepted records of its cells.
+        """
+        hot = materialise(self._hot_cells(probes), "hot")
+        if hot.isEmpty():
+            return _without(edges, self._resolve(edges)).select("a", "b", "score")
+        members = materialise(_members(cells).join(hot, "cell", "left_semi"), "members")
+        seeking = materialise(probes.join(hot, "cell", "left_semi"), "seeking")
+        aside = self.spark.createDataFrame([], "id long")
+        led = members.groupBy("cell").agg(F.lit(None).cast("struct<batch_a:int,a:long>").alias("upto"))
+        count = members.count()
         while True:
-            part = cells.join(shut, "record_id", "left_anti")
-            both = _side(part, "a", "at").join(_side(part, "b", "at"), "axis").where((F.col("at_a") < F.col("at_b")) & _near(cfg))
-            edges = materialise(reranked(both.select("a", "b").distinct(), store, cfg), "edges")
-            taken = self._resolve(edges)
-            # a record behind a leader is settled once one of its leaders is accepted; else it joins the open ones
-            lost = taken.select(F.col("b").alias("a"))
-            good = led.join(lost, "a", "left_anti").join(shut.withColumnRenamed("record_id", "a"), "a", "left_anti")
-            back = shut.join(good.select(F.col("b").alias("record_id")).distinct(), "record_id", "left_anti")
-            if back.isEmpty():
-                best = good.groupBy("b").agg(F.max(F.struct("score", (-F.col("a")).alias("a"))).alias("best"))
-                return taken.unionByName(best.select((-F.col("best.a")).alias("a"), "b"))
-            shut = materialise(shut.join(back, "record_id", "left_anti"), "shut")
+            ahead = members.join(aside, members.a == aside.id, "left_anti").join(led, "cell")
+            lead = ahead.where(F.col("upto").isNull() | (F.struct("batch_a", "a") > F.col("upto"))).groupBy("cell").agg(F.min(F.struct("batch_a", "a", "size_a")).alias("lead"), F.count(F.lit(1)).alias("n"))
+            lead = materialise(lead.where(F.col("n") > self.cfg.hot_cell).select("cell", "lead.*"), "lead")
+            if lead.isEmpty():
+                break
+            behind = seeking.join(aside, seeking.b == aside.id, "left_anti").join(lead, "cell").where(_EARLIER)
+            edges = materialise(edges.unionByName(self._score(behind).withColumn("old", F.lit(False))), "edges")
+            led = lead.select("cell", F.struct("batch_a", "a").alias("upto"))
+            aside = materialise(aside.unionByName(edges.join(lead.select("a").distinct(), "a", "left_semi").select(F.col("b").alias("id"))).distinct(), "aside")
+            now = members.join(aside, members.a == aside.id, "left_anti").count()
+            if now > 0.9 * count:
+                break
+            count = now
+        back = None
+        while back is None or not back.isEmpty():
+            if back is not None:
+                aside = materialise(aside.join(back, "id", "left_anti"), "aside")
+            a_open = members.join(aside, members.a == aside.id, "left_anti")
+            b_open = seeking.join(aside, seeking.b == aside.id, "left_anti")
+            met = a_open.join(b_open, "cell").where(_EARLIER)
+            edges = materialise(edges.unionByName(self._score(met).withColumn("old", F.lit(False))), "edges")
+            lost = self._resolve(edges)
+            back = materialise(aside.join(lost.select(F.col("b").alias("id")), "id", "left_anti"), "back")
+        kept = _without(members, lost)
+        last = self._score(kept.join(seeking.join(aside, seeking.b == aside.id, "left_semi"), "cell").where(_EARLIER))
+        return _without(edges.select("a", "b", "score").unionByName(last), lost)
 
     def _resolve(self, edges: DataFrame) -> DataFrame:
-        """First-come choice on verified edges (a before b): (a, b) with the accepted a most like each rejected b."""
-        found = None
-        left = edges
-        while not left.isEmpty():
+        """(b): the records that an earlier accepted one makes duplicates, decided in the records' order along the edges."""
+        lost = materialise(edges.where("old").select("b").distinct(), "lost")
+        left = _without(edges.where("not old").select("a", "b").distinct(), lost).join(lost, "b", "left_anti")
+        while True:
+            left = materialise(left, "left")
+            if left.isEmpty():
+                return lost
             free = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-            hit = left.join(free, "a")
-            now = materialise(hit.groupBy("b").agg(F.max(F.struct("score", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b"), "taken")
-            found = now if found is None else found.unionByName(now)
-            gone = now.select("b")
-            left = materialise(left.join(free, "a", "left_anti").join(gone, "b", "left_anti").join(gone.withColumnRenamed("b", "a"), "a", "left_anti"), "left")
-        return found if found is not None else edges.select("a", "b")
+            now = materialise(left.join(free, "a", "left_semi").select("b").distinct(), "lost")
+            lost = lost.unionByName(now)
+            left = _without(left.join(free, "a", "left_anti").join(now, "b", "left_anti"), now)
+
+
+#: a comes before b in the order of the deliveries
+_EARLIER = "batch_a < batch_b or batch_a = batch_b and a < b"
+
+
+def _members(cells: DataFrame) -> DataFrame:
+    return cells.select(F.explode("cells").alias("cell"), F.col("record_id").alias("a"), F.col("batch_no").alias("batch_a"), F.col("size").alias("size_a"))
+
+
+def _without(rows: DataFrame, lost: DataFrame) -> DataFrame:
+    """Rows whose a isn't lost."""
+    return rows.join(lost.select(F.col("b").alias("a")), "a", "left_anti").select(*rows.columns)
 
 
 def duplicates(records: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
-    """Batch 0 as history, all later batches as one ordered delivery: (record_id_a, record_id_b) per rejected record."""
-    vectors = vectorise(records, cfg)
-    index = DedupIndex.build(vectors.where("batch_no = 0"), cfg)
-    return index.add(vectors.where("batch_no > 0"))
+    """Batch 0 as history, all later batches as one ordered delivery: (record_id_a, record_id_b) per rejected record.
+
+    The lines of all records are counted first, so that both parts leave out the same ones.
+    """
+    index = DedupIndex(records.sparkSession, cfg=cfg).count_lines(records)
+    index.build(records.where("batch_no = 0"))
+    return index.count_lines(records.limit(0)).add(records.where("batch_no > 0 or batch_no is null"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from millrace.sources.storage import materialise, new_path as new_table, shared_dir
+from millrace.sources.storage import exists, materialise, new_path as new_table, shared_dir
 
-__all__ = ["materialise", "new_table", "shared_dir", "spread"]
+__all__ = ["exists", "materialise", "new_table", "shared_dir", "spread"]
 
 
 def spread(rows: DataFrame) -> DataFrame:

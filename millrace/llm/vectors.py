@@ -1,10 +1,9 @@
 """Sparse sentence vectors of texts, for duplicate search (problem 1).
 
 A text becomes its sentences; a sentence becomes 16-bit codes of its folded words (case, diacritics, spacing,
-punctuation and entities vanish; any number is code 0). The words of a sentence are dealt by their codes to five parts; the axes of
-the vector space are the ten pairs of parts. A word added or removed, wherever it stands, leaves six axes of its sentence
-in place, a replaced word at least three; which words are in a part doesn't depend on their places. The weight on an axis
-is the number of words there.
+punctuation and entities vanish; any number is code 0). The full vector of a text counts its words by sentence; a sketch
+is its projection on a fixed number of bins. A cell is named by a few words of one sentence, drawn with weights that
+favour rare words.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +19,10 @@ import xxhash
 
 _TOKEN = re.compile(r"[^\W_]+|[.!?…]+(?=[\s\"'”»)\]]|$)")
 _MARKS = re.compile("[̀-ͯ]+")
-_NO_LETTER = re.compile(r"[\W\d_]+")
 _CACHE_LIMIT = 500_000
 
-RAW_SCHEMA = "record_id long, batch_no int, src long, lines array<long>, lens array<int>, words array<int>"
-VECTOR_SCHEMA = "record_id long, batch_no int, size int, lens array<int>, words array<int>"
+VECTOR_SCHEMA = "record_id long, batch_no int, size int, sketch binary, lens binary, words binary"
+_LONGEST = 60_000  # words of a sentence; longer ones are cut
 
 
 def fold(text: str) -> str:
@@ -42,16 +40,12 @@ def _code(token: str) -> int:
     return 1 + xxhash.xxh32_intdigest(token) % 65535
 
 
-def sentences(text: str, cache: dict[str, int]) -> tuple[list[int], list[int], list[int]]:
-    """(line key of each sentence, its number of words, all words' codes)."""
-    keys, lens, words = [], [], []
-    for line in fold(text).split("\n"):
-        tokens = _TOKEN.findall(line)
-        if not tokens:
-            continue
-        key = xxhash.xxh64_intdigest(_NO_LETTER.sub("", line)) - (1 << 63)
+def sentences(lines: list[str], cache: dict[str, int]) -> tuple[list[int], list[int]]:
+    """(number of words of each sentence, all words' codes) of folded lines; no sentence runs over a line's end."""
+    lens, words = [], []
+    for line in lines:
         n, last = 0, 1
-        for token in tokens:
+        for token in _TOKEN.findall(line):
             code = cache.get(token)
             if code is None:
                 if len(cache) > _CACHE_LIMIT:
@@ -59,129 +53,153 @@ def sentences(text: str, cache: dict[str, int]) -> tuple[list[int], list[int], l
                 code = cache[token] = _code(token)
             if code < 0:
                 if n:
-                    keys.append(key)
                     lens.append(n)
                 n, last = 0, 1
             elif code or last:  # a number in groups counts once
                 words.append(code)
                 n += 1
                 last = code
+                if n == _LONGEST:
+                    lens.append(n)
+                    n = 0
         if n:
-            keys.append(key)
             lens.append(n)
-    return keys, lens, words
+    return lens, words
+
+
+def article_lines(text: str, keys: list[int], gone: Collection[int]) -> list[str]:
+    """The folded lines of a text but those whose key is in ``gone``."""
+    lines = fold(text).split("\n")
+    if len(lines) != len(keys):  # an entity that stands for a line break
+        lines = [fold(line).replace("\n", " ") for line in text.split("\n")]
+    return [line for line, key in zip(lines, keys) if key not in gone] if gone else lines
 
 
-def _lists(values: list[list[int]], kind: pa.DataType) -> pa.ListArray:
-    offsets = np.zeros(len(values) + 1, dtype=np.int32)
-    np.cumsum([len(v) for v in values], out=offsets[1:])
-    flat = np.fromiter((x for v in values for x in v), dtype=kind.to_pandas_dtype(), count=int(offsets[-1]))
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+def _binary(values: list[np.ndarray]) -> pa.Array:
+    return pa.array([v.tobytes() for v in values], pa.binary())
 
 
-def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(record_id, batch_no, src, text) -> ``RAW_SCHEMA``."""
+def vectorise(batches: Iterator[pa.RecordBatch], gone: frozenset[int]) -> Iterator[pa.RecordBatch]:
+    """(record_id, batch_no, text, line keys, line keys left out) -> ``VECTOR_SCHEMA``; lines of ``gone`` are left out too."""
     cache: dict[str, int] = {}
     for batch in batches:
-        rows = [sentences(t, cache) for t in batch.column(3).to_pylist()]
-        lists = [_lists([r[0] for r in rows], pa.int64()), _lists([r[1] for r in rows], pa.int32()), _lists([r[2] for r in rows], pa.int32())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *lists], ["record_id", "batch_no", "src", "lines", "lens", "words"])
+        rows = []
+        for text, keys, own in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+            rows.append([np.array(x, dtype=np.uint16) for x in sentences(article_lines(text, keys, set(own) if own else gone), cache)])
+        words = _binary([w for _, w in rows])
+        size = pa.array([len(w) for _, w in rows], pa.int32())
+        drawn = _binary(list(sketches(words)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, drawn, _binary([n for n, _ in rows]), words], ["record_id", "batch_no", "size", "sketch", "lens", "words"])
 
 
-def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    offsets = column.offsets.to_numpy()
-    return offsets - offsets[0], column.flatten().to_numpy(zero_copy_only=False)
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, numbers) of a column of 16-bit numbers without nulls."""
+    _, offsets, data = column.buffers()
+    of = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, dtype=np.int32)
+    raw = np.frombuffer(data, dtype=np.uint8)[of[0] : of[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
+    return (of - of[0]) // 2, np.frombuffer(raw.tobytes(), dtype=np.uint16).astype(np.int64)
 
 
-def _segments(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """Indexes of the concatenated ranges [start, start + len)."""
-    total = int(lens.sum())
-    firsts = np.repeat(starts - np.concatenate(([0], np.cumsum(lens)[:-1])), lens) if total else np.zeros(0, dtype=np.int64)
-    return firsts + np.arange(total)
+#: words of a sentence that make a cell, cells per sentence, and cells that a short text has at least
+CELL_WORDS, CELLS, LEAST_CELLS = 4, 3, 24
+CODES = 1 << 16
+SKETCH = 128
 
 
-def drop_furniture(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(record_id, batch_no, lines, lens, words, excl) -> ``VECTOR_SCHEMA`` without the sentences of excluded lines."""
-    for batch in batches:
-        of, keys = _flat(batch.column(2))
-        _, lens = _flat(batch.column(3))
-        word_of, words = _flat(batch.column(4))
-        excl_of, excl = _flat(batch.column(5))
-        row = np.repeat(np.arange(len(batch)), np.diff(of))
-        keep = np.ones(len(keys), dtype=bool)
-        for i in range(len(batch)):
-            gone = excl[excl_of[i] : excl_of[i + 1]]
-            if len(gone):
-                keep[of[i] : of[i + 1]] = ~np.isin(keys[of[i] : of[i + 1]], gone)
-        starts = np.concatenate(([0], np.cumsum(lens)))[:-1].astype(np.int64)
-        kept = words[_segments(starts[keep], lens[keep])]
-        size = np.bincount(row[keep], weights=lens[keep], minlength=len(batch)).astype(np.int32)
-        new_of = np.concatenate(([0], np.cumsum(np.bincount(row[keep], minlength=len(batch))))).astype(np.int32)
-        new_word_of = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                batch.column(1),
-                pa.array(size),
-                pa.ListArray.from_arrays(pa.array(new_of), pa.array(lens[keep].astype(np.int32))),
-                pa.ListArray.from_arrays(pa.array(new_word_of), pa.array(kept.astype(np.int32))),
-            ],
-            ["record_id", "batch_no", "size", "lens", "words"],
-        )
-
-
-_PARTS = 5
-_PAIRS = [(i, j) for i in range(_PARTS) for j in range(i + 1, _PARTS)]
-
-
-def axes(lens_column: pa.ListArray, words_column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, axis as int64, weight) of every pair of parts of every sentence that holds words."""
-    of, lens = _flat(lens_column)
-    _, words = _flat(words_column)
-    row = np.repeat(np.arange(len(lens_column)), np.diff(of))
-    sentence = np.repeat(np.arange(len(lens)), lens)
+def _mixed(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        mixed = (words.astype(np.uint64) + np.uint64(0x9E37)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(32)
-        cell = sentence * _PARTS + ((mixed >> np.uint64(40)) % np.uint64(_PARTS)).astype(np.int64)
-        # a part is the sum of its words, in whatever order they stand
-        count = np.bincount(cell, minlength=len(lens) * _PARTS).reshape(-1, _PARTS)
-        part = np.zeros(count.size, dtype=np.uint64)
-        by = np.argsort(cell, kind="stable")
-        starts = np.concatenate(([0], np.cumsum(count.ravel())[:-1])).astype(np.int64)[count.ravel() > 0] if len(words) else np.zeros(0, dtype=np.int64)
-        if len(words):
-            part[count.ravel() > 0] = np.add.reduceat(mixed[by], starts)
-        part = part.reshape(-1, _PARTS)
-        total = np.stack([part[:, i] * np.uint64(2 * k + 3) + (part[:, j] ^ np.uint64(0xA5A5A5A5 + k)) * np.uint64(0xBF58476D1CE4E5B9) for k, (i, j) in enumerate(_PAIRS)], axis=1)
-        total ^= total >> np.uint64(31)
-        total *= np.uint64(0x94D049BB133111EB)
-        total ^= total >> np.uint64(30)
-    weight = np.stack([count[:, i] + count[:, j] for i, j in _PAIRS], axis=1)
-    some = weight.ravel() > 0
-    return np.repeat(row, len(_PAIRS))[some], total.ravel()[some].view(np.int64), weight.ravel()[some]
-
-
-def summed_axes(lens_column: pa.ListArray, words_column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, axis, weight) with each axis of a row once, sorted by both."""
-    row, axis, weight = axes(lens_column, words_column)
-    if not len(row):
-        return row, axis, weight
-    by = np.lexsort((axis, row))
-    row, axis, weight = row[by], axis[by], weight[by]
-    heads = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (axis[1:] != axis[:-1]))))
-    return row[heads], axis[heads], np.add.reduceat(weight, heads)
+        x = (x.astype(np.uint64) + np.uint64(0x9E37)) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(32))
+
+
+class Axes:
+    """The frozen weights of the words and the orders in which a sentence's words are drawn: one per cell.
+
+    A word is drawn the earlier the rarer it is (weighted minimum hashing), so a cell stays the same unless one of its own
+    words goes or a word of greater weight comes.
+    """
+
+    def __init__(self, counts: np.ndarray, records: int):
+        self.weight = np.log(1 + (1 + records) / (1 + counts.astype(np.float64))) ** 2
+        self.orders: list[np.ndarray] = []
+
+    def order(self, n: int) -> np.ndarray:
+        while len(self.orders) <= n:
+            h = _mixed(np.arange(CODES) * (2 * len(self.orders) + 3) + len(self.orders) * 1_000_003)
+            drawn = -np.log(((h >> np.uint64(11)).astype(np.float64) + 1) / 2**53) / self.weight
+            rank = np.empty(CODES, dtype=np.int64)
+            rank[np.argsort(drawn, kind="stable")] = np.arange(CODES)
+            self.orders.append(rank)
+        return self.orders[n]
+
+    def cells(self, lens_column: pa.Array, words_column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row and length of each sentence, sentence of each cell, cell)."""
+        of, lens = flat(lens_column)
+        _, words = flat(words_column)
+        per_row = np.diff(of)
+        row = np.repeat(np.arange(len(lens_column)), per_row)
+        each = np.maximum(CELLS, -(-LEAST_CELLS // np.maximum(1, per_row)))[row] if len(row) else row
+        sentence = np.repeat(np.arange(len(lens)), lens)
+        at, cell = [], []
+        for n in range(int(each.max()) if len(each) else 0):
+            rank = self.order(n)
+            on = each > n
+            mine = np.flatnonzero(on[sentence]) if not on.all() else slice(None)
+            key = np.sort((sentence[mine] << 16) | rank[words[mine]])
+            if not len(key):
+                continue
+            key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+            s = key >> 16
+            heads = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+            place = np.arange(len(key)) - np.repeat(heads, np.diff(np.append(heads, len(key))))
+            drawn = place < CELL_WORDS
+            s, h = s[drawn], _mixed((key[drawn] & 0xFFFF) + (n << 20))
+            heads = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+            with np.errstate(over="ignore"):
+                total = np.add.reduceat(h, heads)
+            at.append(s[heads])
+            cell.append(_mixed(total).view(np.int64))
+        none = np.zeros(0, dtype=np.int64)
+        return row, lens, np.concatenate(at) if at else none, np.concatenate(cell) if cell else none
+
+
+def word_counts(words_column: pa.Array) -> np.ndarray:
+    """In how many rows each word code stands."""
+    of, words = flat(words_column)
+    row = np.repeat(np.arange(len(words_column)), np.diff(of))
+    return np.bincount(np.unique((row.astype(np.int64) << 16) | words) & (CODES - 1), minlength=CODES)
+
+
+def sketches(words_column: pa.Array) -> np.ndarray:
+    """The vectors projected on ``SKETCH`` bins, one byte each; the last byte of a row counts as 255 and more."""
+    of, words = flat(words_column)
+    row = np.repeat(np.arange(len(words_column)), np.diff(of))
+    bins = (_mixed(words) >> np.uint64(40)).astype(np.int64) & (SKETCH - 1)
+    count = np.bincount(row * SKETCH + bins, minlength=len(words_column) * SKETCH)
+    return np.minimum(count, 255).astype(np.uint8).reshape(-1, SKETCH)
+
+
+def most_shared(a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """A bound from above on the words that two texts share, from their sketches: what bins could not hold is added."""
+    over = np.minimum(a_size - a.sum(axis=1, dtype=np.int64), b_size - b.sum(axis=1, dtype=np.int64))
+    return np.minimum(a, b).sum(axis=1, dtype=np.int64) + np.maximum(0, over)
+
+
+#: A sentence of which at most one word in so many differs stands in the other text as a whole.
+ONE_IN = 6
 
 
 def similarity(a_lens, a_words, b_lens, b_words, least: float, same_sentence: float = 0.6) -> float:
     """Share of the longer text's words that stand in the other one in the same sentences; 0 as soon as it can't reach ``least``.
 
     Two sentences are the same when at least ``same_sentence`` of the longer one's words are shared; each sentence
-    finds one partner at most, equal ones first.
+    finds one partner at most, equal ones first. Single words may differ: where no more than one in ``ONE_IN`` does, the
+    whole sentence counts, else only the words shared.
     """
     longer = max(len(a_words), len(b_words))
-    if not longer or min(len(a_words), len(b_words)) < least * longer:
+    if not longer or min(len(a_words), len(b_words)) * ONE_IN < least * longer * (ONE_IN - 1):
         return 0.0
 
     def cut(lens, words):
@@ -198,28 +216,29 @@ def similarity(a_lens, a_words, b_lens, b_words, least: float, same_sentence: fl
     for s in cut(a_lens, a_words):
         if b_left.get(s):
             b_left[s] -= 1
-            shared += len(s) // 4
+            shared += len(s) // 2
         else:
             a_left.append(s)
     rest = [s for s, n in b_left.items() for _ in range(n)]
-    if shared + min(sum(map(len, a_left)), sum(map(len, rest))) // 4 < least * longer:
+    if (shared + min(sum(map(len, a_left)), sum(map(len, rest))) // 2 * ONE_IN / (ONE_IN - 1)) < least * longer:
         return 0.0
 
     def bag(s):
         out: dict[int, int] = {}
-        for w in np.frombuffer(s, dtype=np.int32).tolist():
+        for w in np.frombuffer(s, dtype=np.uint16).tolist():
             out[w] = out.get(w, 0) + 1
         return out
 
-    bags = [(len(s) // 4, bag(s)) for s in rest]
+    bags = [(len(s) // 2, bag(s)) for s in rest]
     for s in a_left:
-        n, own, best, at = len(s) // 4, bag(s), 0, -1
+        n, own, best, at = len(s) // 2, bag(s), 0, -1
         for j, (m, other) in enumerate(bags):
             if min(n, m) >= same_sentence * max(n, m):
-                common = sum(min(k, other.get(w, 0)) for w, k in own.items())
+                common = sum(min(k, other[w]) for w, k in own.items() if w in other)
                 if common > best and common >= same_sentence * max(n, m):
                     best, at = common, j
         if at >= 0:
-            shared += best
+            most = max(n, bags[at][0])
+            shared += most if (most - best) * ONE_IN <= most else best
             bags.pop(at)
-    return shared / longer
+    return min(1.0, shared / longer)
