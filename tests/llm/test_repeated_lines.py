@@ -21,11 +21,21 @@ def test_thresholds_forms_nulls_and_clashing_columns(spark):
 
 def test_dense_containers_are_bit_fields(spark):
     df = spark.range(5000).selectExpr("id as record_id", "'s' as source_id", "concat('line ', id % 7, chr(10), 'same') as page_content", "1 as few", "2 as bits")
-    bitmaps = rl.excessive(df)
-    assert bitmaps.where("bits is not null").count() == 2  # 'same' and 'line' have 5000 documents each
+    df = df.coalesce(1)
+    rows = rl.lines(df, rl.RepeatedLines())
+    forms = rl.line_bitmaps(rows)
+    assert forms.where("bits is not null").count() == 1  # 'same'; the seven forms of 'line' have some 700 documents each
+    bitmaps = rl.excessive(df, rows)
+    assert bitmaps.where("bits is not null").count() == 2  # together they have 5000
     assert rl.occurrences(df).count() == 10000
 
 
+def test_scattered_ids_are_numbered_densely(spark):
+    df = spark.range(4000).selectExpr("xxhash64(id) as record_id", "if(id % 2 = 0, 's', 't') as source_id", "'same' as page_content").coalesce(1)
+    assert rl.excessive(df, rl.lines(df, rl.RepeatedLines())).count() == 2
+    assert rl.occurrences(df).select("record_id").distinct().count() == 4000
+
+
 def test_empty_table(spark):
     assert rl.occurrences(_records(spark, [])).count() == 0
     assert rl.without_repeated_lines(_records(spark, [])).count() == 0
