@@ -1,10 +1,11 @@
 """Page boilerplate mixed with main content (problem 3).
 
-A page is a row of lines; a line is a bag of tokens: its words, its tags and where it stands. Every token has a weight,
-positive where it speaks for the main body and negative where it speaks against it. The weights are fitted on labelled
-pages: pages of the corpus whose markup names its furniture (menus, notices, related posts ...) and its article; each of
-them is learned from twice, with its tags and as a plain text dump. A linear scan then finds the contiguous region with the
-greatest sum of weights, the main body; lines inside it whose own sum is negative are furniture between paragraphs.
+A page is a row of lines; a line is a bag of tokens: its words, its tags, the tags open around it and where it stands. Every
+token has a weight, positive where it speaks for the main body and negative where it speaks against it. The weights are
+fitted on labelled pages: pages of the corpus whose classes name its furniture (menus, notices, related posts ...) and its
+article; each of them is learned from twice, with its tags and as a plain text dump. The names of classes only give the
+labels and are no tokens. A linear scan then finds the contiguous region with the greatest sum of weights, the main body;
+the same scan with signs reversed finds the blocks of furniture that stand between its paragraphs.
 """
 
 from __future__ import annotations
@@ -46,9 +47,9 @@ _BLANK = re.compile(r"\s+")
 
 @dataclass(frozen=True)
 class ContentConfig:
-    """``fit_pages``: labelled pages that the weights are fitted on (those with the least id hashes)."""
+    """``fit_pages``: pages with classes, those with the least id hashes, of which the labelled ones are what the weights are fitted on."""
 
-    fit_pages: int = 1200
+    fit_pages: int = 4000
     rounds: int = 120
     id_col: str = "record_id"
     title_col: str = "title"
@@ -63,6 +64,7 @@ class Line:
     furniture: bool = False  # inside an element that names itself furniture
     wrapped: int = 0  # classed or sectioning blocks open inside the article (or inside the page)
     tags: tuple[str, ...] = ()
+    around: tuple[str, ...] = ()  # the block tags open
 
 
 def _fold(text: str) -> str:
@@ -90,7 +92,7 @@ def markup_lines(page: str) -> tuple[list[Line], bool]:
     def state() -> Line:
         kinds = [k for _, k, _ in stack]
         last = max((i for i, k in enumerate(kinds) if k == "body"), default=-1)
-        return Line(no, "", "body" in kinds, "furniture" in kinds[last + 1 :], sum(k in ("wrap", "furniture") for k in kinds[last + 1 :]))
+        return Line(no, "", "body" in kinds, "furniture" in kinds[last + 1 :], sum(k in ("wrap", "furniture") for k in kinds[last + 1 :]), (), tuple(t for t, _, block in stack if block))
 
     def text(chunk: str) -> None:
         nonlocal no, parts, tags, seen
@@ -218,7 +220,7 @@ class Tokens:
             else:
                 got.append("untitled")
             if markup:
-                got += [f"body={line.body}", f"wrap={min(line.wrapped, 2)}", f"place={line.body}{min(line.wrapped, 1)}", f"named={line.furniture}", *(f"tag={x}" for x in set(line.tags)), f"place={line.body}{min(line.wrapped, 1)}{line.tags[:1]}", "markup"]
+                got += ["markup", f"deep={min(len(line.around), 6)}", *(f"in={x}" for x in set(line.around)), f"on={' '.join(line.around[-2:])}", *(f"tag={x}" for x in set(line.tags)), f"first={line.tags[:1]}"]
             out.append([self.id(x) for x in dict.fromkeys(got)])
         return out
 
@@ -228,6 +230,7 @@ class Weights:
     token: np.ndarray
     least: float = 0.0  # sum that a page's best region must exceed to be an article
     floor: float = -6.0  # a line takes no more than this from its region's sum, so that a notice doesn't part an article
+    cut: float = 0.0  # sum that a block inside the region must fall below zero by to be furniture
 
     def regional(self, score: np.ndarray) -> np.ndarray:
         return np.clip(score, self.floor, 6.0)
@@ -236,7 +239,7 @@ class Weights:
 def default_weights() -> Weights:
     """For corpora without labelled pages: prose between prose is content, short lines are not."""
     ids, w = Tokens(), np.zeros(1 << BITS, dtype=np.float32)
-    for token, value in (("bias", -0.5), ("len=0", -1.5), ("len=1", -1.0), ("len=2", -0.3), ("len=4", 1.0), ("len=5", 2.0), ("end=.", 1.0), ("end=?", 1.0), ("end=!", 0.7), ("place=True0", 2.0), ("place=True1", -3.0), ("place=False0", -1.0), ("named=True", -6.0), ("title", 4.0), ("caps", -1.0)):
+    for token, value in (("bias", -0.5), ("len=0", -1.5), ("len=1", -1.0), ("len=2", -0.3), ("len=4", 1.0), ("len=5", 2.0), ("end=.", 1.0), ("end=?", 1.0), ("end=!", 0.7), ("in=article", 2.0), ("in=main", 1.0), ("in=nav", -6.0), ("in=aside", -6.0), ("in=footer", -6.0), ("in=header", -4.0), ("in=form", -4.0), ("title", 4.0), ("caps", -1.0)):
         w[ids.id(token)] = value
     return Weights(w, 1.0, -1.5)
 
@@ -262,12 +265,34 @@ def best_region(score: np.ndarray) -> tuple[int, int, float]:
     return best
 
 
+def maximal_segments(score: np.ndarray) -> list[tuple[int, int, float]]:
+    """(first, end, sum) of all maximal-scoring contiguous segments, in one scan: the best one, the best ones beside it and so on."""
+    found: list[tuple[int, int, float, float]] = []  # first, end, sums before and after
+    total = 0.0
+    for i, x in enumerate(score.tolist()):
+        before, total = total, total + x
+        if x <= 0:
+            continue
+        first, end, left, right = i, i + 1, before, total
+        while True:
+            j = next((k for k in range(len(found) - 1, -1, -1) if found[k][2] < left), None)
+            if j is None or found[j][3] >= right:
+                break
+            first, left = found[j][0], found[j][2]
+            del found[j:]
+        found.append((first, end, left, right))
+    return [(first, end, right - left) for first, end, left, right in found]
+
+
 def main_lines(score: np.ndarray, weights: Weights) -> np.ndarray:
-    """Which lines are main body."""
+    """Which lines are main body: those of the best region but for the blocks of furniture inside it, found with the same scores."""
     first, end, total = best_region(weights.regional(score))
     keep = np.zeros(len(score), dtype=bool)
     if total > weights.least:
-        keep[first:end] = score[first:end] > 0
+        keep[first:end] = True
+        for a, b, against in maximal_segments(-weights.regional(score[first:end])):
+            if against > weights.cut:
+                keep[first + a : first + b] = False
     return keep
 
 
@@ -292,13 +317,12 @@ def fit_weights(rows: list[list[int]], label: np.ndarray, pages: np.ndarray, rou
     for floor in (-6.0, -3.0, -1.5, -0.75, -0.4, -0.2):
         weights.floor = floor
         regions = [best_region(weights.regional(got[a:b])) for a, b in spans]
-        wrong = 0
-        for (a, b), (first, end, _) in zip(spans, regions):
-            keep = np.zeros(b - a, dtype=bool)
-            keep[first:end] = got[a + first : a + end] > 0
-            wrong += int((keep != label[a:b]).sum())
-        if best is None or wrong < best[0]:
-            best = (wrong, floor, regions)
+        for cut in (0.0, 0.05, 0.1, 0.2):
+            weights.cut, weights.least = cut, 0.0
+            wrong = sum(int((main_lines(got[a:b], weights) != label[a:b]).sum()) for a, b in spans)
+            if best is None or wrong < best[0]:
+                best = (wrong, floor, regions, cut)
+    weights.cut = best[3]
     weights.floor = best[1]
     sums, has = np.array([r[2] for r in best[2]]), np.array([label[a:b].any() for a, b in spans])
     tries = np.unique(np.concatenate(([0.0], sums[~has])))
@@ -321,17 +345,14 @@ def train(pages: DataFrame, cfg: ContentConfig = ContentConfig()) -> Weights:
     hinted = pages.where(F.col(cfg.text_col).rlike("(?i)class\\s*=\\s*[\"']"))
     rows = hinted.select(F.xxhash64(cfg.id_col).alias("h"), F.col(cfg.title_col).alias("title"), F.col(cfg.text_col).alias("text"))
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [i for i, t in enumerate(batch.column(2).to_pylist()) if labelled(t) is not None]
-            yield batch.take(pa.array(keep, pa.int64()))
-
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = Tokens()
         for batch in batches:
             hs, views, labels, bags = [], [], [], []
             for h, title, text in zip(*(c.to_pylist() for c in batch.columns)):
                 got = labelled(text)
+                if got is None:
+                    continue
                 lines, label = [x for x, _ in got], [y for _, y in got]
                 bare = [Line(line.no, line.text) for line in lines]
                 for view, bag in ((0, ids.page(lines, title, True)), (1, ids.page(bare, title, False))):
@@ -341,8 +362,8 @@ def train(pages: DataFrame, cfg: ContentConfig = ContentConfig()) -> Weights:
                     bags += bag
             yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(views, pa.int32()), pa.array(labels, pa.bool_()), pa.array(bags, pa.list_(pa.int32()))], ["h", "view", "label", "bag"])
 
-    chosen = spread(rows).mapInArrow(sample, "h long, title string, text string").orderBy("h", "text").limit(cfg.fit_pages)
-    got = chosen.mapInArrow(tokens, "h long, view int, label boolean, bag array<int>").toArrow()
+    chosen = rows.orderBy("h", "text").limit(cfg.fit_pages)
+    got = chosen.repartition(pages.sparkSession.sparkContext.defaultParallelism).mapInArrow(tokens, "h long, view int, label boolean, bag array<int>").toArrow()
     h, view = got.column("h").to_numpy(), got.column("view").to_numpy()
     # full pages and dumps of the same page are pages of their own; the order within a page is kept
     page = np.unique(np.stack([h, view], axis=1), axis=0, return_inverse=True)[1].ravel() if len(h) else h

@@ -29,6 +29,27 @@ def test_best_region_against_brute_force():
         assert abs(s[first:end].sum() - total) < 1e-9
 
 
+def _segments(s, first=0):
+    """The best segment and, beside it, the best ones of what is left."""
+    best = max(((s[a:b].sum(), a, b) for a in range(len(s)) for b in range(a + 1, len(s) + 1)), default=(0, 0, 0))
+    if best[0] <= 0:
+        return []
+    _, a, b = best
+    return [*_segments(s[:a], first), (first + a, first + b), *_segments(s[b:], first + b)]
+
+
+def test_all_maximal_segments_against_their_definition():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        s = rng.normal(size=rng.integers(1, 16))
+        assert [x[:2] for x in mc.maximal_segments(s)] == _segments(s)
+
+
+def test_a_block_inside_the_region_is_cut_out():
+    weights = mc.Weights(np.zeros(1), floor=-1.0)
+    assert mc.main_lines(np.array([-1, 3, 2, -0.8, 2, -2, 0.5, -2, 4, -3.0]), weights).tolist() == [False, True, True, False, True, False, False, False, True, False]
+
+
 def test_markup_lines_keep_numbers_and_hide_scripts():
     page = "<html><head>\n<title>t</title>\n</head><body>\n<!-- a\nb -->\n<p\nclass='x'>Ala &amp; kot</p>\n<script>\nx\n</script>\n\n<br>Ola</body>"
     lines, _ = mc.markup_lines(page)
