@@ -30,7 +30,7 @@ from millrace.llm.storage import new_table, spread
 #: Of every so many consecutive positions one is probed. 12 words then hold two probed ones at least, and so do the words
 #: left of 30 or more when one in eight is replaced.
 GAP, LEAST_MET = 5, 2
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _MARKS = re.compile("[̀-ͯ]+")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -97,7 +97,7 @@ def index_block(doc_ids: np.ndarray, texts: list[str], ids: TermIds) -> pa.Recor
     doc_of = doc_ids[doc[firsts]]
     lists = np.searchsorted(firsts, np.append(heads, len(term)))
     ends = np.append(heads[1:], len(term))
-    block = int(doc_ids[0]) if len(doc_ids) else 0
+    block = xxhash.xxh64_intdigest(doc_ids.tobytes()) - (1 << 63)
     ids_raw, counts_raw, pos_raw = doc_of.astype(np.int64).tobytes(), per_doc.tobytes(), pos.tobytes()
     return pa.RecordBatch.from_arrays(
         [
@@ -112,8 +112,11 @@ def index_block(doc_ids: np.ndarray, texts: list[str], ids: TermIds) -> pa.Recor
     )
 
 
-def build_index(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: LeakConfig = LeakConfig()) -> DataFrame:
-    """Write the positional index of all documents with text and read it back: ``INDEX_SCHEMA``."""
+def build_index(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: LeakConfig = LeakConfig(), path: str | None = None) -> DataFrame:
+    """Write the positional index of all documents with text and read it back: ``INDEX_SCHEMA``.
+
+    An index that stands at ``path`` already is extended by these documents; what it holds is not read for that.
+    """
     most_docs, most_chars = cfg.block_docs, cfg.block_chars
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,8 +133,8 @@ def build_index(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield index_block(np.array(doc_ids, dtype=np.int64), texts, ids)
 
     rows = documents.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    path = new_table(documents.sparkSession, "postings")
-    spread(rows).mapInArrow(blocks, INDEX_SCHEMA).write.option("compression", "zstd").parquet(path)
+    path = path or new_table(documents.sparkSession, "postings")
+    spread(rows).mapInArrow(blocks, INDEX_SCHEMA).write.mode("append").option("compression", "zstd").parquet(path)
     return documents.sparkSession.read.schema(INDEX_SCHEMA).parquet(path)
 
 
@@ -160,27 +163,22 @@ def choose_probes(frequency: np.ndarray, gap: int = GAP) -> np.ndarray:
     return np.unique(np.arange(n - gap + 1) + gap - 1 - views.argmin(axis=1))
 
 
-def runs(hits: np.ndarray, cfg: LeakConfig) -> tuple[bool, bool]:
-    """Whether sorted positions hit on one diagonal hold an exact phrase, and whether they hold a proximity match."""
-    if len(hits) < cfg.exact and len(hits) < cfg.near - cfg.near // cfg.one_in:
+def runs(hits: np.ndarray, size: int, cfg: LeakConfig) -> tuple[bool, bool]:
+    """Whether sorted positions hit on one diagonal hold an exact phrase, and whether they hold a proximity match.
+
+    ``size`` is the number of the passage's positions. A window of at least ``near`` of them matches if no more than one in
+    ``one_in`` is missed, wherever in the window; both are found in one scan.
+    """
+    if len(hits) < min(cfg.exact, cfg.near - cfg.near // cfg.one_in):
         return False, False
     exact = len(hits) >= cfg.exact and bool((hits[cfg.exact - 1 :] - hits[: len(hits) - cfg.exact + 1] == cfg.exact - 1).any())
-    # a window of w words with m missed ones is near if w >= near and m * one_in <= w: hits i..j, w = hits[j] - hits[i] + 1
-    i, j = np.triu_indices(len(hits), k=1) if len(hits) <= 512 else (np.arange(0), np.arange(0))
-    if len(hits) <= 512:
-        w = hits[j] - hits[i] + 1
-        missed = w - (j - i + 1)
-        # replaced words may also stand at the ends of the window
-        spare = np.maximum(0, cfg.near - w)
-        near = bool(((missed + spare) * cfg.one_in <= np.maximum(w, cfg.near)).any())
-        return exact, near
-    g = (cfg.one_in - 1) * hits - cfg.one_in * np.arange(len(hits))
-    best = np.maximum.accumulate(g)
-    for a in range(len(hits)):  # long passages: only windows of at least ``near`` words
-        b = np.searchsorted(hits, hits[a] + cfg.near - 1)
-        if b < len(hits) and ((cfg.one_in - 1) * (hits[b:] - hits[a] + 1) <= cfg.one_in * (np.arange(b, len(hits)) - a + 1)).any():
-            return exact, True
-    return exact, False
+    if size < cfg.near:
+        return exact, False
+    gain = np.full(size, 1 - cfg.one_in)
+    gain[hits] = 1
+    total = np.concatenate(([0], np.cumsum(gain)))  # a window matches if its gains don't sum below zero
+    least = np.minimum.accumulate(total[: size + 1 - cfg.near])
+    return exact, bool((total[cfg.near :] >= least).any())
 
 
 def _decode(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -240,10 +238,11 @@ def _matches(block: pd.DataFrame, passages: dict, probes: dict, cfg: LeakConfig)
         at, want = passages["at"][first:last], passages["term"][first:last]
         there = at + g
         ok = (there >= 0) & (there < width)
+        before = int((there < 0).sum())  # of the passage, only what can lie in the document counts
         look = np.searchsorted(docs, a) * width + there[ok]
         place = np.minimum(np.searchsorted(key, look), len(key) - 1)
         hits = at[ok][(key[place] == look) & (term[place] == want[ok])]
-        exact, near = runs(hits, cfg)
+        exact, near = runs(hits - before, len(at) - before, cfg)
         if exact or near:
             out.append((a, i, exact, near))
     return pd.DataFrame(out, columns=["doc_id", "item_id", "exact", "near"]) if out else none
