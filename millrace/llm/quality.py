@@ -2,7 +2,9 @@
 
 Every line (long ones in pieces of about ``PIECE`` characters) is described by a few binned statistics. A hidden Markov
 model with the states prose, list, table and junk labels the lines; a document's label shares are shares of characters.
-The model is fitted on a bounded sample: lines that plain rules can name hold their state, all others are free, and the
+No list of words or letters of a language goes into it: that prose has small words in its lines, letters that weren't read
+byte by byte, sentences' ends and so on holds for languages the corpus has few documents of, too. Which words
+are common is counted over all documents, by script. The model is fitted on a bounded sample: lines that plain rules can name hold their state, all others are free, and the
 Baum-Welch algorithm does the rest. Statistics and labels cover every line of every document.
 
 Counting is vectorised over the characters of a whole Arrow batch.
@@ -11,12 +13,12 @@ Counting is vectorised over the characters of a whole Arrow batch.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.storage import spread
@@ -25,34 +27,46 @@ STATES = ("prose", "list", "table", "junk")
 PROSE, LIST, TABLE, JUNK = range(4)
 PIECE = 200
 
-# fixed values: frequent function words of the corpus languages, without diacritics
-COMMON_WORDS = {
-    "pl": "a ale albo am bez bo by byc byl byla bylo co czy dla do gdy gdzie go i ich ile im inny ja jak jako je jego jej jest jesli jeszcze juz kiedy kto ktora ktore ktory lub ma mi miedzy mimo na nad nawet nic nie niz o od oraz po pod podczas przed przez przy sa sie swoj ta tak takze tam te tego ten ter to tu tylko tym u w wedlug wiec wraz we z za zanim ze",
-    "en": "a about after all also although an and any are as at be because been before but by can could did do does for from had has have he her his how if in into is it its me more my no not of on or our out over per she so some such than that the their them then there these they this to up was we were what when which while who will with within would you your",
-    "de": "aber als am an auch auf aus bei bis da das dass dem den denn der des die durch ein eine einem einen einer eines er es fur gegen hat ich ihr im in innerhalb ist ja je jede jeder kann kein laut mit nach nicht noch nur ob obwohl oder ohne sehr sich sie sind so uber um und uns unter vom von vor wahrend was wenn wie wir wird zu zum zur zwei",
-}
-
 OTHER, LETTER, UPPER, DIGIT, SPACE, STOP, COMMA, MARK, ODD, DAMAGE = range(10)
-_DAMAGE_SIGNS = "¤¬³¢£¥¦¨©ª¯±²´¶¸¹º¼½¾�ÃÂĂĹÐØÞ™"
+# fixed values: signs, no letters, that appear where bytes are read in the wrong encoding
+_DAMAGE_SIGNS = "¤¬³¢£¥¦¨©¯±²´¶¸¹¼½¾�™"
+#: Function words are short in all languages with spaces between words: small words of so many letters count as common.
+SHORT = 3
+
+
+def _misread_pairs() -> tuple[np.ndarray, np.ndarray]:
+    """First and second characters of letters of two UTF-8 bytes (Latin, Cyrillic) read as a one-byte encoding."""
+    first, second = set(), set()
+    for name in ("latin-1", "cp1250", "cp1252"):
+        first.update(bytes([b]).decode(name, "ignore") for b in (0xC2, 0xC3, 0xC4, 0xC5, 0xD0, 0xD1))
+        second.update(bytes([b]).decode(name, "ignore") for b in range(0x80, 0xC0))
+    table = np.zeros((2, 1 << 16), dtype=bool)
+    for k, chars in enumerate((first, second)):
+        table[k, [ord(c) for c in chars if c]] = True
+    return table[0], table[1]
+
+
+def _kind(char: str) -> int:
+    cat = unicodedata.category(char)
+    if cat[0] == "L":
+        return UPPER if cat in ("Lu", "Lt") else LETTER
+    if cat[0] == "N":
+        return DIGIT
+    if cat[0] == "Z" or char in "\t\r\n\x0b\x0c":
+        return SPACE
+    return LETTER if cat == "Mc" else OTHER if cat == "Mn" else ODD
+
+
+def _fold(char: str) -> int:
+    return ord((unicodedata.normalize("NFKD", char).lower()[:1].replace("ł", "l") or char)[0])
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Character class and folded lower-case letter of each code up to 65535."""
-    kind = np.full(1 << 16, ODD, dtype=np.uint8)
-    low = np.zeros(1 << 16, dtype=np.uint16)
-    for code in range(1 << 16):
-        char = chr(code)
-        cat = unicodedata.category(char)
-        if cat[0] == "L":
-            kind[code] = UPPER if cat in ("Lu", "Lt") else LETTER
-            base = unicodedata.normalize("NFKD", char).lower()[:1].replace("ł", "l")
-            low[code] = ord(base or char) & 0xFFFF
-        elif cat[0] == "N":
-            kind[code] = DIGIT
-        elif cat[0] == "Z" or char in "\t\r\n\x0b\x0c":
-            kind[code] = SPACE
-        elif cat == "Mn":
-            kind[code] = OTHER
+    kind = np.array([_kind(chr(code)) for code in range(1 << 16)], dtype=np.uint8)
+    low = np.zeros(1 << 16, dtype=np.uint64)
+    for code in np.flatnonzero((kind == LETTER) | (kind == UPPER)).tolist():
+        low[code] = _fold(chr(code))
     for chars, k in ((".!?…", STOP), (",;:%()\"'„”“’–—-/", COMMA), ("|\t*#»•→=<>{}[]_\\^~`+&§@", MARK), (_DAMAGE_SIGNS, DAMAGE)):
         for char in chars:
             kind[ord(char)] = k
@@ -60,7 +74,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 _KIND, _LOW = _tables()
-_POWERS = np.cumprod(np.full(64, 0x100000001B3, dtype=np.uint64))
+_FIRST, _SECOND = _misread_pairs()
+#: words of more letters than this are never frequent ones
+_POWERS = np.cumprod(np.full(16, 0x100000001B3, dtype=np.uint64))
 
 
 def _word_hash(word: str) -> int:
@@ -71,11 +87,15 @@ def _word_hash(word: str) -> int:
     return int(total)
 
 
-_COMMON = np.array(sorted({_word_hash(w) for words in COMMON_WORDS.values() for w in words.split()}), dtype=np.uint64)
-_LONGEST = max(len(w) for words in COMMON_WORDS.values() for w in words.split())
+def word_hashes(words: Iterable[str]) -> np.ndarray:
+    """Sorted hashes of words without case and diacritics."""
+    return np.array(sorted({_word_hash("".join(chr(_fold(c)) for c in w)) for w in words if len(w) <= len(_POWERS)}), dtype=np.uint64)
+
+
+_NONE = np.zeros(0, dtype=np.uint64)
 
 #: counts per line piece, in this order
-COUNTS = ("chars", "letters", "upper", "digits", "spaces", "stops", "commas", "marks", "odd", "damage", "words", "common", "numbers", "low_words", "seps", "ends", "bullet")
+COUNTS = ("chars", "letters", "upper", "digits", "spaces", "stops", "commas", "marks", "odd", "damage", "words", "common", "numbers", "low_words", "seps", "ends", "bullet", "short")
 
 
 @dataclass
@@ -85,8 +105,8 @@ class Lines:
     end_line: np.ndarray = field(default=None)  # the piece ends its line
 
 
-def line_counts(texts: list[str]) -> Lines:
-    """Counts for every non-blank line piece of the texts."""
+def line_counts(texts: list[str], frequent: np.ndarray = _NONE) -> Lines:
+    """Counts for every non-blank line piece of the texts; ``frequent``: hashes of the words that count as common."""
     joined = "\n".join(texts)
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     n = len(code)
@@ -94,7 +114,16 @@ def line_counts(texts: list[str]) -> Lines:
     if not n:
         return none
     small = np.minimum(code, 0xFFFF).astype(np.uint16)
-    kind = _KIND[small]
+    kind, folded = _KIND[small], _LOW[small]
+    far = np.flatnonzero(code > 0xFFFF)
+    if len(far):
+        chars, at = np.unique(code[far], return_inverse=True)
+        kind[far] = np.array([_kind(chr(c)) for c in chars], dtype=np.uint8)[at]
+        folded[far] = code[far]
+    # letters of several bytes that were read byte by byte
+    pair = np.flatnonzero(_FIRST[small[:-1]] & _SECOND[small[1:]])
+    damaged = kind == DAMAGE
+    damaged[pair] = damaged[pair + 1] = True
     breaks = np.flatnonzero(code == 10)
     # long lines are cut at the first space of each block of PIECE characters
     spaces = np.flatnonzero(kind == SPACE)
@@ -119,15 +148,17 @@ def line_counts(texts: list[str]) -> Lines:
     stop[:-1] &= ~letter[1:]
     length = np.flatnonzero(stop) - at + 1
     common = np.zeros(n, dtype=bool)
-    short = length <= _LONGEST
-    if short.any():
-        s, ln = at[short], length[short]
+    fit = length <= len(_POWERS)
+    if len(frequent) and fit.any():
+        s, ln = at[fit], length[fit]
         total = np.zeros(len(s), dtype=np.uint64)
         with np.errstate(over="ignore"):
             for i in range(int(ln.max())):
-                on = ln > i
-                total[on] += _LOW[small[s[on] + i]].astype(np.uint64) * _POWERS[i]
-        common[s[np.isin(total, _COMMON)]] = True
+                on = np.flatnonzero(ln > i)
+                total[on] += folded[s[on] + i] * _POWERS[i]
+        common[s[np.isin(total, frequent)]] = True
+    little = np.zeros(n, dtype=bool)
+    little[at[(length <= SHORT) & (kind[at] == LETTER)]] = True
     low_word = np.zeros(n, dtype=bool)
     low_word[at[(length > 1) & (kind[at] == LETTER)]] = True
     digit = kind == DIGIT
@@ -136,7 +167,7 @@ def line_counts(texts: list[str]) -> Lines:
     sep = (small == ord("|")) | (small == 9) | (small == ord(";"))
     sep[1:-1] |= (small[1:-1] == ord(",")) & (kind[:-2] != SPACE) & (kind[2:] != SPACE) & ~(digit[:-2] & digit[2:])
     sep[1:-1] |= (small[1:-1] == ord(":")) & (kind[2:] == SPACE)
-    cols = [ends - cuts, per_piece(letter), per_piece(kind == UPPER), per_piece(digit), per_piece(kind == SPACE), per_piece(kind == STOP), per_piece(kind == COMMA), per_piece(kind == MARK), per_piece(kind == ODD), per_piece(kind == DAMAGE)]
+    cols = [ends - cuts, per_piece(letter), per_piece(kind == UPPER), per_piece(digit), per_piece(kind == SPACE), per_piece(kind == STOP), per_piece(kind == COMMA), per_piece(kind == MARK), per_piece(kind == ODD), per_piece(damaged)]
     cols += [per_piece(starts), per_piece(common), per_piece(number), per_piece(low_word), per_piece(sep)]
     counts = np.stack(cols, axis=1)
     seen = np.flatnonzero(kind != SPACE)
@@ -150,7 +181,7 @@ def line_counts(texts: list[str]) -> Lines:
     third = np.minimum(head + 2, n - 1)
     signs = np.isin(small[head], np.array([ord(c) for c in "-*•→»#[(–·"], dtype=np.uint16))
     numbered = digit[head] & (np.isin(small[after], [ord("."), ord(")")]) | digit[after] & np.isin(small[third], [ord("."), ord(")")]))
-    counts = np.column_stack([counts[filled], closes, signs | numbered])
+    counts = np.column_stack([counts[filled], closes, signs | numbered, per_piece(little)[filled]])
     last = np.isin(ends[filled] - 1, breaks) | (ends[filled] == n)
     # documents: which text a piece belongs to
     lens = np.array([len(t) + 1 for t in texts])
@@ -159,7 +190,8 @@ def line_counts(texts: list[str]) -> Lines:
 
 
 _BINS = (  # (name, value of the counts, upper bounds of the bins)
-    ("common", lambda c: c["common"] / np.maximum(1, c["words"]), (0.001, 0.06, 0.12, 0.22)),
+    ("short", lambda c: c["short"] / np.maximum(1, c["words"]), (0.001, 0.05, 0.08, 0.11, 0.15, 0.22)),
+    ("sentence", lambda c: (c["stops"] + c["upper"]) / np.maximum(1, c["words"]), (0.001, 0.08, 0.3, 1.0)),
     ("words", lambda c: c["words"], (1, 3, 6, 12, 25)),
     ("low", lambda c: c["low_words"] / np.maximum(1, c["words"]), (0.2, 0.5, 0.75, 0.95)),
     ("letters", lambda c: c["letters"] / np.maximum(1, c["chars"] - c["spaces"]), (0.15, 0.5, 0.75, 0.9)),
@@ -188,19 +220,20 @@ def seeds(counts: np.ndarray) -> np.ndarray:
     """The state of lines that plain rules can name, -1 for all others."""
     c = _named(counts)
     words, numbers = np.maximum(1, c["words"]), c["numbers"]
-    common = c["common"] / words
+    common = c["short"] / words
     tokens = np.maximum(1, c["words"] + numbers)
     odd = (c["marks"] + c["odd"] + c["damage"]) / np.maximum(1, c["chars"])
     solid = c["letters"] / np.maximum(1, c["chars"] - c["spaces"])
     out = np.full(len(counts), -1)
-    out[(words >= 8) & (common >= 0.08) & (solid > 0.8) & (odd < 0.02) & (c["seps"] / tokens < 0.15)] = PROSE
+    out[(words >= 8) & (common >= 0.12) & (solid > 0.8) & (odd < 0.02) & (c["seps"] / tokens < 0.15)] = PROSE
     out[(c["bullet"] > 0) & (words <= 5) & (common < 0.05)] = LIST
     out[(c["seps"] / tokens >= 0.3) & (tokens >= 4) & (common < 0.05)] = TABLE
     out[(numbers / tokens > 0.8) & (tokens >= 4)] = TABLE
     out[(c["letters"] / words > 16) & (c["chars"] > 40)] = JUNK
     out[c["damage"] / np.maximum(1, c["chars"]) > 0.06] = JUNK
     out[(odd > 0.12) & (c["seps"] / tokens < 0.3)] = JUNK
-    out[(words >= 12) & (c["common"] == 0) & (c["ends"] == 0) & (numbers / tokens < 0.2)] = JUNK
+    out[(words >= 12) & (common < 0.1) & (c["upper"] + c["stops"] == 0) & (numbers / tokens < 0.2)] = JUNK
+    out[(words >= 12) & (c["short"] == 0) & (c["ends"] == 0) & (numbers / tokens < 0.2)] = JUNK
     return out
 
 
@@ -285,13 +318,37 @@ def fit(doc: np.ndarray, obs: np.ndarray, held: np.ndarray, rounds: int = 6) ->
 
 @dataclass(frozen=True)
 class QualityConfig:
-    """``fit_documents``: documents in the sample the model is fitted on (those with the least id hashes)."""
+    """``fit_documents``: documents in the sample the model is fitted on (those with the least id hashes).
+    ``frequent``: share of the documents of a script in which a common word stands at least."""
 
     fit_documents: int = 1500
+    frequent: float = 0.05
     id_col: str = "doc_id"
     text_col: str = "text"
 
 
+_SCRIPTS = ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari")
+
+
+def frequent_words(documents: DataFrame, cfg: QualityConfig = QualityConfig()) -> np.ndarray:
+    """Hashes of the common words of each script, from the counts of all documents.
+
+    At most (1 / cfg.frequent) times as many words as a document has different ones on average, however many documents.
+    """
+    words = documents.where(F.col(cfg.text_col).isNotNull()).select(F.array_distinct(F.regexp_extract_all(F.lower(cfg.text_col), F.lit(r"(\p{L}+)"), F.lit(1))).alias("ws"))
+
+    def script(word: Column) -> Column:
+        out = F.when(word.isNull(), None)
+        for name in _SCRIPTS:
+            out = out.when(word.rlike(rf"^\p{{Is{name}}}"), name)
+        return out.otherwise("other")
+
+    per_word = words.select(F.explode("ws").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("script", script(F.col("word")))
+    of = words.select(F.explode(F.array_distinct(F.transform(F.array_distinct(F.transform("ws", lambda w: F.substring(w, 1, 1))), script))).alias("script")).groupBy("script").agg(F.count(F.lit(1)).alias("of"))
+    got = per_word.join(F.broadcast(of), "script").where(F.col("n") >= cfg.frequent * F.col("of")).select("word")
+    return word_hashes(got.toArrow().column("word").to_pylist())
+
+
 def train(documents: DataFrame, cfg: QualityConfig = QualityConfig()) -> Model:
     """The line model of a corpus, from a bounded sample of its documents."""
     chosen = documents.where(F.col(cfg.text_col).isNotNull()).select(F.xxhash64(cfg.id_col).alias("h"), F.col(cfg.text_col).alias("text")).orderBy("h", "text").limit(cfg.fit_documents)
@@ -320,18 +377,19 @@ def statistics(documents: DataFrame, cfg: QualityConfig = QualityConfig(), model
     """One row per row of ``documents``: ``STATS_SCHEMA``.
 
     Ratios are shares of characters; ``line_end_share`` is the share of lines that end in a stop, ``common_share`` that
-    of words which are frequent function words. A null text gives nulls, a blank one zeros and no label shares.
+    of words which are frequent in the corpus. A null text gives nulls, a blank one zeros and no label shares.
     """
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(model or train(documents, cfg))  # a few hundred numbers
+    shared = spark.sparkContext.broadcast((model or train(documents, cfg), frequent_words(documents, cfg)))  # a few thousand numbers
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, frequent = shared.value
         for batch in batches:
             raw = batch.column(1).to_pylist()
             texts = [t or "" for t in raw]
             n = len(texts)
-            got = line_counts(texts)
-            state = viterbi(shared.value, got.doc, observe(got.counts)) if len(got.doc) else np.zeros(0, dtype=np.int64)
+            got = line_counts(texts, frequent)
+            state = viterbi(model, got.doc, observe(got.counts)) if len(got.doc) else np.zeros(0, dtype=np.int64)
             c = _named(got.counts)
             add = lambda x, by=got.doc: np.bincount(by, weights=x, minlength=n)[:n]
             size = np.array([len(t) for t in texts], dtype=np.float64)

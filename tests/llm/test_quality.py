@@ -30,11 +30,30 @@ def test_labels_and_edge_cases(spark):
 
 def test_counts_against_plain_python():
     text = "Ala ma 3 koty!\nTo jest: test - naprawdę?\n\n  koniec"
-    got = q.line_counts([text, "x"])
+    got = q.line_counts([text, "x \U0001d538\U0001d539"], q.word_hashes(["ma", "ala", "naprawdę", "jest"]))
     c = {n: got.counts[:, i] for i, n in enumerate(q.COUNTS)}
     assert list(got.doc) == [0, 0, 0, 1]
-    assert list(c["words"]) == [3, 4, 1, 1] and list(c["numbers"]) == [1, 0, 0, 0] and list(c["ends"]) == [1, 1, 0, 0]
-    assert list(c["common"]) == [1, 2, 0, 0]
+    assert list(c["words"]) == [3, 4, 1, 2] and list(c["numbers"]) == [1, 0, 0, 0] and list(c["ends"]) == [1, 1, 0, 0]
+    assert list(c["common"]) == [2, 2, 0, 0] and list(c["short"]) == [1, 0, 0, 1]
+
+
+#: sentences in languages that the other documents of the corpus aren't written in
+OTHERS = {
+    "es": "El banco central subió los tipos de interés por tercera vez en el año y los hogares con hipotecas variables pagarán más.\nSegún el informe, la inflación se mantiene por encima de lo previsto, aunque el empleo sigue creciendo en casi todas las regiones.",
+    "da": "Regeringen vil næste år ændre reglerne for boliglån, så unge familier får lettere ved at købe deres første bolig på landet.\nØkonomerne er ikke enige om, hvorvidt det vil få priserne til at stige, men de fleste tror på en rolig udvikling.",
+    "fr": "Le gouvernement a présenté hier un projet de loi qui doit simplifier les démarches des épargnants et réduire les frais.\nLes associations saluent une avancée, mais elles regrettent que rien ne soit prévu pour les ménages les plus modestes.",
+    "cs": "Vláda včera schválila návrh zákona, který má od příštího roku zvýšit příspěvek na bydlení pro rodiny s dětmi.\nPodle ministra to pomůže hlavně lidem ve velkých městech, kde nájmy rostou nejrychleji a mzdy jim nestačí.",
+}
+
+
+def test_prose_of_rare_languages_and_damaged_text(spark):
+    rows = [(i, t) for i, t in enumerate([PROSE, LIST, TABLE, JUNK] * 30)]
+    rows += [(1000 + i, t) for i, t in enumerate(OTHERS.values())]
+    rows += [(2000 + i, t.encode().decode("cp1252", "replace")) for i, t in enumerate((PROSE * 3, OTHERS["cs"]))]
+    got = {r.doc_id: r for r in q.statistics(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[1000 + i].prose_share > 0.9 for i in range(4)] == [True] * 4
+    assert got[2001].prose_share < 0.5
+    assert got[0].common_share > 0.5
 
 
 def test_viterbi_agrees_with_enumeration():
