@@ -43,19 +43,17 @@ def word_type(token: str) -> str | None:
     return t
 
 
-def certain(word: str) -> bool:
-    """A word that no dictionary is needed for: signs or digits among small letters, or letters in a number.
+_LETTERS = str.maketrans({"0": "o", "1": "l", "!": "i", "@": "a", "5": "s", "6": "ó"})
+_NUMERALS = str.maketrans({"O": "0", "o": "0", "l": "1", "I": "1"})
 
-    Numbering and units (5a, m2) are regular forms: they are misread only if a ranked candidate says so.
-    """
+
+def restored(word: str) -> str | None:
+    """The form in which signs and digits stand for letters again, in a number letters for digits; None where nothing changes."""
     if _NUMBERLIKE.fullmatch(word):
-        return True
-    if _NUMBERED.fullmatch(word):
-        return False
-    inner = word[:-1] if word.endswith("!") else word
-    if len(word) > 30 or sum(c.isupper() for c in word[1:]) > 2 or len(_SYMBOL.findall(inner)) > 3:
-        return False  # keys, hashes and the like
-    return bool(_SYMBOL.search(inner)) and any(c.islower() for c in word) and sum(c.isalpha() for c in word) * 2 >= len(word) and "@" not in word[:1] and "." not in word
+        plain = word.translate(_NUMERALS)
+    else:
+        plain = word.translate(_LETTERS)
+    return plain if plain != word else None
 
 
 def explain(read: str, printed: str, most: int = 3) -> list[tuple[str, str, int]] | None:
@@ -94,11 +92,13 @@ def near_grams(word: str) -> list[str]:
     return list(dict.fromkeys(f"{w[i : i + 2]}{p}" for i in range(len(w) - 1) for p in range(max(0, i - 1) // 3, (i + 1) // 3 + 1)))
 
 
-FEATURES = ("ratio", "count", "ops", "diacritic", "at_end", "length", "symbols", "grams", "odd_ops", "inner_capital")
+FEATURES = (
+    "ratio", "count", "ops", "diacritic", "at_end", "length", "symbols", "grams", "odd_ops", "inner_capital", "unknown", "numberlike", "numbered", "capitals", "letters", "small", "sign_first", "dot", "long",
+)
 
 
 def features(read: str, n_read: float, printed: str, n_printed: float) -> list[float]:
-    """Features of reading ``printed`` as ``read``; the counts are those of the corpus."""
+    """Features of reading ``printed`` as ``read``; the counts are those of the corpus, 0 for a form that is only restored."""
     ops = explain(read, printed)
     a, b = set(grams(read)), set(grams(printed))
     if ops is None:
@@ -108,9 +108,46 @@ def features(read: str, n_read: float, printed: str, n_printed: float) -> list[f
         dia = float(sum((p, r) in _DIACRITIC for p, r, _ in ops))
         end = float(sum(i + len(r) == len(read) for _, r, i in ops))
         odd = float(sum((p, r) in {("i", "l"), ("l", "i"), ("t", "f"), ("f", "t"), ("c", "e"), ("o", "c"), ("rn", "m"), ("ł", "t")} for p, r, _ in ops))
-    symbols = float(len(_SYMBOL.findall(read)))
+    inside = read[:-1] if read.endswith("!") else read
+    symbols = float(len(_SYMBOL.findall(inside)))
+    shape = [n_printed == 0, _NUMBERLIKE.fullmatch(read) is not None, _NUMBERED.fullmatch(read) is not None, sum(c.isupper() for c in read[1:]) > 2, sum(c.isalpha() for c in read) * 2 >= len(read), any(c.islower() for c in read), read[0] in "@!", "." in read, len(read) > 30]
     inner = float(any(c.isupper() for c in read[1:]) and any(c.islower() for c in read))
-    return [float(np.log((1 + n_printed) / (1 + n_read))), float(np.log1p(n_read)), ops_n, dia, end, float(min(len(read), 12)), symbols, len(a & b) / max(1, len(a | b)), odd, inner]
+    return [float(np.log((1 + n_printed) / (1 + n_read))), float(np.log1p(n_read)), ops_n, dia, end, float(min(len(read), 12)), symbols, len(a & b) / max(1, len(a | b)), odd, inner, *map(float, shape)]
+
+
+def made_up_words(rng: np.random.Generator, n: int) -> list[str]:
+    """Words of syllables, to learn from where a corpus has too few."""
+    syllable = lambda: "".join(rng.choice(list(x)) for x in ("bcdfgklmnprstwz", "aeiou", " mnrsl")).strip()
+    return ["".join(syllable() for _ in range(int(rng.integers(2, 5)))) for _ in range(n)]
+
+
+def signed(word: str, rng: np.random.Generator) -> str | None:
+    """The word with one or two letters read as signs or digits; None where none can be."""
+    ways = [(i, r) for p, r in CONFUSIONS for i in range(len(word)) if len(p) == 1 and word[i] == p and r in "0123456789!@"]
+    for k in rng.permutation(len(ways))[: 1 + int(rng.random() < 0.2)]:
+        i, r = ways[int(k)]
+        word = word[:i] + r + word[i + 1 :]
+    return word if ways else None
+
+
+def regular_mixture(rng: np.random.Generator) -> str:
+    """A regular form of letters and digits: numbering, a unit, a code, a key, a name of a file or an account."""
+    digits = lambda n: "".join(str(d) for d in rng.integers(0, 10, n))
+    letters = lambda n: "".join(rng.choice(list("abcdefghijklmnoprstuwz"), n))
+    kind = int(rng.integers(7))
+    if kind == 0:
+        return digits(int(rng.integers(1, 3))) + letters(1)
+    if kind == 1:
+        return letters(int(rng.integers(1, 3))) + str(rng.integers(1, 4))
+    if kind == 2:
+        return letters(int(rng.integers(1, 4))).upper() + digits(int(rng.integers(1, 4))) + letters(int(rng.integers(0, 3)))
+    if kind == 3:
+        return "".join(rng.choice(list("0123456789abcdef"), int(rng.integers(8, 41))))
+    if kind == 4:
+        return "".join(rng.choice(list("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), int(rng.integers(10, 41))))
+    if kind == 5:
+        return letters(int(rng.integers(3, 9))) + rng.choice([".", "@"]) + letters(3) + digits(1)
+    return "@" + letters(int(rng.integers(3, 9)))
 
 
 def corrupted(word: str, rng: np.random.Generator) -> str | None:

@@ -11,6 +11,7 @@ corpus itself: words and headers corrupted by known confusions, words cut in two
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,8 +25,6 @@ from millrace.llm import ocr_words as ow
 from millrace.llm.boosting import Boosted, fit_logistic, logistic
 from millrace.llm.storage import materialise, spread
 
-_FILTER_BITS = 20
-
 
 @dataclass(frozen=True)
 class ScanConfig:
@@ -33,7 +32,8 @@ class ScanConfig:
     ``neighbours``: share of the next two pages on either side that must have a running line too; ``far``: edits beyond which two lines are no pair;
     ``least_pages``, ``file_share``: or how many pages of the file, and what share of them. ``fit_words``, ``fit_pairs``: sample sizes of the
     learners. ``lexicon_count``: least count of a correction. ``min_ratio``: how much more frequent it must be
-    than a form met at most ``few`` times, ``often_ratio``: than one met more often."""
+    than a form met at most ``few`` times, ``often_ratio``: than one met more often. ``fit_alike``: words of a bigram among which the
+    learner looks for natural pairs that are alike. ``filter_bits``: most bits of the table by which tasks pass over words."""
 
     edge: int = 3
     neighbours: float = 0.4
@@ -46,6 +46,8 @@ class ScanConfig:
     min_ratio: float = 3.0
     few: int = 2
     often_ratio: float = 15.0
+    fit_alike: int = 200
+    filter_bits: int = 27
     seed: int = 5
     id_col: str = "record_id"
     file_col: str = "url"
@@ -95,7 +97,10 @@ def edges(pages: DataFrame, cfg: ScanConfig, start: int = 0) -> DataFrame:
 
 
 _ALONE = re.compile(r"(?<![^\W\d_@!])\d{1,9}(?![^\W\d_@!])")
-_LOW_START = r"^[^\p{L}]*\p{Ll}"
+def _low_start(line: str) -> bool:
+    """Whether a line begins in the midst of a sentence."""
+    return next((c for c in line if c.isalpha()), "A").islower()
+
 
 
 def pair_features(a: str, b: str, same_slot: bool, step: int) -> list[float]:
@@ -104,11 +109,12 @@ def pair_features(a: str, b: str, same_slot: bool, step: int) -> list[float]:
     ga, gb = {x[i : i + 4] for i in range(max(1, len(x) - 3))}, {y[i : i + 4] for i in range(max(1, len(y) - 3))}
     old, new = ([int(n) for n in _ALONE.findall(t)] for t in (a, b))
     steps = float(any(n - m == step for m in old for n in new))
-    moved = [(m, n) for m, n in zip(old, new) if m != n]
+    gone, come = (sorted((Counter(x) - Counter(y)).elements()) for x, y in ((old, new), (new, old)))  # a page's number may change sides
+    moved = list(zip(gone, come))
     if moved and not re.match(rf"\W*{moved[0][1]}\b", b) and not re.search(rf"\b{moved[0][1]}\W*$", b):
         moved = [(0, -1)] * 2  # a page's number stands at either end of its line
     alike = len(old) == len(new) and (not moved or len(moved) == 1 and moved[0][1] - moved[0][0] == step) or bool(re.search(r"\d[OlI]|[OlI]\d", a + b))
-    return [float(x == y and len(x) > 2), len(ga & gb) / max(1, len(ga | gb)), min(len(x), len(y)) / max(1, len(x), len(y)), float(same_slot), steps, float(min(len(x), len(y)) > 2), float(alike)]
+    return [float(x == y and len(x) > 2), len(ga & gb) / max(1, len(ga | gb)), min(len(x), len(y)) / max(1, len(x), len(y)), float(same_slot), steps, float(min(len(x), len(y)) > 2), float(alike), float(_low_start(a) and _low_start(b))]
 
 
 def _misprint(line: str, rng: np.random.Generator) -> str:
@@ -121,23 +127,54 @@ def _misprint(line: str, rng: np.random.Generator) -> str:
 
 def fit_pairs(sample: list[tuple[int, int, str]], cfg: ScanConfig) -> np.ndarray:
     """Weights of the furniture classifier, from (file, slot, line): a line against its own misprint on another page, and
-    against lines of other files."""
+    against lines of other files. Lines that begin in the midst of a sentence are body text, whatever they are like."""
     rng = np.random.default_rng(cfg.seed)
+    if len(sample) < 50:
+        made = ow.made_up_words(rng, 400)
+        sample = [*sample, *((-i, 0, " ".join(rng.choice(made, int(rng.integers(2, 7)))).capitalize()) for i in range(200))]
     x, y = [], []
     for i, (file, slot, line) in enumerate(sample):
         if len(ow.skeleton(line)) < 3:
             continue
         step = int(rng.integers(1, 3))
         a, b = (f"{line} | {i % 90}", f"{line} | {i % 90 + step}") if rng.random() < 0.3 else (line, line)
+        if rng.random() < 0.1:
+            a, b = (next((t[:k] + t[k:].lower() for k, c in enumerate(t) if c.isalpha()), t) for t in (a, b))
         x.append(pair_features(_misprint(a, rng), _misprint(b, rng), rng.random() < 0.9, step))
-        y.append(1.0)
+        y.append(float(not x[-1][-1]))
         for _ in range(6):
             other = sample[int(rng.integers(len(sample)))]
             if other[0] != file and ow.skeleton(other[2]) != ow.skeleton(line):
                 x.append(pair_features(line, other[2], rng.random() < 0.4, step))
                 y.append(0.0)
-    if len(set(y)) < 2:
-        return np.array([2.0, 6.0, 1.0, 0.3, 0.5, 1.0, 1.0, -7.0])
+    return fit_logistic(np.array(x), np.array(y))
+
+
+def number_features(number: int, style: str, of: int | None, page: int, total: int, other: int | None, other_style: str | None, step: int) -> list[float]:
+    """Features of a number line and one of another page, ``step`` pages further, being the pages' numbers."""
+    steps = other is not None and other - number == step and style[:5] == (other_style or "")[:5]
+    return [float(steps), float(number == page and (not total or number <= total)), float(of is not None and of == total), float(style.endswith(".")), float(other is None)]
+
+
+def fit_numbers(cfg: ScanConfig) -> np.ndarray:
+    """Weights of the page number classifier, from made-up files: running numbers, some of them shifted, against numbering and amounts."""
+    rng = np.random.default_rng(cfg.seed)
+    x, y = [], []
+    for _ in range(4000):
+        total = int(rng.integers(2, 120))
+        page, step = int(rng.integers(1, total + 1)), int(rng.choice([-2, -1, 1, 2]))
+        real = rng.random() < 0.5
+        style = rng.choice(["arabic", "arabicw", "arabicd", "roman", "arabic."] if real else ["arabic", "arabic.", "arabic.", "roman."])
+        if real:
+            shift = int(rng.choice([0, 0, 0, rng.integers(-5, 20)]))
+            number, of = page + shift, total if rng.random() < 0.3 else None
+            other = number + step if rng.random() < 0.85 else int(rng.integers(1, 200)) if rng.random() < 0.5 else None
+        else:
+            number, of = int(rng.integers(1, 200)), int(rng.integers(1, 200)) if rng.random() < 0.1 else None
+            number = page if style.endswith(".") and rng.random() < 0.3 else number
+            other = None if rng.random() < 0.6 else int(rng.integers(1, 200))
+        x.append(number_features(number, style, of, page, total, other, style if other is not None else None, step))
+        y.append(float(real))
     return fit_logistic(np.array(x), np.array(y))
 
 
@@ -148,7 +185,7 @@ def furniture(pages: DataFrame, cfg: ScanConfig) -> DataFrame:
     """
     first = found = materialise(edges(pages.withColumn("sides", F.array(F.lit(0), F.lit(1))), cfg), "edges")
     sample = found.where("slot = 0 and number is null").select("file", "slot", "text").distinct().orderBy(F.xxhash64("file", "text"), "file", "text").limit(cfg.fit_pairs)
-    weights = fit_pairs([(r.file, r.slot, r.text) for r in sample.collect()], cfg)
+    weights = fit_pairs([(r.file, r.slot, r.text) for r in sample.collect()], cfg), fit_numbers(cfg)
     out, start = None, 0
     while True:
         now = materialise(_judged(found, first, weights, cfg), "edge-furniture")
@@ -161,24 +198,24 @@ def furniture(pages: DataFrame, cfg: ScanConfig) -> DataFrame:
             return out.groupBy("rid", "line_no").agg(F.min("defect").alias("defect"))
 
 
-def _judged(found: DataFrame, first: DataFrame, weights: np.ndarray, cfg: ScanConfig) -> DataFrame:
-    """The furniture among the lines ``found``; pages of a file are counted over ``first``, the outermost lines."""
-    a = found.select("file", "side", "page", *(F.col(c).alias(f"a_{c}") for c in ("rid", "line_no", "slot", "text", "number", "style", "skel")), F.explode(F.array(F.lit(1), F.lit(2))).alias("step"))
-    b = found.select("file", "side", "page", *(F.col(c).alias(f"b_{c}") for c in ("rid", "line_no", "slot", "text", "number", "style", "skel")))
+def _judged(found: DataFrame, first: DataFrame, weights: tuple[np.ndarray, np.ndarray], cfg: ScanConfig) -> DataFrame:
+    """The furniture among the lines ``found``; pages of a file are counted over ``first``, the outermost lines.
+
+    Lines are paired with those of the next two pages on either side, and with one other page's line of the same skeleton.
+    """
+    like, numbered = weights
+    kept = ("rid", "line_no", "slot", "text", "number", "style", "skel")
+    a = found.select("file", "side", "page", "total", "of", *(F.col(c).alias(f"a_{c}") for c in kept), F.explode(F.array(*map(F.lit, (-2, -1, 1, 2)))).alias("step"))
     # a page delivered several times stands for itself once, so that copies pair in proportion to their number
-    other = b.groupBy("file", "side", "page", "b_slot", "b_text").agg(F.first("b_number").alias("b_number"), F.first("b_style").alias("b_style"), F.first("b_skel").alias("b_skel"))
-    pairs = a.withColumn("page", F.col("page") + F.col("step")).join(other, ["file", "side", "page"])
-    back = a.withColumn("page", F.col("page") - F.col("step")).withColumn("step", -F.col("step")).join(other, ["file", "side", "page"])
-    both = pairs.unionByName(back)
-    steps = (F.col("a_number") + F.col("step") == F.col("b_number")) & (F.substring("a_style", 1, 5) == F.substring("b_style", 1, 5))
+    other = found.groupBy("file", "side", (F.col("page")).alias("at"), F.col("slot").alias("b_slot"), F.col("text").alias("b_text")).agg(F.first("number").alias("b_number"), F.first("style").alias("b_style"), F.first("skel").alias("b_skel"))
+    both = materialise(a.withColumn("at", F.col("page") + F.col("step")).join(other, ["file", "side", "at"]), "edge-pairs")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns[2:]))
-            rows = list(rows)
-            x = np.array([pair_features(a, b, sa == sb, step) for a, b, sa, sb, step in rows]).reshape(-1, 7)
+            rows = list(zip(*(c.to_pylist() for c in batch.columns[2:])))
+            x = np.array([pair_features(a, b, sa == sb, step) for a, b, sa, sb, step in rows]).reshape(-1, 8)
             # both lines hold words, and their numbers stay or step with the page
-            hit = np.flatnonzero((logistic(x, weights) > 0.5) & (x[:, 5] > 0) & (x[:, 6] > 0)) if len(x) else np.zeros(0, dtype=np.int64)
+            hit = np.flatnonzero((logistic(x, like) > 0.5) & (x[:, 5] > 0) & (x[:, 6] > 0)) if len(x) else np.zeros(0, dtype=np.int64)
             steps = np.array([r[4] for r in rows], dtype=np.int32)[hit]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit)), batch.column(1).take(pa.array(hit)), pa.array(steps)], ["rid", "line_no", "step"])
 
@@ -191,16 +228,23 @@ def _judged(found: DataFrame, first: DataFrame, weights: np.ndarray, cfg: ScanCo
     near = met.join(around, "rid").where(F.col("met") >= F.col("pages") * cfg.neighbours).select("rid", "line_no")
     # or, where headers alternate or change with the chapter, enough pages of the whole file
     of = first.groupBy("file").agg(F.countDistinct("page").alias("of"))
-    often = found.where(F.length("skel") > 3).groupBy("file", "side", "skel").agg(F.countDistinct("page").alias("n")).where(F.col("n") >= cfg.least_pages)
-    often = often.join(of, "file").where(F.col("n") >= F.col("of") * cfg.file_share).select("file", "side", "skel")
-    wide = found.join(often, ["file", "side", "skel"], "left_semi").select("rid", "line_no")
-    # a line that begins in the midst of a sentence is body text, however often it recurs
-    starts = found.where(~F.col("text").rlike(_LOW_START)).select("rid", "line_no").distinct()
-    heads = near.unionByName(wide).distinct().join(starts, ["rid", "line_no"], "left_semi").withColumn("defect", F.lit("running_header"))
-    stepping = both.where(steps).select(F.col("a_rid").alias("rid"), F.col("a_line_no").alias("line_no"))
-    plain = found.where("number is not null and number = page and (total = 0 or number <= total) and not style like '%.'").select("rid", "line_no")
-    counted = found.where("number is not null and of is not null and of = total").select("rid", "line_no")
-    numbers = stepping.unionByName(plain).unionByName(counted).distinct().withColumn("defect", F.lit("page_number"))
+    place = F.struct("page", "text", "slot")
+    often = found.where(F.length("skel") > 3).groupBy("file", "side", "skel").agg(F.countDistinct("page").alias("n"), F.min(place).alias("lo"), F.max(place).alias("hi")).where(F.col("n") >= cfg.least_pages)
+    often = often.join(of, "file").where(F.col("n") >= F.col("of") * cfg.file_share).select("file", "side", "skel", "lo", "hi")
+    far = found.join(often, ["file", "side", "skel"]).withColumn("b", F.when(F.col("page") == F.col("lo.page"), F.col("hi")).otherwise(F.col("lo")))
+    wide = far.select("rid", "line_no", "text", "b.text", "slot", "b.slot", (F.col("b.page") - F.col("page")).alias("step")).toDF("rid", "line_no", "a", "b", "sa", "sb", "step").mapInArrow(judge, "rid long, line_no int, step int")
+    heads = near.unionByName(wide.select("rid", "line_no")).distinct().withColumn("defect", F.lit("running_header"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([number_features(*row) for row in zip(*(c.to_pylist() for c in batch.columns[2:]))]).reshape(-1, 5)
+            hit = pa.array(np.flatnonzero(logistic(x, numbered) > 0.5) if len(x) else np.zeros(0, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(hit), batch.column(1).take(hit)], ["rid", "line_no"])
+
+    # each number line with the number lines around it, and with none
+    pairs = both.where("a_number is not null and b_number is not null").select("a_rid", "a_line_no", "a_number", "a_style", "of", "page", "total", "b_number", "b_style", "step")
+    alone = found.where("number is not null").select("rid", "line_no", "number", "style", "of", "page", "total", F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(1))
+    numbers = pairs.union(alone).mapInArrow(count, "rid long, line_no int").distinct().withColumn("defect", F.lit("page_number"))
     return heads.unionByName(numbers).groupBy("rid", "line_no").agg(F.min("defect").alias("defect"))
 
 
@@ -236,7 +280,7 @@ def _once(body: DataFrame) -> DataFrame:
 
 
 def word_counts(body: DataFrame) -> DataFrame:
-    """(word, n) over all body lines; the parts of broken words don't count."""
+    """(word, n) over all body lines; the parts of broken words don't count, but stand there with 0."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, int] = {}
@@ -245,13 +289,12 @@ def word_counts(body: DataFrame) -> DataFrame:
                 broken = True  # the first word of a page may be the rest of one
                 for _, line in body_lines(text, set(gone)):
                     tokens = line.split()
-                    if broken:
-                        tokens = tokens[1:]
-                    broken = line_break(line) is not None
-                    for token in tokens[:-1] if broken else tokens:
+                    first, broken = int(broken), line_break(line) is not None
+                    end = len(tokens) - int(broken)
+                    for k, token in enumerate(tokens):
                         word = ow.word_type(token)
                         if word is not None:
-                            total[word] = total.get(word, 0) + 1
+                            total[word] = total.get(word, 0) + int(first <= k < end)
             if len(total) > 200_000:
                 yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], ["word", "n"])
                 total = {}
@@ -275,6 +318,9 @@ def fit_joins(words: dict[str, int], cfg: ScanConfig) -> np.ndarray:
     """Weights of the join classifier: words cut in two, known to the corpus or not, against compounds cut at their hyphen."""
     rng = np.random.default_rng(cfg.seed)
     x, y = [], []
+    if sum("-" in w for w in words) < 10 or len(words) < 100:
+        made = ow.made_up_words(rng, 400)
+        words = {**{w: int(rng.zipf(1.6)) for w in made}, **{f"{a}-{b}": 1 + k % 3 for k, (a, b) in enumerate(zip(made[:40], made[40:80]))}, **words}
     for word, n in words.items():
         if "-" in word.strip("-"):
             left, _, right = word.partition("-")
@@ -288,10 +334,7 @@ def fit_joins(words: dict[str, int], cfg: ScanConfig) -> np.ndarray:
             hyphen = "-" if rng.random() < 0.7 else "¬"
             x.append(join_features(left, right, hyphen, known, 0, words.get(left, 0), words.get(right, 0)))
             y.append(1.0)
-    if len(set(y)) < 2:
-        return np.array([1.0, -2.0, 1.0, 1.0, -0.5, -0.2, -0.2, -1.0, 0.0, 1.0])
-    weight = np.array(y)
-    x_, y_ = np.array(x), weight
+    x_, y_ = np.array(x), np.array(y)
     # compounds are few: each counts as often as the words do together
     few = np.flatnonzero(y_ == 0)
     more = rng.choice(few, size=max(0, int((y_ == 1).sum() // 2 - len(few))))
@@ -337,10 +380,14 @@ def breaks(body: DataFrame, counts: DataFrame, weights: np.ndarray) -> DataFrame
 # misread words --------------------------------------------------------------------------------------------------------
 
 
-def fit_words(words: dict[str, int], cfg: ScanConfig) -> Boosted | None:
-    """The ranking of corrections: corrupted words against natural pairs of words that are alike, both made rare."""
+def fit_words(words: dict[str, int], cfg: ScanConfig) -> Boosted:
+    """The ranking of corrections: corrupted words against natural pairs of words that are alike, both made rare, and words
+    with signs, known to the corpus or not, against numbering, units, codes and the like."""
     rng = np.random.default_rng(cfg.seed)
     common = [(w, n) for w, n in words.items() if n >= 3 and w.replace("-", "").isalpha()]
+    if len(common) < 100:
+        common += [(w, int(rng.zipf(1.5)) + 3) for w in ow.made_up_words(rng, 400)]
+    known = {**dict(common), **words}
     by_gram: dict[str, list[str]] = {}
     for w, _ in common:
         for g in ow.near_grams(w):
@@ -349,90 +396,130 @@ def fit_words(words: dict[str, int], cfg: ScanConfig) -> Boosted | None:
     for w, n in common:
         for _ in range(3):
             read = ow.corrupted(w, rng)
-            if read and read not in words:
+            if read and read not in known:
                 x.append(ow.features(read, float(rng.integers(1, max(2, int(n * 0.04) + 1))), w, n))
                 y.append(1.0)
+        # with signs, however often it is misread so, and the same of a word that the corpus holds nowhere else, and of numbers
+        read = ow.signed(w, rng)
+        if read and ow.restored(read):
+            x.append(ow.features(read, float(rng.integers(1, max(5, int(n * 0.3)))), w, n))
+            x.append(ow.features(read, float(rng.integers(0, 6)), ow.restored(read), 0))
+            y += [1.0, 1.0]
+        digits = "".join(str(d) for d in rng.integers(0, 10, int(rng.integers(1, 5)))) + rng.choice(["", "", ",5", ".10"])
+        read = digits.replace("0", "O").replace("1", rng.choice(["l", "I"]))
+        if read != digits:
+            x.append(ow.features(read, float(rng.integers(0, 3)), digits, 0))
+            y.append(1.0)
+        for _ in range(2):
+            regular = ow.regular_mixture(rng)
+            if ow.restored(regular):
+                x.append(ow.features(regular, float(rng.integers(0, 20)), ow.restored(regular), 0))
+                y.append(0.0)
         own = ow.grams(w)
         met: dict[str, int] = {}
         for g in own:
-            for v in by_gram.get(g, ())[:200]:
+            for v in by_gram.get(g, ())[: cfg.fit_alike]:
                 met[v] = met.get(v, 0) + 1
-        alike = sorted((v for v, k in met.items() if v != w and k * 2 >= len(own) and 0.05 <= words[v] / n <= 20), key=lambda v: (-met[v], v))[:3]
+        alike = sorted((v for v, k in met.items() if v != w and k * 2 >= len(own) and 0.05 <= known[v] / n <= 20), key=lambda v: (-met[v], v))[:3]
         for v in alike:
-            x.append(ow.features(w, float(rng.integers(1, max(2, int(words[v] * 0.1) + 1))), v, words[v]))
+            x.append(ow.features(w, float(rng.integers(1, max(2, int(known[v] * 0.1) + 1))), v, known[v]))
             y.append(0.0)
-    if len(y) < 50 or len(set(y)) < 2:
-        return None
     return Boosted().fit(np.array(x), np.array(y))
 
 
-def corrections(counts: DataFrame, model: Boosted | None, cfg: ScanConfig) -> DataFrame:
-    """(word, printed, sure) of the word forms taken for misread; ``printed`` may be null where nothing fits."""
-    certain = F.udf(ow.certain, "boolean")  # once per word form
-    forms = counts.withColumn("sure", certain("word"))
-    forms = materialise(forms, "forms")
-    lexicon = forms.where(F.col("n") >= cfg.lexicon_count).where(~F.col("sure"))
-
-    def split(maker):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                words = batch.column(0).to_pylist()
-                lists = [maker(w) for w in words]
-                lens = [len(g) for g in lists]
-                at = pa.array(np.repeat(np.arange(len(words)), lens))
-                gram = pa.array([g for gs in lists for g in gs], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.repeat(lens, lens).astype(np.int32)), gram], ["word", "n", "grams", "gram"])
-
-        return run
-
-    schema = "word string, n long, grams int, gram string"
-    reads = forms.where(F.length("word") <= 40).select("word", "n").mapInArrow(split(_unread_grams), schema)
-    known = lexicon.select(F.col("word").alias("printed"), F.col("n").alias("of")).mapInArrow(split(ow.near_grams), schema).select(F.col("word").alias("printed"), F.col("n").alias("of"), "gram")
-    alike = (
-        reads.join(known, "gram")
-        .where((F.col("of") >= F.col("n") * cfg.min_ratio) & ((F.col("n") <= cfg.few) | (F.col("of") >= F.col("n") * cfg.often_ratio)) & (F.abs(F.length("word") - F.length("printed")) <= 2) & (F.col("word") != F.col("printed")))
-        .groupBy("word", "n", "printed", "of")
-        .agg(F.countDistinct("gram").alias("shared"), F.max("grams").alias("grams"))
-        .where(F.col("shared") * 3 >= F.col("grams"))
-        .select("word", "n", "printed", "of")
-    )
+def corrections(counts: DataFrame, model: Boosted, cfg: ScanConfig) -> DataFrame:
+    """(word, printed) of the word forms taken for misread.
+
+    The candidates of a form are the frequent forms that share a third of its placed bigrams, met through the inverted
+    lists of its rarest bigrams (of so many that a form which shares a third must be met), and the form in which signs stand for
+    letters again, whose bigrams it shares by definition. The boosted trees decide on all of them.
+    """
+    # frequent forms; what holds signs or digits corrects nothing
+    lexicon = counts.where((F.col("n") >= cfg.lexicon_count) & ~F.col("word").rlike(r"[@!0-9]"))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [ow.near_grams(w) for w in batch.column(0).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(lists)), [len(g) for g in lists]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([g for gs in lists for g in gs], pa.string())], ["printed", "of", "gram"])
+
+    known = materialise(lexicon.select("word", "n").mapInArrow(listed, "printed string, of long, gram string"), "lexicon")
+    # as many as the alphabets have pairs of letters, by place
+    sizes = known.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).toArrow()
+    shared = counts.sparkSession.sparkContext.broadcast(dict(zip(sizes.column("gram").to_pylist(), sizes.column("size").to_pylist())))
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = []
+            for word in batch.column(0).to_pylist():
+                grams = sorted(_unread_grams(word), key=lambda g: (shared.value.get(g, 0), g))
+                lists.append([g for g in grams[: len(grams) - -(-len(grams) // 3) + 1] if g in shared.value])
+            at = pa.array(np.repeat(np.arange(len(lists)), [len(g) for g in lists]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([g for gs in lists for g in gs], pa.string())], ["word", "n", "gram"])
+
+    reads = counts.where("n > 0").select("word", "n").mapInArrow(rarest, "word string, n long, gram string")
+    rare_enough = (F.col("of") >= F.col("n") * cfg.min_ratio) & ((F.col("n") <= cfg.few) | (F.col("of") >= F.col("n") * cfg.often_ratio))
+    alike = reads.join(known, "gram").where(rare_enough & (F.abs(F.length("word") - F.length("printed")) <= 2) & (F.col("word") != F.col("printed"))).select("word", "n", "printed", "of").distinct()
+
+    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [ow.restored(w) for w in batch.column(0).to_pylist()]
+            some = pa.array([i for i, g in enumerate(got) if g], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), pa.array([g for g in got if g], pa.string())], ["word", "n", "printed"])
+
+    plain = counts.where(F.col("word").rlike(r"[@!0-9]")).select("word", "n").mapInArrow(restore, "word string, n long, printed string")
+    plain = plain.join(lexicon.select(F.col("word").alias("printed"), F.col("n").alias("of")), "printed", "left").select("word", "n", "printed", F.coalesce("of", F.lit(0)).alias("of"))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
-            x = np.array([ow.features(w, n, p, of) for w, n, p, of in rows]).reshape(-1, len(ow.FEATURES))
-            score = np.where(x[:, 2] > 3, 0.0, model.predict(x) if model else (x[:, 0] > 2).astype(float)) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score)], ["word", "printed", "score"])
+            rows = [(i, row) for i, row in enumerate(zip(*(c.to_pylist() for c in batch.columns))) if not row[3] or _share_a_third(row[0], row[2])]
+            x = np.array([ow.features(*row) for _, row in rows]).reshape(-1, len(ow.FEATURES))
+            score = np.where((x[:, 2] > 3) & (x[:, 10] == 0), 0.0, model.predict(x)) if len(x) else np.zeros(0)
+            hit = np.flatnonzero(score > 0.5)
+            at = pa.array(np.array([i for i, _ in rows], dtype=np.int64)[hit])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(score[hit])], ["word", "printed", "score"])
 
-    best = alike.mapInArrow(rank, "word string, printed string, score double").groupBy("word").agg(F.max(F.struct("score", "printed")).alias("best"))
-    joined = forms.join(best, "word", "left").where("sure or best.score > 0.5")
-    return joined.select("word", F.when(F.col("best.score") > 0.3, F.col("best.printed")).alias("printed"), "sure")
+    best = alike.unionByName(plain).mapInArrow(rank, "word string, printed string, score double").groupBy("word").agg(F.max(F.struct("score", "printed")).alias("best"))
+    return best.select("word", F.col("best.printed").alias("printed"))
 
 
 def _unread_grams(word: str) -> list[str]:
     """Bigrams of a form as read and of the one in which signs and digits stand for letters again."""
-    plain = word.translate(_LETTERS)
-    return list(dict.fromkeys([*ow.grams(word), *ow.grams(plain)])) if plain != word else ow.grams(word)
+    plain = ow.restored(word)
+    return list(dict.fromkeys([*ow.grams(word), *ow.grams(plain)])) if plain else ow.grams(word)
+
 
+def _share_a_third(word: str, printed: str) -> bool:
+    own = _unread_grams(word)
+    return len(set(own).intersection(ow.near_grams(printed))) * 3 >= len(own)
 
-_LETTERS = str.maketrans({"0": "o", "1": "l", "!": "i", "@": "a", "5": "s", "6": "ó"})
 
+def word_filter(wrong: DataFrame, cfg: ScanConfig) -> tuple[int, bytes]:
+    """(bits, table): the hashes of misread forms, at 16 places a form or more up to 2^cfg.filter_bits; tasks pass over words that it
+    doesn't hold before the exact join."""
+    bits = max(10, min(cfg.filter_bits, (16 * wrong.count()).bit_length()))
+    got = wrong.select(F.pmod(F.xxhash64("word"), F.lit(1 << bits)).cast("int").alias("k")).distinct()
 
-def word_filter(wrong: DataFrame) -> bytes:
-    """A fixed-size table of the hashes of misread forms: tasks look words up there before the exact join."""
-    size = 1 << _FILTER_BITS
-    got = wrong.select(F.pmod(F.xxhash64("word"), F.lit(size)).cast("int").alias("k")).distinct().toArrow().column("k").to_numpy()
-    table = np.zeros(size, dtype=np.uint8)
-    table[got] = 1
-    return np.packbits(table).tobytes()
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << bits, dtype=bool)
+        for batch in batches:
+            table[batch.column(0).to_numpy()] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table).tobytes()], pa.binary())], ["table"])
+
+    # one table a task, united here
+    table = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for row in got.coalesce(8).mapInArrow(pack, "table binary").toLocalIterator():
+        table |= np.frombuffer(row.table, dtype=np.uint8)
+    return bits, table.tobytes()
 
 
-def misread_words(body: DataFrame, wrong: DataFrame) -> DataFrame:
+def misread_words(body: DataFrame, wrong: DataFrame, cfg: ScanConfig) -> DataFrame:
     """(rid, line_no, token, word) of every misread word of a body line."""
-    shared = body.sparkSession.sparkContext.broadcast(word_filter(wrong))  # 2^_FILTER_BITS bits
+    shared = body.sparkSession.sparkContext.broadcast(word_filter(wrong, cfg))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8))
+        bits, packed = shared.value
+        table = np.unpackbits(np.frombuffer(packed, dtype=np.uint8))
         seen: dict[str, str | None] = {}
         for batch in batches:
             out = []
@@ -444,9 +531,8 @@ def misread_words(body: DataFrame, wrong: DataFrame) -> DataFrame:
                             if len(seen) > 500_000:
                                 seen.clear()
                             word = ow.word_type(token)
-                            if word is not None and not table[_place(word)]:
-                                # parts of broken words are no forms of their own
-                                word = word if ow.certain(word) else None
+                            if word is not None and not table[xxhash.xxh64_intdigest(word, seed=42) & ((1 << bits) - 1)]:
+                                word = None
                             seen[token] = word
                         if word is not None:
                             out.append((rid, no, token, word))
@@ -454,14 +540,7 @@ def misread_words(body: DataFrame, wrong: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.string()))], ["rid", "line_no", "token", "word"])
 
     hits = body.select("rid", "text", "gone").mapInArrow(look, "rid long, line_no int, token string, word string")
-    certain = F.udf(ow.certain, "boolean")
-    listed = hits.join(wrong, "word", "left_semi").select("rid", "line_no", "token", "word")
-    parts = hits.join(wrong, "word", "left_anti").where(certain("word")).select("rid", "line_no", "token", "word")
-    return listed.unionByName(parts)
-
-
-def _place(word: str) -> int:
-    return (xxhash.xxh64_intdigest(word, seed=42) - (1 << 64) * (xxhash.xxh64_intdigest(word, seed=42) >> 63)) % (1 << _FILTER_BITS)
+    return hits.join(wrong, "word", "left_semi").select("rid", "line_no", "token", "word")
 
 
 # the whole ------------------------------------------------------------------------------------------------------------
@@ -473,7 +552,7 @@ class Findings:
     furniture: DataFrame  # rid, line_no, defect
     broken: DataFrame  # rid, line_no, left, right
     misread: DataFrame  # rid, line_no, token, word
-    wrong: DataFrame  # word, printed, sure
+    wrong: DataFrame  # word, printed
 
 
 def analyse(records: DataFrame, cfg: ScanConfig = ScanConfig()) -> Findings:
@@ -488,7 +567,7 @@ def analyse(records: DataFrame, cfg: ScanConfig = ScanConfig()) -> Findings:
     words = {r.word: r.n for r in top.unionByName(hyphened).collect()}
     broken = breaks(body, counts, fit_joins(words, cfg))
     wrong = materialise(corrections(counts, fit_words(words, cfg), cfg), "misread")
-    return Findings(pages, gone, broken, misread_words(body, wrong), wrong)
+    return Findings(pages, gone, broken, misread_words(body, wrong, cfg), wrong)
 
 
 def defects(records: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
@@ -536,7 +615,7 @@ def repaired(records: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
     got = analyse(records, cfg)
     gone = got.furniture.groupBy("rid").agg(F.collect_set("line_no").alias("gone"))
     joined = got.broken.groupBy("rid").agg(F.collect_list(F.struct("line_no", F.concat("left", "right").alias("word"))).alias("broken"))
-    fixes = got.misread.join(got.wrong.where("printed is not null"), "word").groupBy("rid").agg(F.collect_set(F.struct("token", "printed")).alias("fixes"))
+    fixes = got.misread.join(got.wrong, "word").groupBy("rid").agg(F.collect_set(F.struct("token", "printed")).alias("fixes"))
     last = got.broken.groupBy("rid").agg(F.max("line_no").alias("last"))
     body_end = _with_furniture(got.pages, got.furniture)
 
