@@ -29,13 +29,15 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 
 @dataclass(frozen=True)
 class MixConfig:
-    """``tokenizer``: a tiktoken rank file. ``reserve``: tokens that are left to the knapsack, several times the usual
-    length. ``seed``: of the choice among documents of one length. ``hash_bins``: parts that such documents are ranked in."""
+    """``tokenizer``: a tiktoken rank file on the driver's machine. ``reserve``: tokens that are left to the knapsack, several times the usual
+    length. ``seed``: of the choice among documents of one length. ``hash_bins``: parts that such documents are ranked in.
+    ``salt``: parts in which they meet the plan."""
 
     tokenizer: str = os.environ.get("MILLRACE_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
     reserve: int = 20_000
     seed: int = 11
     hash_bins: int = 256
+    salt: int = 8
     id_col: str = "doc_id"
     text_col: str = "text"
     source_col: str = "source"
@@ -48,13 +50,13 @@ def source_key(column: Column) -> Column:
 
 def sized(documents: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     """(doc_id, src, n_tokens) of every document with text."""
-    path = cfg.tokenizer
+    with open(cfg.tokenizer, "rb") as file:
+        shared = documents.sparkSession.sparkContext.broadcast(file.read())  # as large as its vocabulary
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        with open(path, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
         encoding = tiktoken.Encoding("millrace", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
             n = [len(encoding.encode_ordinary(t)) for t in batch.column(2).to_pylist()]
@@ -141,13 +143,16 @@ def mix(documents: DataFrame, targets: DataFrame, cfg: MixConfig = MixConfig())
     """
     sizes = materialise(sized(documents, cfg), "sizes")
     fitted = materialise(plan(sizes, targets, cfg), "mix").where("rounds > 0 or taken > 0").drop("n_docs", "wanted")
-    # (source, length) may be a hot group: its documents are ranked within bins of their hash, bins taken whole below the cut
-    picked = sizes.join(fitted, ["src", "n_tokens"]).withColumn("h", F.xxhash64(F.lit(cfg.seed), "mix_name", "doc_id"))
+    # (source, length) may be a hot group, and the plan grows with the lengths there are: neither is broadcast; documents are
+    # dealt to ``salt`` parts and ranked within bins of their hash, bins taken whole below the cut
+    salted = fitted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(cfg.salt - 1)))).hint("merge")
+    dealt = sizes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(cfg.salt)).cast("int"))
+    picked = dealt.join(salted, ["src", "n_tokens", "salt"]).drop("salt").withColumn("h", F.xxhash64(F.lit(cfg.seed), "mix_name", "doc_id"))
     picked = picked.withColumn("bin", F.pmod(F.shiftrightunsigned("h", 40), F.lit(cfg.hash_bins)).cast("int"))
     keys = ["mix_name", "src", "n_tokens"]
     bins = picked.where("taken > 0").groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
     before = bins.withColumn("before", F.sum("n").over(Window.partitionBy(*keys).orderBy("bin")) - F.col("n")).drop("n")
-    ranked = picked.join(before, [*keys, "bin"], "left").withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "bin").orderBy("h", "doc_id")))
+    ranked = picked.join(before.hint("merge"), [*keys, "bin"], "left").withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "bin").orderBy("h", "doc_id")))
     repeats = F.col("rounds") + F.when(F.coalesce("before", F.lit(0)) + F.col("rank") <= F.col("taken"), 1).otherwise(0)
     return ranked.select("mix_name", F.col("src").alias("source"), "doc_id", "n_tokens", repeats.cast("int").alias("repeats")).where("repeats > 0")
 
