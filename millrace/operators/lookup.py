@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from urllib.robotparser import RobotFileParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from millrace.functions import text as tx
@@ -34,30 +30,39 @@ def most_trusted(rows: DataFrame, group: str, kind: str, order: list[str], tie:
     return rows.withColumn("trust", rank.cast("int")).withColumn("__n", n).where("__n = 1").drop("__n")
 
 
-@F.pandas_udf(T.BooleanType())
-def _allowed(robots: pd.Series, agent: pd.Series, url: pd.Series) -> pd.Series:
-    parsed: dict[str, RobotFileParser] = {}
-    out = []
-    for text, who, address in zip(robots, agent, url):
-        if text is None or address is None:
-            out.append(True)
-            continue
-        if text not in parsed:
-            if len(parsed) > 10_000:
-                parsed.clear()
-            reader = RobotFileParser()
-            # an empty Disallow allows all and would end some parsers' groups
-            reader.parse([line for line in text.splitlines() if line.strip().lower() != "disallow:"])
-            parsed[text] = reader
-        out.append(parsed[text].can_fetch(who, address))
-    return pd.Series(out)
+def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
+    """(authority, allow, path) of the rules that hold for an agent, from robots texts (authority, robots).
+
+    The groups that name the agent hold, where there are none those for ``*``. A blank path forbids and allows nothing;
+    so does what stands before the first group. Of several texts of an authority the least one holds.
+    """
+    texts = robots.where("authority is not null and robots is not null").groupBy("authority").agg(F.min("robots").alias("robots"))
+    lines = texts.select("authority", F.posexplode(F.split("robots", r"\r\n|\n|\r")).alias("no", "line"))
+    field = F.lower(F.trim(F.regexp_extract("line", r"^\s*([A-Za-z-]+)\s*:", 1)))
+    value = F.regexp_extract("line", r"^\s*[A-Za-z-]+\s*:\s*([^#]*?)\s*(?:#.*)?$", 1)
+    fields = lines.select("authority", "no", field.alias("field"), value.alias("value")).where(F.col("field").isin("user-agent", "allow", "disallow"))
+    order = Window.partitionBy("authority").orderBy("no")  # the lines of one text
+    begins = (F.col("field") == "user-agent") & (F.lag("field", 1, "").over(order) != "user-agent")
+    grouped = fields.withColumn("begins", begins.cast("int")).withColumn("group", F.sum("begins").over(order))
+    named = F.when(F.col("value") == "*", 0).when(F.lit(agent.lower()).startswith(F.lower("value")) & (F.col("value") != ""), 1)
+    agents = grouped.where("field = 'user-agent'").withColumn("named", named).where("named is not null").groupBy("authority", "group").agg(F.max("named").alias("named"))
+    best = agents.withColumn("best", F.max("named").over(Window.partitionBy("authority"))).where("named = best").select("authority", "group")
+    return grouped.where("field <> 'user-agent' and value <> ''").join(best, ["authority", "group"]).select("authority", (F.col("field") == "allow").alias("allow"), F.col("value").alias("path")).distinct()
 
 
 def crawlable(urls: DataFrame, robots: DataFrame, agent: str = "*", url_col: str = "url") -> DataFrame:
-    """``urls`` with ``allowed`` by the robots text (authority, robots) of their host; hosts without one allow all."""
-    texts = robots.groupBy("authority").agg(F.first("robots", ignorenulls=True).alias("__robots"))
-    joined = urls.withColumn("authority", tx.netloc(F.col(url_col))).join(texts, "authority", "left")
-    return joined.withColumn("allowed", _allowed("__robots", F.lit(agent), url_col)).drop("__robots")
+    """``urls`` with ``authority`` and ``allowed``: of the rules of its authority whose path the URL's begins with, the longest decides.
+
+    Of equally long ones the allowing one does; without one, as for null URLs, all is allowed. ``*`` in a path stands for any
+    characters, ``$`` at its end for the end of the URL. Equal URLs are decided once.
+    """
+    local = F.coalesce(F.nullif(F.regexp_extract(url_col, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#\s]*([^#]*)", 1), F.lit("")), F.lit("/"))
+    placed = urls.withColumn("authority", tx.netloc(F.col(url_col))).withColumn("__local", local)
+    rules = robots_rules(robots, agent).withColumn("__like", F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"([.+?^(){}|\[\]\\])", r"\\$1"), r"\*", ".*"), r"\$(?!$)", r"\\$")))
+    met = placed.select("authority", "__local").distinct().join(rules, "authority").where(F.expr("__local rlike __like"))
+    verdict = met.groupBy("authority", "__local").agg(F.max(F.struct(F.length("path").alias("size"), "allow")).alias("__rule"))
+    joined = placed.join(verdict, ["authority", "__local"], "left").withColumn("allowed", F.coalesce("__rule.allow", F.lit(True)))
+    return joined.select(*[c for c in urls.columns if c not in ("authority", "allowed")], "authority", "allowed")
 
 
 def routes(text: Column, keywords: dict[str, list[str]]) -> list[Column]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions import text as tx
+from millrace.sources import storage
 
 
 @dataclass(frozen=True)
@@ -60,24 +61,56 @@ def sparse_scores(documents: DataFrame, questions: DataFrame, doc_id: str, doc_t
     wanted = asked.select("token").distinct()
     rows = documents.where(F.col(doc_text).isNotNull()).select(F.col(doc_id).alias("id"), tx.tokens(F.col(doc_text)).alias("ts"))
     pieces = rows.where(F.size("ts") > 0).select("id", F.size("ts").alias("len"), F.explode("ts").alias("token")).join(wanted, "token", "left_semi")
-    tf = pieces.groupBy("token", "id").agg((F.count(F.lit(1)) / F.first("len")).alias("tf"))
+    # statistics and scores both need the postings: texts are cut into tokens once
+    tf = storage.materialise(pieces.groupBy("token", "id").agg((F.count(F.lit(1)) / F.first("len")).alias("tf")), "postings")
     total = documents.where(F.col(doc_text).isNotNull()).agg(F.count(F.lit(1)).alias("total"))
     stats = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     weighted = with_total(stats, total).select("token", idf(F.col("df"), F.col("total")).alias("idf"))
     return tf.join(weighted.join(asked, "token"), "token").groupBy("qid", "id").agg(F.sum(F.col("idf") * F.col("tf")).alias("score"))
 
 
+def metadata_filter(documents: DataFrame, years: tuple[int, ...] = (), types: tuple[str, ...] = (), year: str = "year", kind: str = "content_type") -> DataFrame:
+    """Documents of any of the years and of any of the types; an empty list asks for nothing. Nulls meet no list.
+
+    Put before both lists of a hybrid search; the conditions reach the scan.
+    """
+    if years:
+        documents = documents.where(F.col(year).isin(*years))
+    return documents.where(F.col(kind).isin(*types)) if types else documents
+
+
+def term_ids(frequencies: DataFrame) -> DataFrame:
+    """(id, term, tf) of (id, token, tf): stored sparse vectors, with tokens as CRC-32 ids; tokens of one id are merged."""
+    return frequencies.groupBy("id", tx.token_id(F.col("token")).alias("term")).agg(F.sum("tf").alias("tf"))
+
+
 def top(scores: DataFrame, k: int, group: str = "qid", item: str = "id") -> DataFrame:
     """The ``k`` best of each group with ``rank`` from 1; scores equal to nine digits are ordered by id."""
     order = Window.partitionBy(group).orderBy(F.desc(F.round("score", 9)), item)
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+_SLICE = 1024
+
+
+def _largest(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best of each row; scores equal to nine digits are ordered by id."""
+    if score.shape[1] > k:
+        # all that reach the k-th score stay until ids have decided between equal ones
+        shown = np.round(score, 9)
+        least = np.partition(shown, -k, axis=1)[:, -k]
+        width = int((shown >= least[:, None]).sum(axis=1).max())
+        some = np.argpartition(-shown, width - 1, axis=1)[:, :width] if width < score.shape[1] else np.broadcast_to(np.arange(score.shape[1]), score.shape)
+        ids, score = np.take_along_axis(ids, some, axis=1), np.take_along_axis(score, some, axis=1)
+    by = np.lexsort((ids, -np.round(score, 9)), axis=1)[:, :k]
+    return np.take_along_axis(ids, by, axis=1), np.take_along_axis(score, by, axis=1)
+
+
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", cfg: SearchConfig = SearchConfig()) -> DataFrame:
     """(qid, id, score, rank): exact cosine neighbours of each query (columns ``qid`` and ``embedding``).
 
-    Each batch of vectors meets the block of queries in one matrix product and keeps its own ``k`` best, so only
-    k rows per query and batch are shuffled. Null, empty and zero vectors match nothing.
+    Each batch of vectors meets the block of queries in matrix products; a task keeps one running list of the ``k`` best of
+    each query and emits it once, so only k rows per query and task are shuffled. Null, empty and zero vectors match nothing.
     """
     found = None
     wanted = queries.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select("qid", F.col("embedding").cast("array<double>").alias("v"))
@@ -93,19 +126,22 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
         def nearest(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             qids, q = block.value
             q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+            best_id, best = np.zeros((len(q), 0), dtype=np.int64), np.zeros((len(q), 0))
             for batch in batches:
                 ids = batch.column(0).to_numpy()
                 lens = np.diff(batch.column(1).offsets.to_numpy())
                 fit = np.flatnonzero(lens == q.shape[1])
-                if not len(fit):
-                    continue
                 m = np.array(batch.column(1).take(pa.array(fit)).flatten()).reshape(-1, q.shape[1])
                 norm = np.linalg.norm(m, axis=1)
                 good = norm > 0
-                ids_, m = ids[fit][good], m[good] / norm[good, None]
-                score = q @ m.T
-                keep = np.lexsort((np.broadcast_to(ids_, score.shape), -np.round(score, 9)), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, keep.shape[1])), pa.array(ids_[keep.ravel()]), pa.array(np.take_along_axis(score, keep, axis=1).ravel())], ["qid", "id", "score"])
+                ids, m = ids[fit][good], m[good] / norm[good, None]
+                for at in range(0, len(ids), _SLICE):
+                    part = ids[at : at + _SLICE]
+                    score = np.concatenate((best, q @ m[at : at + _SLICE].T), axis=1)
+                    of = np.concatenate((best_id, np.broadcast_to(part, (len(q), len(part)))), axis=1)
+                    best_id, best = _largest(of, score, k)
+            rows_, cols = np.nonzero(np.ones(best.shape, dtype=bool))
+            yield pa.RecordBatch.from_arrays([pa.array(qids[rows_]), pa.array(best_id[rows_, cols]), pa.array(best[rows_, cols])], ["qid", "id", "score"])
 
         now = rows.mapInArrow(nearest, "qid long, id long, score double")
         found = now if found is None else found.unionByName(now)

@@ -62,14 +62,14 @@ SELECT record_id, url, CAST(row_number() OVER (PARTITION BY url ORDER BY record_
   CASE WHEN date IS NULL THEN NULL WHEN length(replace(date, '-', '')) >= 8 THEN
     substr(replace(date, '-', ''), 1, 4) || '-' || substr(replace(date, '-', ''), 5, 2) || '-' || substr(replace(date, '-', ''), 7, 2) ELSE '' END AS iso
 FROM page_records WHERE length({_STRIP.format('page_content')}) >= 50""",
-    "s25_manifest_hosts": f"SELECT DISTINCT {_HOST.format('url')} AS host FROM source_manifest WHERE {_HOST.format('url')} <> ''",
+    "s25_manifest_hosts": f"SELECT {_HOST.format('url')} AS host, count(*) AS records FROM web_records WHERE {_HOST.format('url')} IN (SELECT {_HOST.format('url')} FROM source_manifest WHERE {_HOST.format('url')} <> '') GROUP BY 1",
     "s27_url_lookup": """
 WITH a AS (SELECT DISTINCT url AS asked FROM page_captures WHERE url IS NOT NULL),
 t AS (SELECT DISTINCT asked, way, rtrim(asked, '/') || CASE WHEN way = 1 THEN '/' ELSE '' END AS url FROM a, (SELECT unnest([0, 1]) AS way)),
 h AS (SELECT t.asked, t.way, p.record_id FROM page_captures p JOIN t ON p.url = t.url)
 SELECT asked, record_id FROM h JOIN (SELECT asked, min(way) AS way FROM h GROUP BY asked) USING (asked, way)""",
     "s29_rows_as_text": """
-SELECT source_id, concat_ws(', ', 'source_id: ' || source_id, 'author: ' || author, 'language: ' || language, 'content_type: ' || content_type) AS page_content FROM source_manifest""",
+SELECT o_orderkey, concat_ws(', ', 'o_orderkey: ' || o_orderkey, 'o_custkey: ' || o_custkey, 'o_orderstatus: ' || o_orderstatus, 'o_orderpriority: ' || o_orderpriority) AS page_content FROM orders""",
     "s30_sliding_windows": """
 WITH w AS (SELECT event_id, time_bucket(INTERVAL '30 minutes', ts) AS b FROM events),
 x AS (SELECT event_id, b AS s FROM w UNION ALL SELECT event_id, b - INTERVAL '30 minutes' FROM w)
@@ -107,8 +107,8 @@ SELECT doc_id, '[1] ' || coalesce(nullif(source, ''), '?') || ' | ? | ' || coale
 WITH f AS (SELECT source, coalesce(contains(url, '/blog/') OR contains(url, 'utm_'), false) AS s,
   coalesce(len(list_filter(topics, lambda t: contains(lower(title), lower(t)))) > 0, false) AS m FROM web_records)
 SELECT source, count(*) FILTER (s) AS skipped_url, count(*) FILTER (NOT s AND NOT m) AS skipped_title, count(*) FILTER (NOT s AND m) AS kept FROM f GROUP BY source""",
-    "j1_new_chunks": _HASHED + " SELECT DISTINCT content_hash FROM h WHERE batch_no > 0 AND content_hash NOT IN (SELECT content_hash FROM h WHERE batch_no = 0)",
-    "a10_dedup_counts": _HASHED
+    "j1_new_openings": _HASHED + " SELECT DISTINCT content_hash FROM h WHERE batch_no > 0 AND content_hash NOT IN (SELECT content_hash FROM h WHERE batch_no = 0)",
+    "a10_opening_counts": _HASHED
     + """
 SELECT coalesce(source, 'unknown') AS source, count(*) FILTER (NOT k) AS new_chunks, count(*) FILTER (k) AS duplicate_chunks FROM
   (SELECT source, content_hash IN (SELECT content_hash FROM h WHERE batch_no = 0) AS k FROM h WHERE batch_no > 0) GROUP BY 1""",
@@ -151,11 +151,31 @@ SELECT any_value(turns) AS turns, string_agg(CAST(record_id AS VARCHAR), ',' ORD
     "r4_event_windows": """
 WITH w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2)
 SELECT * FROM w WHERE window_start + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)""",
-    "s6_robots_gate": "SELECT record_id, NOT coalesce(starts_with(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#\\s]*([^?#]*)', 1), '/blog/') AND "
-    + _NETLOC.format("url")
-    + " IN (SELECT "
-    + _NETLOC.format("url")
-    + " FROM source_manifest), false) AS allowed FROM web_records",
+    "s6_robots_gate": f"""
+WITH r AS (SELECT {_NETLOC.format('url')} AS authority, bool_or(language = 'pl') AS polish FROM source_manifest GROUP BY 1),
+w AS (SELECT record_id, {_NETLOC.format('url')} AS authority, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#\\s]*([^#]*)', 1) AS p FROM web_records)
+SELECT record_id, CASE WHEN r.authority IS NULL THEN true WHEN coalesce(polish, false) THEN NOT starts_with(p, '/blog/') OR starts_with(p, '/blog/20')
+  ELSE NOT (starts_with(p, '/') AND contains(p, '?')) END AS allowed
+FROM w LEFT JOIN r ON w.authority = r.authority""",
+    "site_plan": r"""
+WITH l AS (SELECT DISTINCT source_id, url AS page, unnest(regexp_extract_all(page_content, '(?i)<a\b[^>]*?\shref\s*=\s*"([^"]+)"', 1)) AS link FROM page_captures),
+c AS (SELECT DISTINCT source_id, page, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN link
+  WHEN starts_with(link, '//') THEN regexp_extract(page, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) || ':' || link
+  WHEN starts_with(link, '/') THEN regexp_extract(page, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#\s]*)', 1) || link
+  ELSE regexp_replace(page, '[^/]*$', '') || link END AS url FROM l),
+f AS (SELECT DISTINCT source_id, url FROM c WHERE source_id IS NOT NULL AND url IS NOT NULL
+  AND nullif(regexp_extract(page, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#\s]*)', 1), '') = nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#\s]*)', 1), '')
+  AND NOT contains(url, '/tag/') AND NOT contains(url, 'utm_') AND NOT contains(url, '#')
+  AND url NOT IN (SELECT url FROM web_records WHERE url IS NOT NULL))
+SELECT source_id, url, CAST(row_number() OVER (PARTITION BY source_id ORDER BY url) AS INTEGER) AS n FROM f QUALIFY n <= 20""",
+    "filtered_search": f"""
+WITH q AS (SELECT DISTINCT item_id AS qid, unnest({tok("question")}) AS token FROM golden_questions),
+d AS (SELECT record_id AS doc_id, {tok("page_content")} AS ts FROM web_records WHERE page_content IS NOT NULL AND year IN (2023, 2024) AND content_type IN ('blog_html', 'pdf_local')),
+p AS (SELECT doc_id, len, token, count(*) AS n FROM (SELECT doc_id, len(ts) AS len, unnest(ts) AS token FROM d) GROUP BY ALL),
+tf AS (SELECT doc_id, token, n / len AS tf FROM p WHERE token IN (SELECT token FROM q)),
+st AS (SELECT token, ln(((SELECT count(*) FROM d) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM tf GROUP BY token),
+sc AS (SELECT qid, doc_id AS id, sum(idf * tf) AS score FROM tf JOIN st USING (token) JOIN q USING (token) GROUP BY qid, doc_id)
+SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank, round(score, 6) AS score FROM sc QUALIFY rank <= 12""",
     "k4_keyword_index": "WITH " + _SPARSE + " SELECT qid, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM sp",
     "k5_page_blocks": """
 WITH p AS (SELECT url, page, arg_min(page_content, record_id) AS t FROM page_records WHERE page_content IS NOT NULL AND page IS NOT NULL GROUP BY url, page)
@@ -170,7 +190,7 @@ SELECT w.record_id, coalesce(n.n, (SELECT arg_max(n, year) FROM n)) AS n FROM we
 SELECT source, doc_id, content_type, CAST(coalesce(list_position(['legal_text', 'pdf_gov', 'pdf_local'], content_type), 4) AS INTEGER) AS trust
 FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY coalesce(list_position(['legal_text', 'pdf_gov', 'pdf_local'], content_type), 4), doc_id) = 1""",
     "t21_keyword_routes": r"""
-SELECT item_id, coalesce(regexp_matches(question, '(?i)(^|[^\p{L}\p{N}_])(konto|rachunek|account)($|[^\p{L}\p{N}_])'), false) AS asks_account,
-  coalesce(regexp_matches(question, '(?i)(^|[^\p{L}\p{N}_])(pozycji|about)($|[^\p{L}\p{N}_])'), false) AS asks_item,
-  coalesce(regexp_matches(question, '(?i)(^|[^\p{L}\p{N}_])(stawka|próg|rate)($|[^\p{L}\p{N}_])'), false) AS asks_rate FROM golden_questions""",
+SELECT doc_id, coalesce(regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])(konto|rachunek|account)($|[^\p{L}\p{N}_])'), false) AS asks_account,
+  coalesce(regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])(pozycji|about)($|[^\p{L}\p{N}_])'), false) AS asks_item,
+  coalesce(regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])(stawka|próg|rate)($|[^\p{L}\p{N}_])'), false) AS asks_rate FROM documents""",
 }

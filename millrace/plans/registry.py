@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from millrace.functions import html as hx
 from millrace.functions import text as tx
 from millrace.functions import udtf
-from millrace.operators import chunking, evaluation, history, index, inventory, lookup, search
+from millrace.operators import chunking, evaluation, history, index, inventory, lookup, pipeline, search
 from millrace.sources import records as src
 from millrace.sources import storage
 from millrace.streaming import jobs
@@ -54,8 +54,9 @@ def s16_page_numbers(spark, d):
 
 
 def s25_manifest_hosts(spark, d):
-    """Distinct hosts of the manifest."""
-    return inventory.manifest_hosts(table(spark, d, "source_manifest"))
+    """Records on each of the manifest's hosts."""
+    hosts = table(spark, d, "web_records").select(tx.host(F.col("url")).alias("host"))
+    return hosts.join(inventory.manifest_hosts(table(spark, d, "source_manifest")), "host", "left_semi").groupBy("host").agg(F.count(F.lit(1)).alias("records"))
 
 
 def s27_url_lookup(spark, d):
@@ -65,8 +66,8 @@ def s27_url_lookup(spark, d):
 
 
 def s29_rows_as_text(spark, d):
-    """Manifest rows as sentences."""
-    return src.rows_as_text(table(spark, d, "source_manifest"), ["source_id", "author", "language", "content_type"]).select("source_id", "page_content")
+    """Orders as sentences."""
+    return src.rows_as_text(table(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]).select("o_orderkey", "page_content")
 
 
 def s30_sliding_windows(spark, d):
@@ -182,21 +183,68 @@ def url_and_title_filters(spark, d):
 # joins, search
 
 
+def _record_chunks(spark, d) -> DataFrame:
+    w = table(spark, d, "web_records").select("record_id", "batch_no", "url", "source", "content_type", "page_content")
+    return chunking.with_hash(chunking.chunk(w))
+
+
 def j1_new_chunks(spark, d):
     """Chunks of later batches that the history's chunks don't hold."""
-    w = table(spark, d, "web_records").select("record_id", "batch_no", "url", "content_type", "page_content")
-    whole = w.where("page_content is not null").withColumn("chunk_index", F.lit(0))
-    hashed = chunking.with_hash(whole)
+    hashed = _record_chunks(spark, d)
     return chunking.new_chunks(hashed.where("batch_no > 0"), hashed.where("batch_no = 0")).select("content_hash")
 
 
 def a10_dedup_counts(spark, d):
     """New and duplicate chunks of later batches by source."""
-    w = table(spark, d, "web_records").where("page_content is not null").withColumn("chunk_index", F.lit(0))
-    hashed = chunking.with_hash(w)
+    hashed = _record_chunks(spark, d)
+    return chunking.dedup_counts(hashed.where("batch_no > 0"), hashed.where("batch_no = 0"))
+
+
+def _openings(spark, d) -> DataFrame:
+    w = table(spark, d, "web_records").select("record_id", "batch_no", "url", "source", "page_content")
+    return chunking.with_hash(w.where("page_content is not null").withColumn("chunk_index", F.lit(0)))
+
+
+def j1_new_openings(spark, d):
+    """Hashes of the openings of later batches' articles that the history's openings don't hold."""
+    hashed = _openings(spark, d)
+    return chunking.new_chunks(hashed.where("batch_no > 0"), hashed.where("batch_no = 0")).select("content_hash")
+
+
+def a10_opening_counts(spark, d):
+    """New and known openings of later batches by source."""
+    hashed = _openings(spark, d)
     return chunking.dedup_counts(hashed.where("batch_no > 0"), hashed.where("batch_no = 0"))
 
 
+def ingest_report(spark, d):
+    """An ingest run of the later batches over a store that holds the history's chunks, by source; the store grows by the new ones."""
+    w = table(spark, d, "web_records").select("record_id", "batch_no", "url", "source", "content_type", "page_content")
+    store = storage.new_path(spark, "chunks")
+    pipeline.ingest(w.where("batch_no = 0"), store)
+    return pipeline.ingest(w.where("batch_no > 0"), store)
+
+
+def site_plan(spark, d):
+    """The first twenty pages of each source to fetch next: linked from its captured pages, on their host, not among the records yet."""
+    seen = table(spark, d, "web_records").select("url")
+    found = pipeline.discovered(table(spark, d, "page_captures"))
+    return pipeline.to_fetch(found, seen, ["/tag/", "utm_", "#"], 20)
+
+
+def filtered_search(spark, d):
+    """Keyword search among one year's articles of two types."""
+    docs = table(spark, d, "web_records").select("record_id", "year", "content_type", "page_content")
+    kept = search.metadata_filter(docs, (2023, 2024), ("blog_html", "pdf_local"))
+    s = search.sparse_scores(kept, table(spark, d, "golden_questions"), "record_id", "page_content", "item_id", "question")
+    return search.top(s, CFG.sparse).select("qid", "id", "rank", F.round("score", 6).alias("score"))
+
+
+def t12_sparse_vectors(spark, d):
+    """Stored sparse vectors of all documents: terms by CRC-32 id."""
+    return search.term_ids(search.term_frequencies(table(spark, d, "documents"), "doc_id", "text")).select(F.col("id").alias("doc_id"), "term", F.round("tf", 9).alias("tf"))
+
+
 def _dense(spark, d) -> DataFrame:
     v = table(spark, d, "embeddings")
     return search.dense_top(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding"), CFG.dense)
@@ -310,8 +358,11 @@ def w11_latest_values(spark, d):
 
 
 def s6_robots_gate(spark, d):
-    """Which records a crawler may fetch, by robots texts that close each host's blog folder."""
-    hosts = table(spark, d, "source_manifest").select(tx.netloc(F.col("url")).alias("authority"), F.lit("User-agent: *\nDisallow:\nDisallow: /blog/\n").alias("robots"))
+    """Which records a crawler may fetch, by robots texts of the manifest's hosts that differ with their language."""
+    polish = "User-agent: *\nDisallow:\nDisallow: /blog/  # closed\nAllow: /blog/20\n\nUser-agent: archiver\nDisallow: /\n"
+    other = "User-agent: *\nDisallow: /*?\n"
+    texts = F.when(F.col("language") == "pl", polish).otherwise(other)
+    hosts = table(spark, d, "source_manifest").select(tx.netloc(F.col("url")).alias("authority"), texts.alias("robots"))
     return lookup.crawlable(table(spark, d, "web_records").select("record_id", "url"), hosts).select("record_id", "allowed")
 
 
@@ -347,9 +398,9 @@ def j11_most_trusted(spark, d):
 
 
 def t21_keyword_routes(spark, d):
-    """Topics that each question names."""
+    """Topics that each document names."""
     words = {"asks_account": ["konto", "rachunek", "account"], "asks_item": ["pozycji", "about"], "asks_rate": ["stawka", "próg", "rate"]}
-    return table(spark, d, "golden_questions").select("item_id", *lookup.routes(F.col("question"), words))
+    return table(spark, d, "documents").select("doc_id", *lookup.routes(F.col("text"), words))
 
 
 def t8_chunks_in_sql(spark, d):

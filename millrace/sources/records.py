@@ -43,22 +43,41 @@ def append_json_lines(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
+_BUCKETS = 64
+
+
 def append_new(records: DataFrame, store: str, key: str = "content_hash") -> int:
-    """Append rows whose key isn't in a Parquet store; gives their number. Running it twice adds nothing."""
+    """Append rows whose key isn't in a Parquet store; gives their number. Running it twice adds nothing.
+
+    The store has a folder for each hash bucket of the keys; only keys of the batch's buckets are read. There may be one
+    writer at a time.
+    """
     spark = records.sparkSession
-    fresh = records.dropDuplicates([key])
+    bucket = F.pmod(F.xxhash64(key), F.lit(_BUCKETS)).cast("int").alias("bucket")
+    fresh = records.dropDuplicates([key]).select("*", bucket)
     if exists(spark, store):
-        fresh = fresh.join(spark.read.parquet(store).select(key), key, "left_anti")
+        touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most _BUCKETS
+        known = spark.read.parquet(store).where(F.col("bucket").isin(touched)).select(key)
+        fresh = fresh.join(known, key, "left_anti")
     fresh = fresh.persist()
     try:
         n = fresh.count()
         if n:
-            fresh.write.mode("append").parquet(store)
+            fresh.write.mode("append").partitionBy("bucket").parquet(store)
         return n
     finally:
         fresh.unpersist()
 
 
+def ensure_table(spark: SparkSession, path: str, schema: T.StructType) -> list[str]:
+    """Create an empty Parquet table unless there is one; gives the columns of ``schema`` that a table there lacks or holds otherwise."""
+    if not exists(spark, path):
+        spark.createDataFrame([], schema).write.parquet(path)
+        return []
+    have = {f.name: f.dataType for f in spark.read.parquet(path).schema}
+    return [f.name for f in schema if have.get(f.name) != f.dataType]
+
+
 def _clean_xml(xml: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(xml, "^\\uFEFF", ""), r"(?s)<!--.*?-->", ""), r"\sxmlns(:\w+)?\s*=\s*\"[^\"]*\"", "")
 
