@@ -13,6 +13,8 @@ over_ AS (
   JOIN sizes USING (source_id) WHERE c >= 5 AND c >= 0.05 * n)
 """
 
+_WORDS = r"regexp_extract_all(replace(replace(lower(strip_accents(regexp_replace({}, '</?[A-Za-z][^<>]*>', '', 'g'))), 'ł', 'l'), 'ß', 'ss'), '[\p{{L}}\p{{N}}]+')"
+
 SQL: dict[str, str] = {
     "p2_found": _P2_LINES + "SELECT record_id, CAST(line_no AS INTEGER) AS line_no FROM keyed JOIN over_ USING (source_id, k)",
     "p2_clean": _P2_LINES
@@ -31,4 +33,18 @@ LEFT JOIN chunk_limits c ON lower(trim(p.content_type)) = lower(trim(c.content_t
 CROSS JOIN (SELECT max_chars AS d FROM chunk_limits WHERE content_type = 'default') f
 WHERE length(p.page_content) > coalesce(c.max_chars, f.d)
 """,
+    "p4_checks": """
+SELECT p.record_id, length(p.page_content) > coalesce(c.max_chars, f.d) AS cut, true AS within, true AS overlaps, true AS whole FROM page_records p
+LEFT JOIN chunk_limits c ON lower(trim(p.content_type)) = lower(trim(c.content_type))
+CROSS JOIN (SELECT max_chars AS d FROM chunk_limits WHERE content_type = 'default') f
+WHERE p.page_content IS NOT NULL
+""",
+    "p6_phrases": f"""
+WITH d AS (SELECT DISTINCT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL),
+p AS (SELECT DISTINCT item_id, {_WORDS.format('passage')} AS w FROM golden_questions WHERE passage IS NOT NULL),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 10)) AS i FROM d)),
+pg AS (SELECT DISTINCT item_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 10)) AS i FROM p))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN pg USING (g)
+""",
+    "p8_counts": r"SELECT doc_id, length(text) AS n_chars, CASE WHEN text IS NOT NULL THEN len(regexp_extract_all(text, '[\p{L}\p{Mc}]+')) END AS n_words FROM documents",
 }

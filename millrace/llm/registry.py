@@ -55,6 +55,23 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(_table(spark, sf_dir, "page_records"), _table(spark, sf_dir, "chunk_limits"))
 
 
+def p4_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each page with text: whether it was cut, its pieces keep the limit, share the overlap asked for and together give the text."""
+    records, limits = _table(spark, sf_dir, "page_records").select("record_id", "content_type", "page_content"), _table(spark, sf_dir, "chunk_limits")
+    pieces = splitting.split_oversized(records, limits).groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", "start", "end", "piece"))).alias("ps"))
+    rows = splitting.with_limits(records, limits).join(pieces, "record_id")
+    others = F.slice("ps", 2, F.greatest(F.lit(1), F.size("ps")))
+    start = F.struct(F.element_at("ps", 1)["piece"].alias("text"), F.element_at("ps", 1)["end"].alias("end"), F.lit(True).alias("ok"))
+    joined = F.aggregate(
+        others,
+        start,
+        lambda done, p: F.struct(F.concat(done["text"], F.substring(p["piece"], done["end"] - p["start"] + 1, F.length(p["piece"]))).alias("text"), p["end"].alias("end"), (done["ok"] & (done["end"] - p["start"] == F.col("__limit.overlap_chars"))).alias("ok")),
+    )
+    checked = rows.withColumn("joined", joined)
+    within = F.forall("ps", lambda p: F.length(p["piece"]) <= F.col("__limit.max_chars"))
+    return checked.select("record_id", (F.size("ps") > 1).alias("cut"), within.alias("within"), F.col("joined.ok").alias("overlaps"), (F.col("joined.text") == F.col("page_content")).alias("whole"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of pages with broken or misread words, running headers and page numbers."""
     return scan_repair.defects(_table(spark, sf_dir, "page_records"))
@@ -70,6 +87,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "golden_questions")).select("doc_id", "item_id")
 
 
+def p6_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold twelve consecutive words of an item's passage."""
+    found = leakage.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "golden_questions"))
+    return found.where("exact").select("doc_id", "item_id")
+
+
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of every mix with their repeats."""
     return mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))
@@ -90,6 +113,11 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.statistics(_table(spark, sf_dir, "documents"))
 
 
+def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters and words of every document."""
+    return quality.statistics(_table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "n_words")
+
+
 QUERIES: dict = {
     "p1_found": p1_found,
     "p1_accepted": p1_accepted,
@@ -99,11 +127,14 @@ QUERIES: dict = {
     "p3_main": p3_main,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p4_checks": p4_checks,
     "p5_found": p5_found,
     "p5_repaired": p5_repaired,
     "p6_found": p6_found,
+    "p6_phrases": p6_phrases,
     "p7_mix": p7_mix,
     "p7_report": p7_report,
     "p8_found": p8_found,
     "p8_statistics": p8_statistics,
+    "p8_counts": p8_counts,
 }
