@@ -5,8 +5,8 @@ a few words of one sentence (see ``vectors``); a record stands in several cells
 record probes the cells of its sentences, those of the emptiest cells first, until the sentences left hold no more than
 ``tail_share`` of its words: a record that is near enough shares more than that, so part of what it shares stands in
 cells that were probed. Which words name a cell is drawn, so a sentence with changed words keeps each of its cells with
-some probability only; recall is measured against brute force. Every pair met is then held against two exact bounds of
-its similarity (sizes, and words shared by the sketches), and those left are scored on the full vectors.
+some probability only; recall is measured against brute force. Every pair met is then held against three exact bounds of
+its similarity (sizes, words shared by the sketches, words shared at all), and those left are scored on the full vectors.
 
 Also kept: the words' weights (frozen when the index is built), how full the cells are, by hash bucket, and the counts of
 each source's lines, so that a later delivery reads no text of the history. A delivery counts once its ``rejected``
@@ -35,13 +35,14 @@ PROBES = "cell long, b long, batch_b int, size_b int"
 @dataclass(frozen=True)
 class DedupConfig:
     """``least``: similarity from which a record is a duplicate. ``tail_share``: share of a record's words whose cells, the
-    fullest ones, aren't probed. ``buckets``: hash buckets in which the cells are counted. ``hot_cell``: cells with more new
+    fullest ones, aren't probed; cells with up to ``few`` records always are. ``buckets``: hash buckets in which the cells are counted. ``hot_cell``: cells with more new
     records are thinned by their earliest ones before pairs are made. ``min_records`` and ``min_share`` say which lines of a
     source don't count as article. ``broadcast_lines``: number of such lines up to which tasks hold them all; more are joined.
     """
 
     least: float = 0.75
-    tail_share: float = 0.45
+    tail_share: float = 0.5
+    few: int = 8
     buckets: int = 1 << 20
     hot_cell: int = 64
     min_records: int = 5
@@ -64,28 +65,35 @@ def line_counts(records: DataFrame) -> DataFrame:
 
 
 def excessive_lines(counts: DataFrame, cfg: DedupConfig) -> DataFrame:
-    """(line): the lines that are excessive in any source. Elsewhere, in a copy, they are no article either."""
+    """(src, line): the excessive lines of each source."""
     total = counts.groupBy("src", "line").agg(F.sum("n").alias("n"))
     of = total.where("line is null").select("src", F.col("n").alias("of"))
     often = total.where(F.col("line").isNotNull() & (F.col("n") >= cfg.min_records)).join(of, "src")
-    empty = F.xxhash64(F.lit(""))
-    return often.where((F.col("n") >= cfg.min_share * F.col("of")) & (F.col("line") != empty)).select("line").distinct()
+    return often.where((F.col("n") >= cfg.min_share * F.col("of")) & (F.col("line") != F.xxhash64(F.lit("")))).select("src", "line")
 
 
 def vectorise(records: DataFrame, excessive: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
-    """Vectors of (record_id, batch_no, page_content), not yet written: ``vec.VECTOR_SCHEMA``.
+    """Vectors of (record_id, batch_no, source_id, page_content), not yet written: ``vec.VECTOR_SCHEMA``.
 
-    Rows with null text or id have none; a text without words, or of excessive lines only, has size 0 and
-    duplicates nothing. A null batch comes last.
+    The excessive lines of its source are no part of a record; where the source is null, those of any source aren't. Rows
+    with null text or id have no vector; a text without words, or of excessive lines only, has size 0 and duplicates nothing.
+    A null batch comes last.
     """
     known = materialise(excessive, "excessive")
-    rows = spread(records.where("page_content is not null and record_id is not null")).select("record_id", F.coalesce("batch_no", F.lit(_LAST)).cast("int").alias("batch_no"), "page_content", _line_keys().alias("keys"))
+    rows = spread(records.where("page_content is not null and record_id is not null")).select(
+        "record_id", F.coalesce("batch_no", F.lit(_LAST)).cast("int").alias("batch_no"), F.when(F.col("source_id").isNotNull(), _source()).alias("src"), "page_content", _line_keys().alias("keys")
+    )
     if known.count() <= cfg.broadcast_lines:
-        gone = records.sparkSession.sparkContext.broadcast(frozenset(known.toArrow().column("line").to_pylist()))
-        return rows.withColumn("own", F.lit(None).cast("array<long>")).mapInArrow(lambda batches: vec.vectorise(batches, gone.value), vec.VECTOR_SCHEMA)
-    hits = rows.select("record_id", F.explode(F.array_distinct("keys")).alias("line")).join(known, "line", "left_semi")
+        got = known.toArrow()
+        gone: dict[int | None, set[int]] = {None: set(got.column("line").to_pylist())}
+        for src, line in zip(got.column("src").to_pylist(), got.column("line").to_pylist()):
+            gone.setdefault(src, set()).add(line)
+        shared = records.sparkSession.sparkContext.broadcast(gone)
+        return rows.withColumn("own", F.lit(None).cast("array<long>")).mapInArrow(lambda batches: vec.vectorise(batches, shared.value), vec.VECTOR_SCHEMA)
+    lines = rows.select("record_id", "src", F.explode(F.array_distinct("keys")).alias("line"))
+    hits = lines.join(known, ["src", "line"], "left_semi").unionByName(lines.where("src is null").join(known.select("line").distinct(), "line", "left_semi").select("record_id", "src", "line"))
     own = hits.groupBy("record_id").agg(F.collect_set("line").alias("own"))
-    return rows.join(own, "record_id", "left").select("record_id", "batch_no", "page_content", "keys", "own").mapInArrow(lambda batches: vec.vectorise(batches, frozenset()), vec.VECTOR_SCHEMA)
+    return rows.join(own, "record_id", "left").select(*rows.columns, "own").mapInArrow(lambda batches: vec.vectorise(batches, {}), vec.VECTOR_SCHEMA)
 
 
 def _summed(arrays: Iterator[np.ndarray], size: int, names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -110,8 +118,10 @@ def reranked(pairs: DataFrame, vectors: DataFrame, cfg: DedupConfig) -> DataFram
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            longer = np.maximum(*(np.diff(vec.flat(batch.column(i))[0]) for i in (4, 5)))
+            batch = batch.take(pa.array(np.flatnonzero(vec.shared_words(batch.column(4), batch.column(5)) >= bound * longer)))
             cols = [[np.frombuffer(x, dtype=np.uint16) for x in batch.column(i).to_pylist()] for i in range(2, 6)]
-            got = np.array([vec.similarity(la.tolist(), wa, lb.tolist(), wb, least) for la, wa, lb, wb in zip(*cols)], dtype=np.float64)
+            got = np.array([vec.similarity(la.tolist(), wa, lb.tolist(), wb, least) for la, lb, wa, wb in zip(*cols)], dtype=np.float64)
             hit = np.flatnonzero(got >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit)), batch.column(1).take(pa.array(hit)), pa.array(got[hit])], ["a", "b", "score"])
 
@@ -122,8 +132,7 @@ def reranked(pairs: DataFrame, vectors: DataFrame, cfg: DedupConfig) -> DataFram
 
     sketched = both(pairs.select("a", "b"), "size", "sketch").where(F.least("size_a", "size_b") >= F.lit(bound) * F.greatest("size_a", "size_b"))
     left = materialise(sketched.mapInArrow(near, "a long, b long"), "near")
-    ordered = both(left, "lens", "words").select("a", "b", "lens_a", "words_a", "lens_b", "words_b")
-    return materialise(ordered.mapInArrow(score, "a long, b long, score double"), "scored")
+    return materialise(both(left, "lens", "words").mapInArrow(score, "a long, b long, score double"), "scored")
 
 
 def _best(edges: DataFrame) -> DataFrame:
@@ -211,7 +220,10 @@ class DedupIndex:
         got = self._read("heat", "bucket long, n long", 0, self.deliveries + 1).groupBy("bucket").agg(F.sum("n").alias("n"))
         got = got.select("bucket", F.least(F.lit(255), F.floor(F.log2("n") * 8)).cast("int").alias("rank")).toArrow()
         ranks = np.zeros(self.cfg.buckets, dtype=np.uint8)  # cfg.buckets bytes, whatever the history's size
-        ranks[got.column("bucket").to_numpy()] = got.column("rank").to_numpy()
+        rank = got.column("rank").to_numpy()
+        # a bucket holds other cells too: what is usual for a bucket comes on top of the few
+        usual = 2 * float(np.exp2(rank / 8).sum()) / self.cfg.buckets
+        ranks[got.column("bucket").to_numpy()] = np.where(rank <= 8 * np.log2(self.cfg.few + usual), 0, rank)
         shared = self.spark.sparkContext.broadcast((axes, ranks))
         tail, buckets = self.cfg.tail_share, self.cfg.buckets
 
@@ -227,7 +239,7 @@ class DedupIndex:
                 before = before - before[np.searchsorted(r, r)]
                 whole = np.bincount(row, weights=lens, minlength=len(batch))[r]
                 probed = np.zeros(len(row), dtype=bool)
-                probed[by] = whole - before > tail * whole
+                probed[by] = (whole - before > tail * whole) | (full[by] == 0)
                 on = probed[at]
                 pick, cell = pa.array(row[at[on]]), cell[on]
                 yield pa.RecordBatch.from_arrays([pa.array(cell), *(batch.column(i).take(pick) for i in range(3))], ["cell", "b", "batch_b", "size_b"])

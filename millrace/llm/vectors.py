@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-_TOKEN = re.compile(r"[^\W_]+|[.!?…]+(?=[\s\"'”»)\]]|$)")
+_TOKEN = re.compile(r"[^\W_]+|[.!?…]+(?=[\s\"'”»)\]]|$)|\n")
 _MARKS = re.compile("[̀-ͯ]+")
 _CACHE_LIMIT = 500_000
 
@@ -33,38 +33,35 @@ def fold(text: str) -> str:
 
 
 def _code(token: str) -> int:
-    if token[0] in ".!?…":
+    if token[0] in ".!?…\n":
         return -1
     if any(map(str.isdigit, token)):
         return 0
     return 1 + xxhash.xxh32_intdigest(token) % 65535
 
 
-def sentences(lines: list[str], cache: dict[str, int]) -> tuple[list[int], list[int]]:
+class Codes(dict):
+    """Codes of tokens; remembers those seen."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > _CACHE_LIMIT:
+            self.clear()
+        code = self[token] = _code(token)
+        return code
+
+
+def sentences(lines: list[str], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
     """(number of words of each sentence, all words' codes) of folded lines; no sentence runs over a line's end."""
-    lens, words = [], []
-    for line in lines:
-        n, last = 0, 1
-        for token in _TOKEN.findall(line):
-            code = cache.get(token)
-            if code is None:
-                if len(cache) > _CACHE_LIMIT:
-                    cache.clear()
-                code = cache[token] = _code(token)
-            if code < 0:
-                if n:
-                    lens.append(n)
-                n, last = 0, 1
-            elif code or last:  # a number in groups counts once
-                words.append(code)
-                n += 1
-                last = code
-                if n == _LONGEST:
-                    lens.append(n)
-                    n = 0
-        if n:
-            lens.append(n)
-    return lens, words
+    found = np.array(list(map(codes.__getitem__, _TOKEN.findall("\n".join(lines)))), dtype=np.int32)
+    keep = np.ones(len(found), dtype=bool)
+    keep[1:] = (found[1:] != 0) | (found[:-1] != 0)  # a number in groups counts once
+    found = found[keep]
+    word = found >= 0
+    lens = np.bincount(np.cumsum(~word)[word]) if word.any() else np.zeros(0, dtype=np.int64)
+    lens = lens[lens > 0]
+    if len(lens) and lens.max() > _LONGEST:
+        lens = np.array([n for size in lens.tolist() for n in [_LONGEST] * (size // _LONGEST) + [size % _LONGEST] if n])
+    return lens.astype(np.uint16), found[word].astype(np.uint16)
 
 
 def article_lines(text: str, keys: list[int], gone: Collection[int]) -> list[str]:
@@ -79,13 +76,13 @@ def _binary(values: list[np.ndarray]) -> pa.Array:
     return pa.array([v.tobytes() for v in values], pa.binary())
 
 
-def vectorise(batches: Iterator[pa.RecordBatch], gone: frozenset[int]) -> Iterator[pa.RecordBatch]:
-    """(record_id, batch_no, text, line keys, line keys left out) -> ``VECTOR_SCHEMA``; lines of ``gone`` are left out too."""
-    cache: dict[str, int] = {}
+def vectorise(batches: Iterator[pa.RecordBatch], gone: dict[int | None, set[int]]) -> Iterator[pa.RecordBatch]:
+    """(record_id, batch_no, source, text, line keys, line keys left out) -> ``VECTOR_SCHEMA``; ``gone``: those of each source, too."""
+    codes = Codes()
     for batch in batches:
         rows = []
-        for text, keys, own in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-            rows.append([np.array(x, dtype=np.uint16) for x in sentences(article_lines(text, keys, set(own) if own else gone), cache)])
+        for src, text, keys, own in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+            rows.append(sentences(article_lines(text, keys, own or gone.get(src, ())), codes))
         words = _binary([w for _, w in rows])
         size = pa.array([len(w) for _, w in rows], pa.int32())
         drawn = _binary(list(sketches(words)))
@@ -103,7 +100,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 #: words of a sentence that make a cell, cells per sentence, and cells that a short text has at least
 CELL_WORDS, CELLS, LEAST_CELLS = 4, 3, 24
 CODES = 1 << 16
-SKETCH = 128
+SKETCH = 256
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -187,15 +184,34 @@ def most_shared(a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.nda
     return np.minimum(a, b).sum(axis=1, dtype=np.int64) + np.maximum(0, over)
 
 
+def _bags(words: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row and word as one number, how often), sorted."""
+    key = np.sort(((np.repeat(np.arange(len(lens)), lens) << 16) | words).astype(np.uint32 if len(lens) < 1 << 16 else np.int64))
+    heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
+    return key[heads], np.diff(np.append(heads, len(key)))
+
+
+def shared_words(a_column: pa.Array, b_column: pa.Array) -> np.ndarray:
+    """How many words the texts of each row of two columns share, whatever the sentence."""
+    (a, a_n), (b, b_n) = (_bags(words, np.diff(of)) for of, words in (flat(a_column), flat(b_column)))
+    if not len(a) or not len(b):
+        return np.zeros(len(a_column), dtype=np.int64)
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = b[at] == a
+    return np.bincount(a[both] >> 16, weights=np.minimum(a_n[both], b_n[at[both]]), minlength=len(a_column)).astype(np.int64)
+
+
 #: A sentence of which at most one word in so many differs stands in the other text as a whole.
 ONE_IN = 6
+WITHIN = 6
 
 
 def similarity(a_lens, a_words, b_lens, b_words, least: float, same_sentence: float = 0.6) -> float:
     """Share of the longer text's words that stand in the other one in the same sentences; 0 as soon as it can't reach ``least``.
 
     Two sentences are the same when at least ``same_sentence`` of the longer one's words are shared; each sentence
-    finds one partner at most, equal ones first. Single words may differ: where no more than one in ``ONE_IN`` does, the
+    finds one partner at most, equal ones first. A sentence of ``WITHIN`` words or more may also stand inside a longer one
+    and leaves the rest of it to others. Single words may differ: where no more than one in ``ONE_IN`` does, the
     whole sentence counts, else only the words shared.
     """
     longer = max(len(a_words), len(b_words))
@@ -223,22 +239,69 @@ def similarity(a_lens, a_words, b_lens, b_words, least: float, same_sentence: fl
     if (shared + min(sum(map(len, a_left)), sum(map(len, rest))) // 2 * ONE_IN / (ONE_IN - 1)) < least * longer:
         return 0.0
 
-    def bag(s):
-        out: dict[int, int] = {}
-        for w in np.frombuffer(s, dtype=np.uint16).tolist():
-            out[w] = out.get(w, 0) + 1
+    # the sentences left, by their words: a word's second occurrence is a word of its own
+    held: dict[tuple[int, int], list[int]] = {}
+    size: list[int] = []
+
+    def tokens(words: list[int]) -> list[tuple[int, int]]:
+        seen: dict[int, int] = {}
+        out = []
+        for w in words:
+            k = seen[w] = seen.get(w, -1) + 1
+            out.append((w, k))
+        return out
+
+    def hold(words: list[int]) -> None:
+        for token in tokens(words):
+            held.setdefault(token, []).append(len(size))
+        size.append(len(words))
+
+    def minus(words: list[int], others: list[int]) -> list[int]:
+        gone: dict[int, int] = {}
+        for w in others:
+            gone[w] = gone.get(w, 0) + 1
+        out = []
+        for w in words:
+            if gone.get(w, 0):
+                gone[w] -= 1
+            else:
+                out.append(w)
         return out
 
-    bags = [(len(s) // 2, bag(s)) for s in rest]
-    for s in a_left:
-        n, own, best, at = len(s) // 2, bag(s), 0, -1
-        for j, (m, other) in enumerate(bags):
-            if min(n, m) >= same_sentence * max(n, m):
-                common = sum(min(k, other[w]) for w, k in own.items() if w in other)
-                if common > best and common >= same_sentence * max(n, m):
-                    best, at = common, j
-        if at >= 0:
-            most = max(n, bags[at][0])
-            shared += most if (most - best) * ONE_IN <= most else best
-            bags.pop(at)
+    def worth(n: int, common: int) -> int:
+        return n if (n - common) * ONE_IN <= n else common
+
+    words_of = [np.frombuffer(s, dtype=np.uint16).tolist() for s in rest]
+    for words in words_of:
+        hold(words)
+    ahead = sum(map(len, a_left)) // 2
+    for s in sorted(a_left, key=len, reverse=True):
+        if (shared + ahead * ONE_IN / (ONE_IN - 1)) < least * longer:
+            return 0.0
+        own = np.frombuffer(s, dtype=np.uint16).tolist()
+        ahead -= len(own)
+        while own:
+            n, met = len(own), {}
+            for token in tokens(own):
+                for j in held.get(token, ()):
+                    met[j] = met.get(j, 0) + 1
+            best, at, whole = 0, -1, False
+            for j, common in sorted(met.items()):
+                m = size[j]
+                if common > best and m:
+                    same = common >= same_sentence * max(n, m)
+                    # a sentence whose end was lost stands inside a longer one
+                    if same or min(n, m) >= WITHIN and common >= 0.8 * min(n, m):
+                        best, at, whole = common, j, same
+            if at < 0:
+                break
+            m, size[at] = size[at], 0
+            shared += worth(max(n, m) if whole else min(n, m), best)
+            if whole:
+                break
+            if n <= m:
+                words_of.append(minus(words_of[at], own))
+                hold(words_of[-1])
+                break
+            own = minus(own, words_of[at])
     return min(1.0, shared / longer)

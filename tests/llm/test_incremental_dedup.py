@@ -51,17 +51,17 @@ def _corpus(seed, copies):
 
 
 def _brute(rows, cfg):
-    cache, known, out = {}, [], {}
+    cache, known, out = vec.Codes(), [], {}
     for rid, batch, _, text in sorted(rows, key=lambda r: (r[1], r[0])):
         if text is None:
             continue
         lens, words = vec.sentences(vec.fold(text).split("\n"), cache)
-        own = (lens, np.array(words, dtype=np.uint16))
+        own = (lens.tolist(), words)
         hits = [(vec.similarity(*k, *own, cfg.least), -i) for i, k in known if batch > 0]
         hits = [h for h in hits if h[0] >= cfg.least]
         if hits:
             out[rid] = -max(hits)[1]
-        elif words:
+        elif len(words):
             known.append((rid, own))
     return out
 
@@ -71,12 +71,12 @@ def _frame(spark, rows):
 
 
 def test_against_brute_force_and_batch_by_batch(spark, tmp_path):
-    for seed, cfg in ((1, dd.DedupConfig()), (2, dd.DedupConfig(hot_cell=4, broadcast_lines=-1))):
-        rows = _corpus(seed, 30)
-        df = _frame(spark, rows)
-        expected = _brute(rows, cfg)
-        assert {r.record_id_b: r.record_id_a for r in dd.duplicates(df, cfg).collect()} == expected and len(expected) > 30
+    rows = _corpus(1, 30)
+    df = _frame(spark, rows)
+    expected = _brute(rows, dd.DedupConfig())
+    assert {r.record_id_b: r.record_id_a for r in dd.duplicates(df).collect()} == expected and len(expected) > 30
     # each batch by an object of its own on the stored index
+    cfg = dd.DedupConfig(broadcast_lines=-1)
     path = f"file://{tmp_path}/index"
     dd.DedupIndex(spark, path, cfg).build(df.where("batch_no = 0"))
     steps = [dd.DedupIndex(spark, path, cfg).add(df.where(f"batch_no = {b}")) for b in (1, 2)]
@@ -92,8 +92,7 @@ def test_hot_cells_change_nothing(spark):
     rows = [(i, 1, None, "\n".join(_variant(rng, base, drop=i % 4, words=2 * (i % 3)))) for i in range(40)]
     rows += [(100 + i, 1, None, "\n".join(base[:6] + _article(rng, 3))) for i in range(6)]
     expected = _brute(rows, dd.DedupConfig())
-    for hot in (4, 1_000_000):
-        assert {r.record_id_b: r.record_id_a for r in dd.duplicates(_frame(spark, rows), dd.DedupConfig(hot_cell=hot)).collect()} == expected
+    assert {r.record_id_b: r.record_id_a for r in dd.duplicates(_frame(spark, rows), dd.DedupConfig(hot_cell=4)).collect()} == expected
 
 
 def test_a_line_known_from_earlier_deliveries_is_no_article(spark, tmp_path):
