@@ -163,10 +163,12 @@ def _shape(text: str, words: list[str]) -> str:
 
 
 class Tokens:
-    """Token ids of lines; remembers those seen."""
+    """Token ids of lines; remembers the tokens, the lines and the tags seen."""
 
     def __init__(self):
         self.known: dict[str, int] = {}
+        self.texts: dict[str, tuple[list[str], str, list[int]]] = {}
+        self.places: dict[tuple, list[int]] = {}
 
     def id(self, token: str) -> int:
         got = self.known.get(token)
@@ -176,52 +178,73 @@ class Tokens:
             got = self.known[token] = zlib.crc32(token.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
         return got
 
+    def text(self, t: str) -> tuple[list[str], str, list[int]]:
+        """(words, shape, token ids) of a line by itself."""
+        found = self.texts.get(t)
+        if found is not None:
+            return found
+        w = _WORD.findall(_fold(t))
+        s = _shape(t, w)
+        got = ["bias", f"s={s}", f"len={s[0]}", f"end={s[2]}", f"start={s[1]}"]
+        got += ["w=" + ("0" if x.isdigit() else x) for x in set(w)]
+        if len(w) > 1:
+            got += [f"b={w[0]} {w[1]}", f"e={w[-2]} {w[-1]}" if not w[-1].isdigit() else "e=0"]
+        if t.isupper():
+            got.append("caps")
+        if t.isascii() and s[0] >= "3":
+            got.append("ascii" + s[1])
+        got += [f"has{sign}{s[0]}" for sign in ("|", "·", " > ", " / ", "–", "©", "\u00a0", "(") if sign in t]
+        if w and sum(x.isdigit() for x in w) * 3 >= len(w):
+            got.append("digits" + s[0])
+        if len(self.texts) > 50_000:
+            self.texts.clear()
+        found = self.texts[t] = w, s, [self.id(x) for x in got]
+        return found
+
+    def place(self, line: Line) -> list[int]:
+        """Token ids of a line's tags and of those open around it."""
+        key = line.around, line.tags
+        found = self.places.get(key)
+        if found is None:
+            if len(self.places) > 50_000:
+                self.places.clear()
+            got = ["markup", f"deep={min(len(line.around), 6)}", *(f"in={x}" for x in set(line.around)), f"on={' '.join(line.around[-2:])}", *(f"tag={x}" for x in set(line.tags)), f"first={line.tags[:1]}"]
+            found = self.places[key] = [self.id(x) for x in got]
+        return found
+
     def page(self, lines: list[Line], title: str | None, markup: bool) -> list[list[int]]:
         """The token ids of every line of a page."""
         n = len(lines)
-        words = [_WORD.findall(_fold(line.text)) for line in lines]
-        shapes = [_shape(line.text, w) for line, w in zip(lines, words)]
+        seen = [self.text(line.text) for line in lines]
+        shapes = [s for _, s, _ in seen]
         prose = [s[0] >= "3" and s[1] in "U„\"" and s[2] in ".!?" for s in shapes]
-        before, after = np.concatenate(([0], np.cumsum(prose))), 0
-        total = int(before[-1])
+        before = np.concatenate(([0], np.cumsum(prose))).tolist()
+        total = before[-1]
         name = _WORD.findall(_fold(title or ""))
+        joined = "".join(name)
         out = []
-        for i, (line, w, s) in enumerate(zip(lines, words, shapes)):
-            t = line.text
-            got = ["bias", f"s={s}", f"len={s[0]}", f"end={s[2]}", f"start={s[1]}"]
-            got += ["w=" + ("0" if x.isdigit() else x) for x in set(w)]
-            if len(w) > 1:
-                got += [f"b={w[0]} {w[1]}", f"e={w[-2]} {w[-1]}" if not w[-1].isdigit() else "e=0"]
+        for i, (line, (w, s, own)) in enumerate(zip(lines, seen)):
+            got = []
             for j in (-2, -1, 1, 2):
                 k = i + j
                 if 0 <= k < n:
                     got.append(f"n{j}={shapes[k]}")
                     if j in (-1, 1):
-                        got.append(f"n{j}w={' '.join(words[k][:2])}")
+                        got.append(f"n{j}w={' '.join(seen[k][0][:2])}")
                 else:
                     got.append(f"n{j}=none")
-            ahead, behind = total - int(before[i + 1]), int(before[i])
+            ahead, behind = total - before[i + 1], before[i]
             got += [f"ahead={min(ahead, 3)}", f"behind={min(behind, 3)}", f"ab={min(ahead, 2)}{min(behind, 2)}{s[0]}", f"total={min(total, 4)}", f"abe={min(ahead, 1)}{min(behind, 1)}{s}"]
             got += [f"top={min(i, 4)}", f"foot={min(n - i, 4)}"]
-            if t.isupper():
-                got.append("caps")
-            if t.isascii() and s[0] >= "3":
-                got.append("ascii" + s[1])
-            for sign in ("|", "·", " > ", " / ", "–", "©", "\u00a0", "("):
-                if sign in t:
-                    got.append(f"has{sign}{s[0]}")
-            if w and sum(x.isdigit() for x in w) * 3 >= len(w):
-                got.append("digits" + s[0])
             if name:
                 if w == name:
                     got += ["title", f"title{min(behind, 1)}"]
-                elif len(w) > 3 and "".join(name).startswith("".join(w[-3:])):
+                elif len(w) > 3 and joined.startswith("".join(w[-3:])):
                     got.append("titlepart")
             else:
                 got.append("untitled")
-            if markup:
-                got += ["markup", f"deep={min(len(line.around), 6)}", *(f"in={x}" for x in set(line.around)), f"on={' '.join(line.around[-2:])}", *(f"tag={x}" for x in set(line.tags)), f"first={line.tags[:1]}"]
-            out.append([self.id(x) for x in dict.fromkeys(got)])
+            ids = own + [self.id(x) for x in got]
+            out.append(ids + self.place(line) if markup else ids)
         return out
 
 
@@ -290,7 +313,8 @@ def main_lines(score: np.ndarray, weights: Weights) -> np.ndarray:
     keep = np.zeros(len(score), dtype=bool)
     if total > weights.least:
         keep[first:end] = True
-        for a, b, against in maximal_segments(-weights.regional(score[first:end])):
+        inside = weights.regional(score[first:end])
+        for a, b, against in maximal_segments(-inside) if (inside < 0).any() else ():
             if against > weights.cut:
                 keep[first + a : first + b] = False
     return keep
