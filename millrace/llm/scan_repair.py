@@ -11,6 +11,7 @@ corpus itself: words and headers corrupted by known confusions, words cut in two
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -208,7 +209,10 @@ def _judged(found: DataFrame, first: DataFrame, weights: tuple[np.ndarray, np.nd
     a = found.select("file", "side", "page", "total", "of", *(F.col(c).alias(f"a_{c}") for c in kept), F.explode(F.array(*map(F.lit, (-2, -1, 1, 2)))).alias("step"))
     # a page delivered several times stands for itself once, so that copies pair in proportion to their number
     other = found.groupBy("file", "side", (F.col("page")).alias("at"), F.col("slot").alias("b_slot"), F.col("text").alias("b_text")).agg(F.first("number").alias("b_number"), F.first("style").alias("b_style"), F.first("skel").alias("b_skel"))
-    both = materialise(a.withColumn("at", F.col("page") + F.col("step")).join(other, ["file", "side", "at"]), "edge-pairs")
+    # lines further apart than the classifier ever accepts are no pairs
+    close = (F.length("a_skel") > 2) & (F.abs(F.length("a_skel") - F.length("b_skel")) <= cfg.far) & (F.levenshtein("a_skel", "b_skel", cfg.far) >= 0)
+    numbers = F.col("a_number").isNotNull() & F.col("b_number").isNotNull()
+    both = materialise(a.withColumn("at", F.col("page") + F.col("step")).join(other, ["file", "side", "at"]).where(close | numbers), "edge-pairs")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,11 +223,10 @@ def _judged(found: DataFrame, first: DataFrame, weights: tuple[np.ndarray, np.nd
             steps = np.array([r[4] for r in rows], dtype=np.int32)[hit]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit)), batch.column(1).take(pa.array(hit)), pa.array(steps)], ["rid", "line_no", "step"])
 
-    # lines further apart than the classifier ever accepts never reach Python
-    close = (F.length("a_skel") > 2) & (F.abs(F.length("a_skel") - F.length("b_skel")) <= cfg.far) & (F.levenshtein("a_skel", "b_skel", cfg.far) >= 0)
-    words = both.where(close).select("a_rid", "a_line_no", "a_text", "b_text", "a_slot", "b_slot", "step")
+    words = both.where("a_skel is not null and b_skel is not null").select("a_rid", "a_line_no", "a_text", "b_text", "a_slot", "b_slot", "step")
     # of the neighbouring pages there are, enough must have the line too
-    around = both.groupBy(F.col("a_rid").alias("rid")).agg(F.countDistinct("step").alias("pages"))
+    sides = found.select("file", "side", F.col("page").alias("at")).distinct()
+    around = a.select(F.col("a_rid").alias("rid"), "file", "side", "step", (F.col("page") + F.col("step")).alias("at")).distinct().join(sides, ["file", "side", "at"]).groupBy("rid").agg(F.countDistinct("step").alias("pages"))
     met = words.mapInArrow(judge, "rid long, line_no int, step int").groupBy("rid", "line_no").agg(F.countDistinct("step").alias("met"))
     near = met.join(around, "rid").where(F.col("met") >= F.col("pages") * cfg.neighbours).select("rid", "line_no")
     # or, where headers alternate or change with the chapter, enough pages of the whole file
@@ -437,29 +440,32 @@ def corrections(counts: DataFrame, model: Boosted, cfg: ScanConfig) -> DataFrame
     # frequent forms; what holds signs or digits corrects nothing
     lexicon = counts.where((F.col("n") >= cfg.lexicon_count) & ~F.col("word").rlike(r"[@!0-9]"))
 
+    ids = pa.list_(pa.int32())
+
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [ow.near_grams(w) for w in batch.column(0).to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(lists)), [len(g) for g in lists]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([g for gs in lists for g in gs], pa.string())], ["printed", "of", "gram"])
+            grams = pa.array([[_gram_id(g) for g in ow.near_grams(w)] for w in batch.column(0).to_pylist()], ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), grams], ["printed", "of", "near"])
 
-    known = materialise(lexicon.select("word", "n").mapInArrow(listed, "printed string, of long, gram string"), "lexicon")
+    known = materialise(lexicon.select("word", "n").mapInArrow(listed, "printed string, of long, near array<int>"), "lexicon")
     # as many as the alphabets have pairs of letters, by place
-    sizes = known.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).toArrow()
+    sizes = known.select(F.explode("near").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("size")).toArrow()
     shared = counts.sparkSession.sparkContext.broadcast(dict(zip(sizes.column("gram").to_pylist(), sizes.column("size").to_pylist())))
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            own = [[_gram_id(g) for g in _unread_grams(w)] for w in batch.column(0).to_pylist()]
             lists = []
-            for word in batch.column(0).to_pylist():
-                grams = sorted(_unread_grams(word), key=lambda g: (shared.value.get(g, 0), g))
+            for grams in own:
+                grams = sorted(grams, key=lambda g: (shared.value.get(g, 0), g))
                 lists.append([g for g in grams[: len(grams) - -(-len(grams) // 3) + 1] if g in shared.value])
-            at = pa.array(np.repeat(np.arange(len(lists)), [len(g) for g in lists]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([g for gs in lists for g in gs], pa.string())], ["word", "n", "gram"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, ids), pa.array(lists, ids)], ["word", "n", "own", "rare"])
 
-    reads = counts.where("n > 0").select("word", "n").mapInArrow(rarest, "word string, n long, gram string")
+    reads = materialise(counts.where("n > 0").select("word", "n").mapInArrow(rarest, "word string, n long, own array<int>, rare array<int>"), "reads")
     rare_enough = (F.col("of") >= F.col("n") * cfg.min_ratio) & ((F.col("n") <= cfg.few) | (F.col("of") >= F.col("n") * cfg.often_ratio))
-    alike = reads.join(known, "gram").where(rare_enough & (F.abs(F.length("word") - F.length("printed")) <= 2) & (F.col("word") != F.col("printed"))).select("word", "n", "printed", "of").distinct()
+    met = reads.select("word", "n", F.explode("rare").alias("gram")).join(known.select("printed", "of", F.explode("near").alias("gram")), "gram")
+    met = met.where(rare_enough & (F.abs(F.length("word") - F.length("printed")) <= 2) & (F.col("word") != F.col("printed"))).select("word", "printed").distinct()
+    alike = met.join(reads.drop("rare"), "word").join(known, "printed").where(F.size(F.array_intersect("own", "near")) * 3 >= F.size("own")).select("word", "n", "printed", "of")
 
     def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -472,11 +478,10 @@ def corrections(counts: DataFrame, model: Boosted, cfg: ScanConfig) -> DataFrame
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, row) for i, row in enumerate(zip(*(c.to_pylist() for c in batch.columns))) if not row[3] or _share_a_third(row[0], row[2])]
-            x = np.array([ow.features(*row) for _, row in rows]).reshape(-1, len(ow.FEATURES))
+            x = np.array([ow.features(*row) for row in zip(*(c.to_pylist() for c in batch.columns))]).reshape(-1, len(ow.FEATURES))
             score = np.where((x[:, 2] > 3) & (x[:, 10] == 0), 0.0, model.predict(x)) if len(x) else np.zeros(0)
             hit = np.flatnonzero(score > 0.5)
-            at = pa.array(np.array([i for i, _ in rows], dtype=np.int64)[hit])
+            at = pa.array(hit)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(score[hit])], ["word", "printed", "score"])
 
     best = alike.unionByName(plain).mapInArrow(rank, "word string, printed string, score double").groupBy("word").agg(F.max(F.struct("score", "printed")).alias("best"))
@@ -489,9 +494,8 @@ def _unread_grams(word: str) -> list[str]:
     return list(dict.fromkeys([*ow.grams(word), *ow.grams(plain)])) if plain else ow.grams(word)
 
 
-def _share_a_third(word: str, printed: str) -> bool:
-    own = _unread_grams(word)
-    return len(set(own).intersection(ow.near_grams(printed))) * 3 >= len(own)
+def _gram_id(gram: str) -> int:
+    return zlib.crc32(gram.encode()) & 0x7FFFFFFF
 
 
 def word_filter(wrong: DataFrame, cfg: ScanConfig) -> tuple[int, bytes]:
