@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import vectors as vec
-from millrace.llm.repeated_lines import line_key
 from millrace.llm.storage import exists, materialise, new_table, spread
 
 CELLS = "record_id long, batch_no int, size int, cells array<long>"
@@ -54,14 +53,10 @@ def _source() -> Column:
     return F.xxhash64("source_id")
 
 
-def _line_keys() -> Column:
-    return F.transform(F.split("page_content", "\n"), lambda line: F.xxhash64(line_key(line)))
-
-
 def line_counts(records: DataFrame) -> DataFrame:
     """(src, line, n): in how many records of a source each line stands; ``line`` null: how many records it has."""
-    rows = records.where("page_content is not null and source_id is not null").select(_source().alias("src"), F.array_distinct(F.array_append(_line_keys(), F.lit(None).cast("long"))).alias("lines"))
-    return rows.select("src", F.explode("lines").alias("line")).groupBy("src", "line").agg(F.count(F.lit(1)).alias("n"))
+    rows = spread(records.where("page_content is not null and source_id is not null").select(_source().alias("src"), "page_content"))
+    return rows.mapInArrow(vec.source_lines, "src long, line long").groupBy("src", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
 def excessive_lines(counts: DataFrame, cfg: DedupConfig) -> DataFrame:
@@ -69,7 +64,7 @@ def excessive_lines(counts: DataFrame, cfg: DedupConfig) -> DataFrame:
     total = counts.groupBy("src", "line").agg(F.sum("n").alias("n"))
     of = total.where("line is null").select("src", F.col("n").alias("of"))
     often = total.where(F.col("line").isNotNull() & (F.col("n") >= cfg.min_records)).join(of, "src")
-    return often.where((F.col("n") >= cfg.min_share * F.col("of")) & (F.col("line") != F.xxhash64(F.lit("")))).select("src", "line")
+    return often.where(F.col("n") >= cfg.min_share * F.col("of")).select("src", "line")
 
 
 def vectorise(records: DataFrame, excessive: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
@@ -81,7 +76,7 @@ def vectorise(records: DataFrame, excessive: DataFrame, cfg: DedupConfig = Dedup
     """
     known = materialise(excessive, "excessive")
     rows = spread(records.where("page_content is not null and record_id is not null")).select(
-        "record_id", F.coalesce("batch_no", F.lit(_LAST)).cast("int").alias("batch_no"), F.when(F.col("source_id").isNotNull(), _source()).alias("src"), "page_content", _line_keys().alias("keys")
+        "record_id", F.coalesce("batch_no", F.lit(_LAST)).cast("int").alias("batch_no"), F.when(F.col("source_id").isNotNull(), _source()).alias("src"), "page_content"
     )
     if known.count() <= cfg.broadcast_lines:
         got = known.toArrow()
@@ -90,7 +85,14 @@ def vectorise(records: DataFrame, excessive: DataFrame, cfg: DedupConfig = Dedup
             gone.setdefault(src, set()).add(line)
         shared = records.sparkSession.sparkContext.broadcast(gone)
         return rows.withColumn("own", F.lit(None).cast("array<long>")).mapInArrow(lambda batches: vec.vectorise(batches, shared.value), vec.VECTOR_SCHEMA)
-    lines = rows.select("record_id", "src", F.explode(F.array_distinct("keys")).alias("line"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [list(set(vec.line_keys(t))) for t in batch.column(2).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([k for ks in keys for k in ks], pa.int64())], ["record_id", "src", "line"])
+
+    lines = rows.select("record_id", "src", "page_content").mapInArrow(split, "record_id long, src long, line long")
     hits = lines.join(known, ["src", "line"], "left_semi").unionByName(lines.where("src is null").join(known.select("line").distinct(), "line", "left_semi").select("record_id", "src", "line"))
     own = hits.groupBy("record_id").agg(F.collect_set("line").alias("own"))
     return rows.join(own, "record_id", "left").select(*rows.columns, "own").mapInArrow(lambda batches: vec.vectorise(batches, {}), vec.VECTOR_SCHEMA)

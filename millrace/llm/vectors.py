@@ -64,12 +64,28 @@ def sentences(lines: list[str], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
     return lens.astype(np.uint16), found[word].astype(np.uint16)
 
 
-def article_lines(text: str, keys: list[int], gone: Collection[int]) -> list[str]:
+def line_keys(text: str) -> list[int]:
+    """A key for each line: the hash of its letters without case, 0 for a line without any."""
+    letters = ["".join(filter(str.isalpha, line)) for line in text.lower().split("\n")]
+    return [xxhash.xxh64_intdigest(x) - (1 << 63) if x else 0 for x in letters]
+
+
+def source_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(source, text) -> (src, line) for each different line with letters of each text, and one with a null line."""
+    for batch in batches:
+        src, line = [], []
+        for s, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            keys = {*line_keys(text), 0}
+            src += [s] * len(keys)
+            line += [k or None for k in keys]
+        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(line, pa.int64())], ["src", "line"])
+
+
+def article_lines(text: str, gone: Collection[int]) -> list[str]:
     """The folded lines of a text but those whose key is in ``gone``."""
-    lines = fold(text).split("\n")
-    if len(lines) != len(keys):  # an entity that stands for a line break
-        lines = [fold(line).replace("\n", " ") for line in text.split("\n")]
-    return [line for line, key in zip(lines, keys) if key not in gone] if gone else lines
+    if not gone:
+        return [fold(text)]
+    return [fold("\n".join(line for line, key in zip(text.split("\n"), line_keys(text)) if key not in gone))]
 
 
 def _binary(values: list[np.ndarray]) -> pa.Array:
@@ -77,12 +93,12 @@ def _binary(values: list[np.ndarray]) -> pa.Array:
 
 
 def vectorise(batches: Iterator[pa.RecordBatch], gone: dict[int | None, set[int]]) -> Iterator[pa.RecordBatch]:
-    """(record_id, batch_no, source, text, line keys, line keys left out) -> ``VECTOR_SCHEMA``; ``gone``: those of each source, too."""
+    """(record_id, batch_no, source, text, line keys left out) -> ``VECTOR_SCHEMA``; ``gone``: those of each source, too."""
     codes = Codes()
     for batch in batches:
         rows = []
-        for src, text, keys, own in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
-            rows.append(sentences(article_lines(text, keys, own or gone.get(src, ())), codes))
+        for src, text, own in zip(*(batch.column(i).to_pylist() for i in range(2, 5))):
+            rows.append(sentences(article_lines(text, own or gone.get(src, ())), codes))
         words = _binary([w for _, w in rows])
         size = pa.array([len(w) for _, w in rows], pa.int32())
         drawn = _binary(list(sketches(words)))
