@@ -86,6 +86,8 @@ def vectorise(records: DataFrame, excessive: DataFrame, cfg: DedupConfig = Dedup
         shared = records.sparkSession.sparkContext.broadcast(gone)
         return rows.withColumn("own", F.lit(None).cast("array<long>")).mapInArrow(lambda batches: vec.vectorise(batches, shared.value), vec.VECTOR_SCHEMA)
 
+    rows = rows.dropDuplicates(["record_id"])
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [list(set(vec.line_keys(t))) for t in batch.column(2).to_pylist()]
@@ -179,7 +181,10 @@ class DedupIndex:
         if not exists(self.spark, self._at("lines", self.deliveries)):
             self.count_lines(records)
         counts = self._read("lines", "src long, line long, n long", 0, self.deliveries + 1)
-        return self._write(vectorise(records.dropDuplicates(["record_id"]), excessive_lines(counts, self.cfg), self.cfg), "vectors")
+        rows = vectorise(records, excessive_lines(counts, self.cfg), self.cfg)
+        # ids are shuffled to see whether any is repeated, then vectors: never texts
+        repeated = not records.groupBy("record_id").count().where("record_id is not null and count > 1").isEmpty()
+        return self._write(rows.dropDuplicates(["record_id"]) if repeated else rows, "vectors")
 
     def _axes(self, fit: DataFrame | None = None) -> vec.Axes:
         path = f"{self.path}/axes"
@@ -275,8 +280,9 @@ class DedupIndex:
         axes = self._axes(stored if not exists(self.spark, f"{self.path}/axes") else None)
         cells = self._place(reps, axes)
         probes = materialise(self._probes(reps, axes), "probes")
-        edges = self._edges(cells, probes)
-        taken = materialise(self._accepted_edges(edges, cells, probes), "taken")
+        hot = materialise(self._hot_cells(probes), "hot")
+        edges = self._edges(cells, probes, hot)
+        taken = materialise(self._accepted_edges(edges, cells, probes, hot), "taken")
         # a copy of a rejected record repeats the same accepted one, a copy of an accepted record repeats that
         rejected = (
             copies.join(_best(taken).withColumnRenamed("b", "rep"), "rep", "left")
@@ -290,11 +296,11 @@ class DedupIndex:
         sized = pairs.where(F.least("size_a", "size_b") >= bound * F.greatest("size_a", "size_b")).select("a", "b").distinct()
         return reranked(sized, self._read("vectors", vec.VECTOR_SCHEMA, 0, self.deliveries + 1), self.cfg)
 
-    def _edges(self, cells: DataFrame, probes: DataFrame) -> DataFrame:
+    def _edges(self, cells: DataFrame, probes: DataFrame, hot: DataFrame) -> DataFrame:
         """(a, b, score, old) of the pairs met; ``old``: a is accepted history. Of hot cells only those with the history."""
         gone = self.rejected().select(F.col("record_id_b").alias("record_id"))
         history = self._read("cells", CELLS, 0, self.deliveries).join(gone, "record_id", "left_anti")
-        every = _members(history).withColumn("old", F.lit(True)).unionByName(_members(cells).join(self._hot_cells(probes), "cell", "left_anti").withColumn("old", F.lit(False)))
+        every = _members(history).withColumn("old", F.lit(True)).unionByName(_members(cells).join(hot, "cell", "left_anti").withColumn("old", F.lit(False)))
         scored = self._score(every.join(probes, "cell").where(F.expr(f"old or {_EARLIER}")))
         old = history.select(F.col("record_id").alias("a"), F.lit(True).alias("old"))
         return materialise(scored.join(old, "a", "left").select("a", "b", "score", F.coalesce("old", F.lit(False)).alias("old")), "edges")
@@ -302,14 +308,13 @@ class DedupIndex:
     def _hot_cells(self, probes: DataFrame) -> DataFrame:
         return probes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > self.cfg.hot_cell).select("cell")
 
-    def _accepted_edges(self, edges: DataFrame, cells: DataFrame, probes: DataFrame) -> DataFrame:
+    def _accepted_edges(self, edges: DataFrame, cells: DataFrame, probes: DataFrame, hot: DataFrame) -> DataFrame:
         """The edges (a, b, score) whose a is accepted; every b in them is rejected.
 
         Hot cells: the earliest record leads, the records like it are set aside, then the next earliest leads, as long
         as cells stay hot and shrink. Pairs are made among the records left. A record set aside comes back if none of its
         leaders is accepted; at last it is compared with all accepted records of its cells.
         """
-        hot = materialise(self._hot_cells(probes), "hot")
         if hot.isEmpty():
             return _without(edges, self._resolve(edges)).select("a", "b", "score")
         members = materialise(_members(cells).join(hot, "cell", "left_semi"), "members")

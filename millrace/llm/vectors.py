@@ -12,6 +12,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Collection, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,8 @@ import xxhash
 
 _TOKEN = re.compile(r"[^\W_]+|[.!?…]+(?=[\s\"'”»)\]]|$)|\n")
 _MARKS = re.compile("[̀-ͯ]+")
-_CACHE_LIMIT = 500_000
+#: pieces of text that a cache holds, and characters of those that it remembers
+_CACHE_LIMIT, _REMEMBERED = 200_000, 32
 
 VECTOR_SCHEMA = "record_id long, batch_no int, size int, sketch binary, lens binary, words binary"
 _LONGEST = 60_000  # words of a sentence; longer ones are cut
@@ -41,18 +43,26 @@ def _code(token: str) -> int:
 
 
 class Codes(dict):
-    """Codes of tokens; remembers those seen."""
+    """Codes of the tokens of what stands between white space, as 32-bit numbers one after another; remembers short pieces.
 
-    def __missing__(self, token: str) -> int:
-        if len(self) > _CACHE_LIMIT:
-            self.clear()
-        code = self[token] = _code(token)
-        return code
+    No token, entity or mark depends on what lies beyond white space.
+    """
+
+    def __missing__(self, piece: str) -> bytes:
+        codes = np.array([_code(token) for token in _TOKEN.findall(fold(piece))], dtype=np.int32).tobytes()
+        if len(piece) <= _REMEMBERED:
+            if len(self) >= _CACHE_LIMIT:
+                self.clear()
+            self[piece] = codes
+        return codes
+
+
+_LINE_END = np.array([-1], dtype=np.int32).tobytes()
 
 
 def sentences(lines: list[str], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
-    """(number of words of each sentence, all words' codes) of folded lines; no sentence runs over a line's end."""
-    found = np.array(list(map(codes.__getitem__, _TOKEN.findall("\n".join(lines)))), dtype=np.int32)
+    """(number of words of each sentence, all words' codes) of lines; no sentence runs over a line's end."""
+    found = np.frombuffer(_LINE_END.join([b"".join(map(codes.__getitem__, line.split())) for line in lines]), dtype=np.int32)
     keep = np.ones(len(found), dtype=bool)
     keep[1:] = (found[1:] != 0) | (found[:-1] != 0)  # a number in groups counts once
     found = found[keep]
@@ -64,10 +74,19 @@ def sentences(lines: list[str], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
     return lens.astype(np.uint16), found[word].astype(np.uint16)
 
 
+@cache
+def _letters() -> np.ndarray:
+    """Whether a character is a letter; none from the last one on is."""
+    return np.array([chr(c).isalpha() for c in range(0x40001)])
+
+
 def line_keys(text: str) -> list[int]:
     """A key for each line: the hash of its letters without case, 0 for a line without any."""
-    letters = ["".join(filter(str.isalpha, line)) for line in text.lower().split("\n")]
-    return [xxhash.xxh64_intdigest(x) - (1 << 63) if x else 0 for x in letters]
+    chars = np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32)
+    at = np.flatnonzero(_letters().take(chars, mode="clip"))
+    letters = chars[at].tobytes()
+    ends = [*(4 * np.searchsorted(at, np.flatnonzero(chars == 10))).tolist(), len(letters)]
+    return [xxhash.xxh64_intdigest(letters[a:b]) - (1 << 63) if a < b else 0 for a, b in zip([0, *ends], ends)]
 
 
 def source_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,10 +101,9 @@ def source_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def article_lines(text: str, gone: Collection[int]) -> list[str]:
-    """The folded lines of a text but those whose key is in ``gone``."""
-    if not gone:
-        return [fold(text)]
-    return [fold("\n".join(line for line, key in zip(text.split("\n"), line_keys(text)) if key not in gone))]
+    """The lines of a text but those whose key is in ``gone``."""
+    lines = text.split("\n")
+    return [line for line, key in zip(lines, line_keys(text)) if key not in gone] if gone else lines
 
 
 def _binary(values: list[np.ndarray]) -> pa.Array:
@@ -181,8 +199,7 @@ class Axes:
 def word_counts(words_column: pa.Array) -> np.ndarray:
     """In how many rows each word code stands."""
     of, words = flat(words_column)
-    row = np.repeat(np.arange(len(words_column)), np.diff(of))
-    return np.bincount(np.unique((row.astype(np.int64) << 16) | words) & (CODES - 1), minlength=CODES)
+    return np.bincount(_bags(words, np.diff(of))[0] & (CODES - 1), minlength=CODES)
 
 
 def sketches(words_column: pa.Array) -> np.ndarray:

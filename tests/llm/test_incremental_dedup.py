@@ -156,3 +156,44 @@ def test_copies_with_every_sentence_edited(spark):
     assert 300 <= len(expected) < 330
     got = {r.record_id_b: r.record_id_a for r in dd.duplicates(_frame(spark, rows)).collect()}
     assert got.items() <= expected.items() and len(got) >= 0.99 * len(expected)
+
+
+def test_texts_are_not_shuffled_and_cells_of_new_records_once(spark, tmp_path, monkeypatch):
+    rows = _corpus(5, 6)
+    _frame(spark, rows).repartition(16).write.parquet(f"file://{tmp_path}/records")
+    records = spark.read.parquet(f"file://{tmp_path}/records")
+    plans, write = {}, dd.DedupIndex._write
+    monkeypatch.setattr(dd.DedupIndex, "_write", lambda self, of, table: (plans.setdefault(table, []).append(of._jdf.queryExecution().executedPlan().toString()), write(self, of, table))[1])
+    hot = []
+    monkeypatch.setattr(dd.DedupIndex, "_hot_cells", lambda self, probes, found=dd.DedupIndex._hot_cells: (hot.append(1), found(self, probes))[1])
+    assert {r.record_id_b: r.record_id_a for r in dd.duplicates(records).collect()} == _brute(rows, dd.DedupConfig())
+    assert len(plans["vectors"]) == 2 and not any("Exchange" in p for p in plans["vectors"])
+    assert len(hot) == 1
+
+
+def test_pieces_between_white_space_say_all():
+    """Codes and line keys against the whole text's folding, letter by letter; few pieces are folded."""
+    rng = random.Random(2)
+    odd = [*"aB1 \n\n\r\t\xa0\u2003\u3000\x85\x1c&;.!?…\"'”»)]ΣσςİßŁł´¨é\u0301\u200b_-²Ⅷ中문한#x", "&amp;", "&nbsp;", "&#10;", "&NewLine;", "&am", "p;", "&notit;", "ΑΣ", "1.000 000", "...", "?! "]
+    codes, keys = vec.Codes(), {}
+    for _ in range(3000):
+        text = "".join(rng.choice(odd) for _ in range(rng.randint(0, 60)))
+        found = [vec._code(t) for t in vec._TOKEN.findall(vec.fold(text))]
+        found = [c for i, c in enumerate(found) if c or not i or found[i - 1]]
+        lens, words = vec.sentences(text.split("\n"), codes)
+        assert words.tolist() == [c for c in found if c >= 0]
+        runs = "".join("w" if c >= 0 else " " for c in found).split()
+        assert lens.tolist() == [len(r) for r in runs]
+        for line, key in zip(text.lower().split("\n"), vec.line_keys(text), strict=True):
+            letters = "".join(filter(str.isalpha, line))
+            assert (key == 0) == (letters == "") and keys.setdefault(key, letters) == letters
+    assert len(set(keys.values())) == len(keys)
+    folded, fold = [], vec.fold
+    try:
+        vec.fold = lambda text: (folded.append(text), fold(text))[1]
+        codes = vec.Codes()
+        for _ in range(5):
+            vec.sentences(vec.article_lines("One two.\nTwo one.", ()), codes)
+        assert len(folded) == 4
+    finally:
+        vec.fold = fold
